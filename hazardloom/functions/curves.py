@@ -7,14 +7,20 @@ every step (159^2/2 copies per row) and measured eight times slower.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _ARRAY = T.ArrayType(T.DoubleType())
 
+# the batch functions travel to the executors by value, so the package need not be installed there
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def as_matrix(arrays: pa.Array, width: int) -> np.ndarray:
     return arrays.flatten().to_numpy(zero_copy_only=False).reshape(len(arrays), width)

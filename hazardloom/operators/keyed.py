@@ -59,6 +59,9 @@ def broadcast_if_small(table: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[D
 
 
 def lookup(rows: DataFrame, table: DataFrame, key: str, how: str = "left", limit: int = BROADCAST_ROWS, **kw) -> DataFrame:
-    """Join with a materialised per-key table: broadcast behind a size check, salted join beyond it."""
+    """Join with a per-key table: broadcast behind a size check, salted join beyond it.
+
+    The check evaluates ``table``, which costs a narrow scan at most and can save a shuffle of all rows.
+    """
     hinted, small = broadcast_if_small(table, limit)
     return rows.join(hinted, key, how) if small else join_per_key(rows, table, key, how, **kw)

@@ -52,7 +52,7 @@ def concordance(
     else:
         points = points.withColumn("b", F.lit(0.0))
 
-    right = F.shiftright("c", F.col("k")).bitwiseAND(1) == 1
+    right = F.expr("shiftright(c, k) & 1 = 1")
     left = ~right & (F.col("c") % 2 == 0)
     sides = (
         points.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from hazardloom.columns import PANEL, TEST_SIZE, PanelColumns
 from hazardloom.functions import hash_order
-from hazardloom.operators.keyed import join_per_key
+from hazardloom.operators.keyed import lookup
+from hazardloom.session import written
 
 HASH_DIGITS = 3
 
@@ -20,7 +21,8 @@ HASH_DIGITS = 3
 def device_facts(df: DataFrame, horizon: Date | None = None, cols: PanelColumns = PANEL) -> DataFrame:
     """(device, label, truncated): the largest label, and whether a non-failure row lies on the last day.
 
-    ``horizon`` is that last day; by default the newest date of ``df``.
+    ``horizon`` is that last day; by default the newest date of ``df``, for which the devices are written once so that
+    the panel is scanned once.
     """
     is_open = (~F.col(cols.label).eqNullSafe(F.lit(1))).cast("int")
     devices = df.where(F.col(cols.id).isNotNull()).groupBy(cols.id).agg(
@@ -30,6 +32,7 @@ def device_facts(df: DataFrame, horizon: Date | None = None, cols: PanelColumns
     if horizon is not None:
         on_last = F.col("_day") == F.unix_date(F.lit(horizon))
     else:
+        devices = written(devices, "devices")
         newest = devices.agg(F.max("_day").alias("_day")).withColumn("_on_last", F.lit(True))
         devices = devices.join(F.broadcast(newest), "_day", "left")
         on_last = F.col("_on_last")
@@ -46,7 +49,7 @@ def truncated_ids(df: DataFrame, horizon: Date | None = None, cols: PanelColumns
 def remove_truncated(df: DataFrame, horizon: Date | None = None, cols: PanelColumns = PANEL) -> tuple[DataFrame, DataFrame]:
     """The rows of all other devices, and the truncated devices."""
     ids = truncated_ids(df, horizon, cols)
-    return join_per_key(df, ids, cols.id, "left_anti", cols), ids
+    return lookup(df, ids, cols.id, "left_anti", cols=cols), ids
 
 
 def stratify(facts: DataFrame, test_size: float = TEST_SIZE, seed: int = 42, cols: PanelColumns = PANEL) -> DataFrame:
@@ -78,7 +81,7 @@ def stratified_split(df: DataFrame, test_size: float = TEST_SIZE, seed: int = 42
 
 def split_rows(df: DataFrame, devices: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:
     """Panel rows of the given devices."""
-    return join_per_key(df, devices.select(cols.id), cols.id, "left_semi", cols)
+    return lookup(df, devices.select(cols.id), cols.id, "left_semi", cols=cols)
 
 
 def initial_split(

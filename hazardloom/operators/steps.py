@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from hazardloom.columns import NAN_FRACTION, PANEL, TRAIN_SAMPLES, UNUSED_FEATURES, PanelColumns
 from hazardloom.functions import hash_order, number_or_zero
-from hazardloom.operators.keyed import join_per_key
+from hazardloom.operators.keyed import lookup
 
 
 def _clock(df: DataFrame, cols: PanelColumns) -> str:
@@ -28,13 +28,13 @@ def relative_time(df: DataFrame, cols: PanelColumns = PANEL, one_row_per_day: bo
     """Add ``time``: days since the device's first row.
 
     On a frame with one row per device and day this is a window that shares the partitioning of the other steps; on raw
-    rows the first dates are aggregated and joined back with salted hot keys.
+    rows the first dates are aggregated and looked up.
     """
     if one_row_per_day:
         spec = _newest_first(df, cols).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         return df.withColumn(cols.time, F.datediff(F.col(cols.date), F.min(cols.date).over(spec)))
     first = df.where(F.col(cols.id).isNotNull()).groupBy(cols.id).agg(F.min(cols.date).alias("_first"))
-    joined = join_per_key(df, first, cols.id, "left", cols)
+    joined = lookup(df, first, cols.id, "left", cols=cols)
     return joined.select(*df.columns, F.datediff(F.col(cols.date), F.col("_first")).alias(cols.time))
 
 
@@ -44,7 +44,7 @@ def multi_failure_ids(df: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:
 
 def drop_multi_failure(df: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:
     """Drop devices with more than one failure row."""
-    return join_per_key(df, multi_failure_ids(df, cols), cols.id, "left_anti", cols)
+    return lookup(df, multi_failure_ids(df, cols), cols.id, "left_anti", cols=cols)
 
 
 def drop_duplicates(df: DataFrame, keys: list[str] | None = None, cols: PanelColumns = PANEL) -> DataFrame:

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from hazardloom.plans import prep_queries, stats_queries
+from hazardloom.plans import model_queries, prep_queries, source_queries, stats_queries
 
-CATALOG = {**stats_queries.QUERIES, **prep_queries.QUERIES}
+CATALOG = {**stats_queries.QUERIES, **prep_queries.QUERIES, **model_queries.QUERIES, **source_queries.QUERIES}

@@ -129,7 +129,7 @@ PREP_COLUMNS = ", ".join(
 
 def train_test(panel: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Seasonal rows of the live train and test devices."""
-    rows, live = with_season(panel), P.initial_split(panel).where("NOT truncated")
+    rows, live = with_season(panel), written(P.initial_split(panel), "assignment").where("NOT truncated")
     return P.split_rows(rows, live.where("split = 'train'")), P.split_rows(rows, live.where("split = 'test'"))
 
 
