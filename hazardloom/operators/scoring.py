@@ -13,11 +13,7 @@ from hazardloom.session import written
 
 VALUES_PER_BUCKET = 200_000
 MAX_BUCKETS = 4096
-_COUNT = "decimal(38,0)"
-
-
-def _product(a, b):
-    return (F.col(a).cast("decimal(19,0)") * F.col(b).cast("decimal(19,0)")).cast(_COUNT)
+EXACT_LONG_ROWS = 3_000_000_000  # below this many rows no pair count exceeds a bigint
 
 
 def concordance(
@@ -29,11 +25,9 @@ def concordance(
     A pair counts if the earlier duration is an event; at equal durations an event precedes a censoring. No pair is ever
     built. Rows are first counted per (outcome code, prediction), so copies and ties collapse before anything else.
     Codes are then compared bit by bit: a pair is decided at the highest bit where its codes differ, so each row is a
-    left or right member of one cell per bit. Within a cell the predictions are cut into buckets at quantiles of the
-    distinct predictions: pairs across buckets follow from totals per bucket, pairs inside one from a running count over
+    left or right member of one cell per bit. Within a cell the predictions are cut into buckets at quantiles: pairs across buckets follow from totals per bucket, pairs inside one from a running count over
     at most about ``values_per_bucket`` values.
     """
-    spark = df.sparkSession
     code = F.col(duration).cast("bigint") * 2 + F.when(F.col(event).cast("boolean"), 0).otherwise(1)
     points = written(
         df.where(F.col(duration).isNotNull() & F.col(event).isNotNull() & F.col(predicted).isNotNull())
@@ -41,29 +35,36 @@ def concordance(
         .groupBy("c", "p").agg(F.count(F.lit(1)).alias("n")),
         "points",
     )
-    largest, distinct = points.agg(F.max("c"), F.count(F.lit(1))).first()
+    largest, n_points, n_rows = points.agg(F.max("c"), F.count(F.lit(1)), F.sum("n")).first()
     bits = max(int(largest or 0).bit_length(), 1)
+    wide_counts = (n_rows or 0) > EXACT_LONG_ROWS
+    count_type = "decimal(38,0)" if wide_counts else "bigint"
+
+    def product(a: str, b: str):
+        factor = "decimal(19,0)" if wide_counts else "bigint"
+        return (F.col(a).cast(factor) * F.col(b).cast(factor)).cast(count_type)
 
-    buckets = min(MAX_BUCKETS, -(-distinct // values_per_bucket))
+    buckets = min(MAX_BUCKETS, -(-n_points // values_per_bucket))
     if buckets > 1:
-        at = points.select("p").distinct().approxQuantile("p", [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))
+        at = points.approxQuantile("p", [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))
         splits = [float("-inf"), *sorted(set(at) - {float("inf"), float("-inf")}), float("inf")]
-        points = Bucketizer(splits=splits, inputCol="p", outputCol="b").transform(points)
+        points = Bucketizer(splits=splits, inputCol="p", outputCol="b").transform(points).withColumn("b", F.col("b").cast("int"))
     else:
-        points = points.withColumn("b", F.lit(0.0))
+        points = points.withColumn("b", F.lit(0))
 
     right = F.expr("shiftright(c, k) & 1 = 1")
     left = ~right & (F.col("c") % 2 == 0)
+    # a prediction has at most one point per code, so even one that many rows share stays small in a cell's bucket
     sides = (
         points.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
-        .where(left | right)
-        .groupBy("k", F.expr("shiftright(c, k + 1)").alias("pre"), "b", "p")
+        .where(left | right).withColumn("pre", F.expr("shiftright(c, k + 1)"))
+        .repartition("k", "pre", "b").groupBy("k", "pre", "b", "p")
         .agg(F.sum(F.when(left, F.col("n")).otherwise(0)).alias("ni"), F.sum(F.when(right, F.col("n")).otherwise(0)).alias("nj"))
     )
     above = Window.partitionBy("k", "pre", "b").orderBy(F.col("p").desc()).rowsBetween(Window.unboundedPreceding, -1)
     inside = sides.withColumn("_above", F.coalesce(F.sum("nj").over(above), F.lit(0))).agg(
-        F.sum(_product("ni", "_above")).alias("concordant"), F.sum(_product("ni", "nj")).alias("tied")
-    ).withColumn("pairs", F.lit(0).cast(_COUNT))
+        F.sum(product("ni", "_above")).alias("concordant"), F.sum(product("ni", "nj")).alias("tied")
+    ).withColumn("pairs", F.lit(0).cast(count_type))
 
     cells = sides.groupBy("k", "pre", "b").agg(F.sum("ni").alias("ni"), F.sum("nj").alias("nj"))
     cell = Window.partitionBy("k", "pre")
@@ -71,10 +72,10 @@ def concordance(
     across = cells.select(
         "ni", F.coalesce(F.sum("nj").over(higher), F.lit(0)).alias("_higher"), F.sum("nj").over(cell).alias("_all")
     ).agg(
-        F.sum(_product("ni", "_higher")).alias("concordant"), F.lit(0).cast(_COUNT).alias("tied"),
-        F.sum(_product("ni", "_all")).alias("pairs"),
+        F.sum(product("ni", "_higher")).alias("concordant"), F.lit(0).cast(count_type).alias("tied"),
+        F.sum(product("ni", "_all")).alias("pairs"),
     )
-    total = inside.unionByName(across).agg(*[F.coalesce(F.sum(c), F.lit(0).cast(_COUNT)).cast(_COUNT).alias(c) for c in ("pairs", "concordant", "tied")])
+    total = inside.unionByName(across).agg(*[F.coalesce(F.sum(c), F.lit(0).cast(count_type)).cast(count_type).alias(c) for c in ("pairs", "concordant", "tied")])
     ci = (F.col("concordant").cast("double") + F.col("tied").cast("double") / 2) / F.nullif(F.col("pairs").cast("double"), F.lit(0.0))
     return total.withColumn("ci", ci)
 
