@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazardloom.columns import PANEL, PanelColumns
@@ -12,20 +14,19 @@ UNKNOWN = "UNKNOWN"
 MAX_ONE_HOT = 500
 
 
-def category_table(df: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:
-    """Rows, mean and population variance of the label per category."""
-    return df.groupBy(cols.category).agg(
-        F.count(F.lit(1)).alias("_n"), F.avg(cols.label).alias("_mean"), F.var_pop(cols.label).alias("_var")
-    )
-
+def target_encoding(df: DataFrame, cols: PanelColumns = PANEL, whole: tuple[float, float] | None = None) -> tuple[DataFrame, float]:
+    """(category, n, model_encoded) and the global mean: label means shrunk towards the global mean by their variance.
 
-def target_encoding(df: DataFrame, cols: PanelColumns = PANEL) -> tuple[DataFrame, float]:
-    """(category, model_encoded) and the global mean: label means shrunk towards the global mean by their variance."""
-    mean, var = df.agg(F.avg(cols.label), F.var_pop(cols.label)).first()
-    spread = F.lit(var) * F.col("_n")
+    ``whole`` is the label's (mean, population variance) where it is known already.
+    """
+    mean, var = whole or df.agg(F.avg(cols.label), F.var_pop(cols.label)).first()
+    stats = df.groupBy(cols.category).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(cols.label).alias("_mean"), F.var_pop(cols.label).alias("_var")
+    )
+    spread = F.lit(var) * F.col("n")
     weight = spread / F.nullif(spread + F.col("_var"), F.lit(0.0))
     shrunk = weight * F.col("_mean") + (1 - weight) * F.lit(mean)
-    return category_table(df, cols).select(cols.category, F.coalesce(shrunk, F.lit(mean)).alias("model_encoded")), mean
+    return stats.select(cols.category, "n", F.coalesce(shrunk, F.lit(mean)).alias("model_encoded")), mean
 
 
 def target_encode(df: DataFrame, table: DataFrame, global_mean: float, cols: PanelColumns = PANEL) -> DataFrame:
@@ -44,12 +45,12 @@ def known_category(df: DataFrame, categories: DataFrame, cols: PanelColumns = PA
     ])
 
 
-def one_hot_categories(df: DataFrame, column: str) -> list[str]:
-    """Sorted categories; each becomes a column, so their number is checked."""
-    found = [r[0] for r in df.select(column).distinct().limit(MAX_ONE_HOT + 1).collect()]
+def category_counts(df: DataFrame, column: str) -> dict[str, int]:
+    """Rows per category, sorted by category. Each becomes a column, so their number is checked."""
+    found = df.groupBy(column).count().limit(MAX_ONE_HOT + 1).collect()
     if len(found) > MAX_ONE_HOT:
         raise ValueError(f"{column} has more than {MAX_ONE_HOT} categories")
-    return sorted(c for c in found if c is not None)
+    return dict(sorted((r[0], r[1]) for r in found if r[0] is not None))
 
 
 def one_hot(df: DataFrame, column: str, categories: list[str]) -> DataFrame:
@@ -57,12 +58,23 @@ def one_hot(df: DataFrame, column: str, categories: list[str]) -> DataFrame:
     return df.withColumns({f"{column}_{c}": F.col(column).eqNullSafe(F.lit(c)).cast("double") for c in categories})
 
 
+def moment_columns(columns: list[str]) -> list[Column]:
+    return [agg for c in columns for agg in (F.avg(c).alias(f"mean_{c}"), F.stddev_pop(c).alias(f"std_{c}"))]
+
+
 def moments(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row: mean_<c> and std_<c> (population) of every column."""
-    aggs = []
-    for c in columns:
-        aggs += [F.avg(c).alias(f"mean_{c}"), F.stddev_pop(c).alias(f"std_{c}")]
-    return df.agg(*aggs)
+    return df.agg(*moment_columns(columns))
+
+
+def encoded_moments(table: DataFrame, n_rows: int) -> tuple[float, float]:
+    """Mean and population deviation of ``model_encoded`` over the rows the category table was made from."""
+    weighted = F.col("n") * F.col("model_encoded") / F.lit(n_rows)
+    low, high, mean = table.agg(F.min("model_encoded"), F.max("model_encoded"), F.sum(weighted)).first()
+    if low == high:
+        return low, 0.0
+    off = F.col("model_encoded") - F.lit(mean)
+    return mean, math.sqrt(table.agg(F.sum(F.col("n") * off * off / F.lit(n_rows))).first()[0])
 
 
 def scale(df: DataFrame, mean: dict[str, float], std: dict[str, float]) -> DataFrame:

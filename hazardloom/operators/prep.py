@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import os
 from dataclasses import dataclass, field
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from hazardloom.columns import NAN_FRACTION, PANEL, TRAIN_SAMPLES, UNUSED_FEATURES, PanelColumns
 from hazardloom.operators import encoders as E
 from hazardloom.operators import steps as S
-from hazardloom.session import written
+from hazardloom.session import discard, written
 
 
 def daily_rows(df: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:
@@ -40,26 +41,45 @@ class PanelPrep:
     cols: PanelColumns = PANEL
 
     def fit(self, df: DataFrame) -> "FittedPrep":
-        """Learn dropped columns, encodings and scaling. Only one-row results and season names reach the driver.
+        """Learn dropped columns, encodings and scaling from train rows."""
+        fitted, rows = self._fit(df)
+        discard(rows)
+        return fitted
 
-        The cleaned panel and the imputed panel are written once each, because several passes read few of their columns.
+    def fit_transform(self, df: DataFrame) -> tuple["FittedPrep", DataFrame]:
+        """The fitted preparation and the prepared train rows, which reuse the rows cleaned for the fit."""
+        fitted, rows = self._fit(df)
+        return fitted, fitted.encode(rows, train=True)
+
+    def _fit(self, df: DataFrame) -> tuple["FittedPrep", DataFrame]:
+        """The panel is cleaned and filled in one job and written once; marks keep the null counts from before the fill.
+
+        One pass over it gives null counts, moments and the label's mean; two more read the season and the category
+        only. The moments of the encoded columns follow from those counts. Single rows and season names reach the driver.
         """
         cols = self.cols
-        rows = written(daily_rows(S.feature_filter(df, self.unused), cols), "daily")
-        dropped = S.columns_to_drop(rows, self.nan_fraction, self.unused)
-        rows = written(S.impute(S.feature_filter(rows, dropped), self.fill, self.method, cols), "imputed")
-
-        table, global_mean = E.target_encoding(rows, cols)
+        rows = daily_rows(S.feature_filter(df, self.unused), cols)
+        values = [c for c in rows.columns if c not in (cols.id, cols.date, cols.time, cols.row_key)]
+        rows = written(S.impute(S.mark_nulls(rows, values), self.fill, self.method, cols), "imputed")
+
+        candidates = [c for c in values if c not in cols.not_features() | {cols.category, cols.season}]
+        facts = rows.agg(
+            F.count(F.lit(1)).alias("_rows"), F.avg(cols.label).alias("_mean"), F.var_pop(cols.label).alias("_var"),
+            *S.marked_null_counts(values), *E.moment_columns(candidates),
+        ).first()
+        dropped = set(S.over_limit(facts, values, self.nan_fraction, self.unused))
+        measures = [c for c in candidates if c not in dropped]
+        seasons = E.category_counts(rows, cols.season)
+        table, global_mean = E.target_encoding(rows, cols, (facts["_mean"], facts["_var"]))
         table = written(table, "categories")
-        seasons = E.one_hot_categories(rows, cols.season)
-        measures = [c for c in rows.columns if c not in cols.not_features() | {cols.category, cols.season}]
-        encoded = E.one_hot(E.target_encode(rows, table, global_mean, cols), cols.season, seasons)
-        features = [*measures, "model_encoded", *[f"{cols.season}_{s}" for s in seasons]]
-        row = E.moments(encoded, features).first()
-        return FittedPrep(
-            self, measures, seasons, features, table, global_mean,
-            {c: row[f"mean_{c}"] for c in features}, {c: row[f"std_{c}"] for c in features},
-        )
+
+        mean = {c: facts[f"mean_{c}"] for c in measures}
+        std = {c: facts[f"std_{c}"] for c in measures}
+        mean["model_encoded"], std["model_encoded"] = E.encoded_moments(table, facts["_rows"])
+        for name, n in seasons.items():
+            share = n / facts["_rows"]
+            mean[f"{cols.season}_{name}"], std[f"{cols.season}_{name}"] = share, math.sqrt(share * (1 - share))
+        return FittedPrep(self, measures, list(seasons), list(mean), table, global_mean, mean, std), rows
 
 
 @dataclass
@@ -76,21 +96,25 @@ class FittedPrep:
     def transform(self, df: DataFrame, train: bool = False) -> DataFrame:
         """Prepared rows: device, time, label, scaled features, max_lifetime. Without a label the label steps are skipped.
 
-        ``train`` adds the sampling of rows per device.
+        ``train`` adds the sampling of rows per device. A fitted column the rows lack counts as missing.
         """
         cols = self.settings.cols
-        labelled = cols.label in df.columns
-        keep = [cols.id, cols.date, *([cols.label] if labelled else []), cols.category, cols.season]
-        keys = [cols.row_key] if cols.row_key in df.columns else []
+        keep = [c for c in (cols.id, cols.date, cols.label, cols.category, cols.season, cols.row_key) if c in df.columns]
         have = set(df.columns)
-        rows = df.select(*keep, *keys, *[F.col(c) if c in have else F.lit(None).cast("double").alias(c) for c in self.measures])
-        rows = S.impute(daily_rows(rows, cols), self.settings.fill, self.settings.method, cols)
+        rows = df.select(*keep, *[F.col(c) if c in have else F.lit(None).cast("double").alias(c) for c in self.measures])
+        return self.encode(S.impute(daily_rows(rows, cols), self.settings.fill, self.settings.method, cols), train)
+
+    def encode(self, rows: DataFrame, train: bool = False) -> DataFrame:
+        """The steps after cleaning and filling."""
+        cols = self.settings.cols
+        label = [cols.label] if cols.label in rows.columns else []
+        rows = rows.select(cols.id, cols.date, cols.time, *label, cols.category, cols.season, *self.measures)
         rows = E.one_hot(E.target_encode(rows, self.categories, self.global_mean, cols), cols.season, self.seasons)
         rows = E.scale(rows, self.mean, self.std)
         if train:
             rows = S.panel_sample(rows, self.settings.n_samples, self.settings.seed, cols)
-        out = [cols.id, cols.time, *([cols.label] if labelled else []), *self.features]
-        if not labelled:
+        out = [cols.id, cols.time, *label, *self.features]
+        if not label:
             return rows.select(*out)
         return S.lifetime_label(S.label_shift(rows, cols), cols).select(*out, cols.lifetime)
 

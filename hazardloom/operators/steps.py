@@ -7,7 +7,9 @@ the observation period. The ordered steps below rely on that and share one parti
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +17,8 @@ from hazardloom.columns import NAN_FRACTION, PANEL, TRAIN_SAMPLES, UNUSED_FEATUR
 from hazardloom.functions import hash_order, number_or_zero
 from hazardloom.operators.keyed import lookup
 
+_MASK_BITS = 60
+
 
 def _clock(df: DataFrame, cols: PanelColumns) -> str:
     return cols.date if cols.date in df.columns else cols.time
@@ -64,10 +68,30 @@ def null_counts(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
 
 
+def over_limit(counts, columns, nan_fraction: float = NAN_FRACTION, unused=UNUSED_FEATURES) -> list[str]:
+    """Columns that are listed or miss more than the given share of their values, from one row of null counts."""
+    return [c for c in columns if c in set(unused) or counts[c] > counts["_rows"] * nan_fraction]
+
+
 def columns_to_drop(df: DataFrame, nan_fraction: float = NAN_FRACTION, unused=UNUSED_FEATURES) -> list[str]:
-    """Columns that are listed or miss more than the given share of their values. Reads one row of counts."""
-    counts = null_counts(df).first()
-    return [c for c in df.columns if c in set(unused) or counts[c] > counts["_rows"] * nan_fraction]
+    return over_limit(null_counts(df).first(), df.columns, nan_fraction, unused)
+
+
+def mark_nulls(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Remember which of the columns are NULL as bits of ``_nulls_<i>``, so that filling them keeps the counts."""
+    masks = {}
+    for i in range(0, len(columns), _MASK_BITS):
+        bits = [F.when(F.col(c).isNull(), F.lit(1 << k)).otherwise(F.lit(0)).cast("bigint") for k, c in enumerate(columns[i:i + _MASK_BITS])]
+        masks[f"_nulls_{i // _MASK_BITS}"] = reduce(lambda a, b: a.bitwiseOR(b), bits)
+    return df.withColumns(masks)
+
+
+def marked_null_counts(columns: list[str]) -> list[Column]:
+    """Aggregates that count the marks of ``mark_nulls``."""
+    return [
+        F.count_if(F.col(f"_nulls_{i // _MASK_BITS}").bitwiseAND(F.lit(1 << (i % _MASK_BITS)).cast("bigint")) != 0).alias(c)
+        for i, c in enumerate(columns)
+    ]
 
 
 def feature_filter(df: DataFrame, dropped: list[str]) -> DataFrame:
@@ -90,7 +114,7 @@ def impute(df: DataFrame, fill=0, method: str = "bfill", cols: PanelColumns = PA
     out = []
     for field in df.schema.fields:
         name = field.name
-        if name in fixed:
+        if name in fixed or name.startswith("_nulls_"):
             out.append(F.col(name))
             continue
         value = F.last(name, ignorenulls=True).over(spec)

@@ -203,8 +203,8 @@ def _best_model(spark, sf):
 def _prepared(spark, sf):
     """(train, test) of the fitted preparation, each written once."""
     train, test = train_test(read_panel(spark, sf))
-    fitted = PanelPrep().fit(train)
-    return written(fitted.transform(train, train=True), "train"), written(fitted.transform(test), "test")
+    fitted, ready = PanelPrep().fit_transform(train)
+    return written(ready, "train"), written(fitted.transform(test), "test")
 
 
 def _metrics(scores: DataFrame, model: H.HazardModel) -> DataFrame:

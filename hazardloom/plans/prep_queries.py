@@ -144,8 +144,9 @@ def _step(fn, source=read_panel):
 def _prep(train: bool):
     def run(spark, sf):
         a, b = train_test(read_panel(spark, sf))
-        fitted = PanelPrep().fit(a)
-        return tidy(fitted.transform(a if train else b, train=train))
+        if train:
+            return tidy(PanelPrep().fit_transform(a)[1])
+        return tidy(PanelPrep().fit(a).transform(b))
     return run
 
 
@@ -205,7 +206,7 @@ def _unknown_category(panel):
 
 def _one_hot(panel):
     rows = with_season(panel)
-    return E.one_hot(rows, "season", E.one_hot_categories(rows, "season")).select(
+    return E.one_hot(rows, "season", list(E.category_counts(rows, "season"))).select(
         "serial_number", "row_key", *[f"season_{m}" for m in MONTHS]
     )
 

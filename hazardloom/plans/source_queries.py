@@ -59,8 +59,8 @@ def _manifest(spark, sf):
 def store(spark, sf):
     """The prepared train and test rows, written and read back."""
     train, test = train_test(read_panel(spark, sf))
-    fitted = PanelPrep().fit(train)
-    return W.write_split(fitted.transform(train, train=True), fitted.transform(test), scratch_path(spark, "prepared"), rows_per_file=ROWS)
+    fitted, ready = PanelPrep().fit_transform(train)
+    return W.write_split(ready, fitted.transform(test), scratch_path(spark, "prepared"), rows_per_file=ROWS)
 
 
 def _write_split(spark, sf):
