@@ -43,10 +43,15 @@ def rebatch(df: DataFrame, rows_per_batch: int = ROWS_PER_BATCH, cols: PanelColu
     return numbered.select(*df.columns, F.floor(F.col("_index") / F.lit(rows_per_batch)).cast("bigint").alias("batchnum"))
 
 
+def arranged(df: DataFrame, rows_per_batch: int = ROWS_PER_BATCH, cols: PanelColumns = PANEL) -> DataFrame:
+    """Rows with ``batchnum``, one task and one sorted run per batch, ready for ``partitionBy("batchnum")``."""
+    batched = rebatch(df, rows_per_batch, cols)
+    return batched.repartition("batchnum").sortWithinPartitions("batchnum", *batch_order(df, cols))
+
+
 def write_batches(df: DataFrame, path: str, rows_per_batch: int = ROWS_PER_BATCH, cols: PanelColumns = PANEL) -> DataFrame:
     """Write one folder per batch below ``path`` (which must be new) and return the stored rows."""
-    batched = rebatch(df, rows_per_batch, cols)
-    batched.repartition("batchnum").sortWithinPartitions("batchnum", *batch_order(df, cols)).write.partitionBy("batchnum").parquet(path)
+    arranged(df, rows_per_batch, cols).write.partitionBy("batchnum").parquet(path)
     return read_batches(df.sparkSession, path)
 
 

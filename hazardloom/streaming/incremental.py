@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,19 +36,23 @@ class StateFolder:
     def versions(self) -> list[int]:
         try:
             done = self.spark.read.parquet(os.path.join(self.path, "done"))
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
                 return []
             raise
         return sorted(r[0] for r in done.select("version").distinct().collect())
 
+    def folder(self, version: int) -> str:
+        return os.path.join(self.path, f"version={version}")
+
     def read(self) -> DataFrame | None:
         known = self.versions()
-        return self.spark.read.parquet(os.path.join(self.path, f"version={known[-1]}")) if known else None
+        return self.spark.read.parquet(self.folder(known[-1])) if known else None
 
-    def write(self, df: DataFrame) -> int:
+    def write(self, df: DataFrame, *partition_by: str) -> int:
         version = (self.versions() or [-1])[-1] + 1
-        df.write.mode("overwrite").parquet(os.path.join(self.path, f"version={version}"))
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(self.folder(version))
         self.spark.createDataFrame([(version,)], "version int").coalesce(1).write.mode("append").parquet(os.path.join(self.path, "done"))
         return version
 
