@@ -3,6 +3,7 @@
 from hazardloom.functions.scalars import (
     elapsed_days,
     hash_order,
+    missing,
     month_name,
     nan_to_null,
     number_or_zero,
@@ -12,6 +13,6 @@ from hazardloom.functions.scalars import (
 from hazardloom.functions.curves import expected_time, linear_hazards, survival_curve
 
 __all__ = [
-    "elapsed_days", "expected_time", "hash_order", "linear_hazards", "month_name", "nan_to_null", "number_or_zero",
+    "elapsed_days", "expected_time", "hash_order", "linear_hazards", "missing", "month_name", "nan_to_null", "number_or_zero",
     "sigmoid", "survival_curve", "whole_days",
 ]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _DAY_MICROS = 86_400_000_000
@@ -27,6 +27,12 @@ def nan_to_null(value: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+def missing(df: DataFrame, column: str) -> Column:
+    """NULL, or NaN in a floating-point column."""
+    c = F.col(column)
+    return (c.isNull() | F.isnan(c)) if df.schema[column].dataType.typeName() in ("double", "float") else c.isNull()
+
+
 def number_or_zero(value: Column) -> Column:
     """Text or number as a double; what does not parse, is missing or NaN becomes 0."""
     return F.coalesce(nan_to_null(value.try_cast("double")), F.lit(0.0))

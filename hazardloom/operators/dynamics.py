@@ -8,14 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardloom.columns import DYNAMIC_STATS, PANEL, PanelColumns
+from hazardloom.functions import missing
 
-_TRUNC = {"daily": "DAY", "monthly": "MONTH"}
+FREQUENCIES = ("daily", "monthly")
 
 
 def period(freq: str, cols: PanelColumns = PANEL) -> Column:
-    if freq not in _TRUNC:
-        raise ValueError(f"freq must be one of {sorted(_TRUNC)}")
-    return F.date_trunc(_TRUNC[freq], F.col(cols.date)).cast("date")
+    if freq not in FREQUENCIES:
+        raise ValueError(f"freq must be one of {FREQUENCIES}")
+    return F.to_date(cols.date) if freq == "daily" else F.trunc(cols.date, "month")
 
 
 def lifetime_by_period(df: DataFrame, freq: str = "monthly", cols: PanelColumns = PANEL) -> DataFrame:
@@ -34,7 +35,7 @@ def lifetime_by_period(df: DataFrame, freq: str = "monthly", cols: PanelColumns
 def na_rate_by_period(df: DataFrame, freq: str = "monthly", cols: PanelColumns = PANEL) -> DataFrame:
     """Missing cells among the measure columns, in percent."""
     measures = cols.measures(df.columns)
-    nulls = reduce(lambda a, b: a + b, [F.col(c).isNull().cast("int") for c in measures])
+    nulls = reduce(lambda a, b: a + b, [missing(df, c).cast("int") for c in measures])
     return df.groupBy(period(freq, cols).alias("period")).agg(
         (F.sum(nulls) / (F.count(F.lit(1)) * len(measures)) * 100).alias("na_rate")
     )

@@ -34,9 +34,10 @@ def join_per_key(
     """Join rows with a table of at most one row per key; hot keys are salted.
 
     Rows of a hot key spread over as many slots as their number asks for, and only that key's table row is repeated per
-    slot. The slot comes from the row's identity, so a re-run task puts each row where it was before.
+    slot. The slot comes from the row key or, without one, from the row's values and its input partition (so that equal
+    copies spread too): a task that runs again puts each row where it was before.
     """
-    identity = [cols.row_key] if cols.row_key in rows.columns else rows.columns
+    identity = [F.col(cols.row_key)] if cols.row_key in rows.columns else [*map(F.col, rows.columns), F.spark_partition_id()]
     hot = F.broadcast(hot_keys(rows, key, rows_per_slot))
     left = rows.join(hot, key, "left").withColumn(
         "_slot",

@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardloom.columns import PANEL, TIMES, PanelColumns
-from hazardloom.functions import expected_time
+from hazardloom.functions import expected_time, nan_to_null
+from hazardloom.functions.dominance import bucket_counts
 from hazardloom.operators.hazard import HazardModel, predict
 from hazardloom.session import written
 
-VALUES_PER_BUCKET = 200_000
+VALUES_PER_BUCKET = 50_000
 MAX_BUCKETS = 4096
 EXACT_LONG_ROWS = 3_000_000_000  # below this many rows no pair count exceeds a bigint
 
@@ -23,28 +24,27 @@ def concordance(
     """One row: pairs, concordant, tied and ci = (concordant + tied / 2) / pairs, exact.
 
     A pair counts if the earlier duration is an event; at equal durations an event precedes a censoring. No pair is ever
-    built. Rows are first counted per (outcome code, prediction), so copies and ties collapse before anything else.
-    Codes are then compared bit by bit: a pair is decided at the highest bit where its codes differ, so each row is a
-    left or right member of one cell per bit. Within a cell the predictions are cut into buckets at quantiles: pairs across buckets follow from totals per bucket, pairs inside one from a running count over
-    at most about ``values_per_bucket`` values.
+    built. Rows are first counted per (outcome code, prediction), so copies and ties collapse before anything else, and
+    cut into buckets at quantiles of the predictions. Pairs inside a bucket are counted on its arrays, about
+    ``values_per_bucket`` points at a time. Pairs across buckets are compared bit by bit over the bucket numbers: at the
+    highest bit where they differ, the side with the bit set has all the larger predictions, so running sums over the
+    outcome codes decide. Those windows hold one row per outcome code, which days bound.
     """
-    code = F.col(duration).cast("bigint") * 2 + F.when(F.col(event).cast("boolean"), 0).otherwise(1)
+    outcome = F.col(duration).cast("bigint") * 2 + F.when(F.col(event).cast("boolean"), 0).otherwise(1)
+    value = nan_to_null(F.col(predicted).cast("double"))
     points = written(
-        df.where(F.col(duration).isNotNull() & F.col(event).isNotNull() & F.col(predicted).isNotNull())
-        .select(code.alias("c"), F.col(predicted).cast("double").alias("p"))
-        .groupBy("c", "p").agg(F.count(F.lit(1)).alias("n")),
+        df.select(outcome.alias("c"), value.alias("p"), F.col(event).alias("_e"))
+        .where("c IS NOT NULL AND p IS NOT NULL AND _e IS NOT NULL").groupBy("c", "p").agg(F.count(F.lit(1)).alias("n")),
         "points",
     )
-    largest, n_points, n_rows = points.agg(F.max("c"), F.count(F.lit(1)), F.sum("n")).first()
-    bits = max(int(largest or 0).bit_length(), 1)
-    wide_counts = (n_rows or 0) > EXACT_LONG_ROWS
-    count_type = "decimal(38,0)" if wide_counts else "bigint"
+    n_points, n_rows = points.agg(F.count(F.lit(1)), F.sum("n")).first()
+    exact = "decimal(38,0)" if (n_rows or 0) > EXACT_LONG_ROWS else "bigint"
+    factor = "decimal(19,0)" if exact != "bigint" else "bigint"
 
     def product(a: str, b: str):
-        factor = "decimal(19,0)" if wide_counts else "bigint"
-        return (F.col(a).cast(factor) * F.col(b).cast(factor)).cast(count_type)
+        return F.coalesce(F.sum((F.col(a).cast(factor) * F.col(b).cast(factor)).cast(exact)), F.lit(0)).cast(exact)
 
-    buckets = min(MAX_BUCKETS, -(-n_points // values_per_bucket))
+    buckets = max(1, min(MAX_BUCKETS, -(-n_points // values_per_bucket)))
     if buckets > 1:
         at = points.approxQuantile("p", [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))
         splits = [float("-inf"), *sorted(set(at) - {float("inf"), float("-inf")}), float("inf")]
@@ -52,30 +52,29 @@ def concordance(
     else:
         points = points.withColumn("b", F.lit(0))
 
-    right = F.expr("shiftright(c, k) & 1 = 1")
-    left = ~right & (F.col("c") % 2 == 0)
-    # a prediction has at most one point per code, so even one that many rows share stays small in a cell's bucket
-    sides = (
-        points.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
-        .where(left | right).withColumn("pre", F.expr("shiftright(c, k + 1)"))
-        .repartition("k", "pre", "b").groupBy("k", "pre", "b", "p")
-        .agg(F.sum(F.when(left, F.col("n")).otherwise(0)).alias("ni"), F.sum(F.when(right, F.col("n")).otherwise(0)).alias("nj"))
+    inside = points.groupBy("b").applyInArrow(bucket_counts, "concordant decimal(38,0), tied decimal(38,0)").select(
+        F.lit(0).cast(exact).alias("pairs"), F.col("concordant").cast(exact), F.col("tied").cast(exact)
     )
-    above = Window.partitionBy("k", "pre", "b").orderBy(F.col("p").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    inside = sides.withColumn("_above", F.coalesce(F.sum("nj").over(above), F.lit(0))).agg(
-        F.sum(product("ni", "_above")).alias("concordant"), F.sum(product("ni", "nj")).alias("tied")
-    ).withColumn("pairs", F.lit(0).cast(count_type))
-
-    cells = sides.groupBy("k", "pre", "b").agg(F.sum("ni").alias("ni"), F.sum("nj").alias("nj"))
-    cell = Window.partitionBy("k", "pre")
-    higher = cell.orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    across = cells.select(
-        "ni", F.coalesce(F.sum("nj").over(higher), F.lit(0)).alias("_higher"), F.sum("nj").over(cell).alias("_all")
-    ).agg(
-        F.sum(product("ni", "_higher")).alias("concordant"), F.lit(0).cast(count_type).alias("tied"),
-        F.sum(product("ni", "_all")).alias("pairs"),
+
+    # counts per bucket and outcome code; only events are left members
+    counts = [F.sum(F.when(F.col("c") % 2 == 0, F.col("n")).otherwise(0)).alias("ni"), F.sum("n").alias("nj")]
+    cells = points.groupBy("b", "c").agg(*counts)
+    right = F.expr("shiftright(b, k) & 1 = 1")
+    sides = (
+        cells.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(max(buckets.bit_length() - 1, 0)))))
+        .groupBy("k", F.expr("shiftright(b, k + 1)").alias("pre"), "c")
+        .agg(F.sum(F.when(~right, F.col("ni")).otherwise(0)).alias("ni"), F.sum(F.when(right, F.col("nj")).otherwise(0)).alias("nj"))
     )
-    total = inside.unionByName(across).agg(*[F.coalesce(F.sum(c), F.lit(0).cast(count_type)).cast(count_type).alias(c) for c in ("pairs", "concordant", "tied")])
+    larger = F.col("c").desc()
+    after = F.coalesce(F.sum("nj").over(Window.partitionBy("k", "pre").orderBy(larger).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    across = sides.withColumn("_after", after).agg(product("ni", "_after").alias("concordant"))
+
+    codes = points.groupBy("c").agg(*counts)  # one row per outcome code
+    later = F.coalesce(F.sum("nj").over(Window.orderBy(larger).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pairs = codes.withColumn("_later", later).agg(product("ni", "_later").alias("pairs"))
+
+    parts = inside.unionByName(across, allowMissingColumns=True).unionByName(pairs, allowMissingColumns=True)
+    total = parts.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast(exact).alias(c) for c in ("pairs", "concordant", "tied")])
     ci = (F.col("concordant").cast("double") + F.col("tied").cast("double") / 2) / F.nullif(F.col("pairs").cast("double"), F.lit(0.0))
     return total.withColumn("ci", ci)
 

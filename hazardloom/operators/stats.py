@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardloom.columns import PANEL, STATIC_STATS, PanelColumns
-from hazardloom.functions import elapsed_days
+from hazardloom.functions import elapsed_days, missing
 
 
 def _devices(df: DataFrame, cols: PanelColumns) -> DataFrame:
@@ -46,7 +46,7 @@ def lifetime(df: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:
 
 def na_rates(df: DataFrame) -> DataFrame:
     """One row with the percentage of missing values of every column."""
-    return df.agg(*[(F.avg(F.col(c).isNull().cast("int")) * 100).alias(c) for c in df.columns])
+    return df.agg(*[(F.avg(missing(df, c).cast("int")) * 100).alias(c) for c in df.columns])
 
 
 def na_rate(df: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def static_stats(df: DataFrame, names=STATIC_STATS, cols: PanelColumns = PANEL)
     if "max_date" in names:
         whole.append(F.max(cols.date).alias("max_date"))
     if "na_rate" in names:
-        whole += [(F.avg(F.col(c).isNull().cast("int")) * 100).alias(f"na_rate_{c}") for c in df.columns]
+        whole += [(F.avg(missing(df, c).cast("int")) * 100).alias(f"na_rate_{c}") for c in df.columns]
     if whole:
         part = df.agg(*whole)
         parts.append(part.withColumn("n_columns", F.lit(len(df.columns)).cast("bigint")) if "data_size" in names else part)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hazardloom.columns import NAN_FRACTION, PANEL, TRAIN_SAMPLES, UNUSED_FEATURES, PanelColumns
-from hazardloom.functions import hash_order, number_or_zero
+from hazardloom.functions import hash_order, missing, nan_to_null, number_or_zero
 from hazardloom.operators.keyed import lookup
 
 _MASK_BITS = 60
@@ -65,7 +65,7 @@ def drop_duplicates(df: DataFrame, keys: list[str] | None = None, cols: PanelCol
 
 
 def null_counts(df: DataFrame) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
+    return df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count_if(missing(df, c)).alias(c) for c in df.columns])
 
 
 def over_limit(counts, columns, nan_fraction: float = NAN_FRACTION, unused=UNUSED_FEATURES) -> list[str]:
@@ -81,7 +81,7 @@ def mark_nulls(df: DataFrame, columns: list[str]) -> DataFrame:
     """Remember which of the columns are NULL as bits of ``_nulls_<i>``, so that filling them keeps the counts."""
     masks = {}
     for i in range(0, len(columns), _MASK_BITS):
-        bits = [F.when(F.col(c).isNull(), F.lit(1 << k)).otherwise(F.lit(0)).cast("bigint") for k, c in enumerate(columns[i:i + _MASK_BITS])]
+        bits = [F.when(missing(df, c), F.lit(1 << k)).otherwise(F.lit(0)).cast("bigint") for k, c in enumerate(columns[i:i + _MASK_BITS])]
         masks[f"_nulls_{i // _MASK_BITS}"] = reduce(lambda a, b: a.bitwiseOR(b), bits)
     return df.withColumns(masks)
 
@@ -117,7 +117,8 @@ def impute(df: DataFrame, fill=0, method: str = "bfill", cols: PanelColumns = PA
         if name in fixed or name.startswith("_nulls_"):
             out.append(F.col(name))
             continue
-        value = F.last(name, ignorenulls=True).over(spec)
+        known = nan_to_null(F.col(name)) if isinstance(field.dataType, (T.DoubleType, T.FloatType)) else F.col(name)
+        value = F.last(known, ignorenulls=True).over(spec)
         default = fill.get(name) if isinstance(fill, dict) else fill
         if default is not None:
             value = F.coalesce(value, F.lit(str(default) if isinstance(field.dataType, T.StringType) else default).cast(field.dataType))

@@ -23,11 +23,18 @@ def list_csv(spark: SparkSession, paths: list[str]) -> list[str]:
 
 
 def read_group(spark: SparkSession, files: list[str], header: list[str], cols: PanelColumns = PANEL, typed: bool = True) -> DataFrame:
-    """Files with one common header. Unparsable numbers and NaN become NULL."""
-    schema = T.StructType([T.StructField(c, raw_type(c, cols) if typed else T.StringType()) for c in header])
+    """Files with one common header. Unparsable values and NaN become NULL; a date may carry a time, which is cut off."""
+    types = {c: raw_type(c, cols) if typed else T.StringType() for c in header}
+    dates = {c for c, t in types.items() if isinstance(t, T.DateType)}
+    schema = T.StructType([T.StructField(c, T.StringType() if c in dates else t) for c, t in types.items()])
     rows = spark.read.schema(schema).option("header", True).csv(files)
-    doubles = {f.name for f in schema.fields if isinstance(f.dataType, T.DoubleType)}
-    return rows.select(*[nan_to_null(F.col(c)).alias(c) if c in doubles else F.col(c) for c in header])
+
+    def clean(c: str):
+        if c in dates:
+            return F.col(c).try_cast("date").alias(c)
+        return nan_to_null(F.col(c)).alias(c) if isinstance(types[c], T.DoubleType) else F.col(c)
+
+    return rows.select(*[clean(c) for c in header])
 
 
 def read_csv(spark: SparkSession, paths: list[str], cols: PanelColumns = PANEL, typed: bool = True, probes: int = 16) -> DataFrame:

@@ -31,6 +31,15 @@ def test_salted_join_is_the_plain_join(spark, hot, how):
     assert rows(salted, *columns) == rows(plain, *columns)
 
 
+def test_equal_copies_spread_too(spark):
+    copies = spark.range(4000, numPartitions=8).select(F.when(F.col("id") < 3000, "hot").otherwise("cold").alias("serial_number"))
+    table = copies.distinct().withColumn("x", F.lit(1))
+    joined = K.join_per_key(copies, table, "serial_number", rows_per_slot=100)
+    assert rows(joined.groupBy("serial_number").agg(F.sum("x").alias("n")), "serial_number", "n") == [("cold", 1000), ("hot", 3000)]
+    plan = K.join_per_key(copies, table, "serial_number", rows_per_slot=100)._jdf.queryExecution().toString()
+    assert "SPARK_PARTITION_ID()" in plan
+
+
 def test_only_hot_keys_are_spread(hot):
     found = K.hot_keys(hot, "serial_number", 100).collect()
     assert [(r.serial_number, r._slots) for r in found] == [("hot", 30)]

@@ -47,6 +47,21 @@ def test_label_shift_lifetime_reader(clean):
     assert rows(H.training_rows(out), "serial_number", "time", "time_to_event", "failure") == [("A", 0, 2, 1)]
 
 
+def test_nan_counts_as_missing(spark):
+    df = spark.createDataFrame([("A", 0, float("nan")), ("A", 1, 2.0), ("A", 2, float("nan"))], "serial_number string, time int, smart_1 double")
+    assert rows(S.impute(df), "time", "smart_1") == [(0, 2.0), (1, 2.0), (2, 0.0)]
+    assert S.null_counts(df).first().smart_1 == 2
+    marked = S.mark_nulls(df, ["serial_number", "time", "smart_1"])
+    assert tuple(marked.agg(*S.marked_null_counts(["serial_number", "time", "smart_1"])).first()) == (0, 0, 2)
+
+
+def test_marks_of_many_columns(spark):
+    names = [f"smart_{i}" for i in range(130)]
+    df = spark.range(20).select(*[F.when(F.col("id") % 20 < i % 20, F.lit(1.0)).alias(n) for i, n in enumerate(names)])
+    got = S.mark_nulls(df, names).agg(*S.marked_null_counts(names)).first()
+    assert [got[n] for n in names] == [20 - i % 20 for i in range(130)]
+
+
 def test_coercion(spark):
     df = spark.createDataFrame([(1, "3.5"), (2, "x"), (3, None), (4, "NaN")], "k int, smart_1 string")
     assert rows(S.coerce_measures(df), "k", "smart_1") == [(1, 3.5), (2, 0.0), (3, 0.0), (4, 0.0)]
