@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -181,6 +183,7 @@ def _score_model(spark, sf):
     return tidy(_scores(first_rows(spark, sf), "v1"))
 
 
+@lru_cache(maxsize=4)
 def _registry(spark, sf) -> str:
     """Score the three versions on the devices' first rows and append them to a new table."""
     rows, root = written(first_rows(spark, sf), "first"), scratch_path(spark, "registry")
@@ -200,8 +203,9 @@ def _best_model(spark, sf):
     return tidy(parts[0].unionByName(parts[1]))
 
 
+@lru_cache(maxsize=4)
 def _prepared(spark, sf):
-    """(train, test) of the fitted preparation, each written once."""
+    """(train, test) of the fitted preparation, each written once per session for all models that are fitted on it."""
     train, test = train_test(read_panel(spark, sf))
     fitted, ready = PanelPrep().fit_transform(train)
     return written(ready, "train"), written(fitted.transform(test), "test")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from functools import lru_cache
 
 from pyspark.sql import functions as F
 
@@ -56,8 +57,9 @@ def _manifest(spark, sf):
     return tidy(B.manifest(B.write_batches(read_panel(spark, sf), scratch_path(spark, "storage"), ROWS)))
 
 
+@lru_cache(maxsize=4)
 def store(spark, sf):
-    """The prepared train and test rows, written and read back."""
+    """The prepared train and test rows, written once per session and read back by the readers."""
     train, test = train_test(read_panel(spark, sf))
     fitted, ready = PanelPrep().fit_transform(train)
     return W.write_split(ready, fitted.transform(test), scratch_path(spark, "prepared"), rows_per_file=ROWS)
