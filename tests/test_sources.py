@@ -9,7 +9,7 @@ from hazardloom.sources import prepared as W
 
 from conftest import rows
 
-DRIVES = "date,model,smart_1\n2013-04-10,Hitachi HDS5C3030ALA630,3000592982016\n2013-04-10,Hitachi HDS722020ALA330,2000398934016\n"
+DRIVES = "date,model,smart_1\n2013-04-10,Drive one,3000\n2013-04-10,Drive two,2000\n"
 
 
 @pytest.fixture
