@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import os
-import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
+_FOLDERS: set[str] = set()
+
+
 def local_session(cpus: int = 8, name: str = "hazardloom") -> SparkSession:
     """Session for tests and the local benchmark; a cluster brings its own."""
     spark = (
@@ -27,23 +31,30 @@ def local_session(cpus: int = 8, name: str = "hazardloom") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors see: ``spark.checkpoint.dir``; a temporary one only where that is unset and local."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    known = getattr(spark, "_hazardloom_scratch", None)
-    if known:
-        return known
-    if not spark.conf.get("spark.master", "local").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    spark._hazardloom_scratch = tempfile.mkdtemp(prefix="hazardloom-")
-    return spark._hazardloom_scratch
+    """Folder of this application that all executors see; its files go when the Python process ends.
+
+    It lies in ``spark.checkpoint.dir``, or where that is unset in ``spark.sql.warehouse.dir``, which executors share too.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = os.path.join(root, f"hazardloom-{spark.sparkContext.applicationId}")
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_delete, spark._jvm, spark._jsc.hadoopConfiguration(), folder)
+    return folder
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex[:12]}")
 
 
+def _delete(jvm, conf, path: str) -> None:
+    try:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    except Py4JError:  # the JVM ended first; the folder's name tells whose it was
+        pass
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back.
 
@@ -62,5 +73,4 @@ def discard(table: DataFrame) -> None:
     path = getattr(table, "_scratch", None)
     if path:
         spark = table.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(spark._jvm, spark._jsc.hadoopConfiguration(), path)
