@@ -168,7 +168,7 @@ def near_duplicate_survivors(
     at 0.8: five-word runs at that similarity differ in about ten bits.) Rows without id stay only in groups that have
     none; of repeated rows one stays. Texts without words are copies of each other. All columns are kept.
     """
-    d = docs.withColumn("_id", F.col(id_col)).withColumn("_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    d = docs.withColumn("_id", F.col(id_col)).withColumn("_hash", F.xxhash64(F.col(id_col), F.xxhash64(F.col(text_col))))
 
     def each(batches):
         for b in batches:
@@ -197,16 +197,16 @@ def near_duplicate_survivors(
     wanted = pairs.select("same").union(pairs.select("other")).distinct()
     wanted = written(texts.join(wanted, "same").select("same", "best._id", "best._hash"), "wanted")
     found = d.select("_id", "_hash", F.col(text_col).alias("_text")).alias("d").join(
-        wanted.alias("w"), F.col("d._id").eqNullSafe(F.col("w._id")) & (F.col("d._hash") == F.col("w._hash"))
+        wanted.alias("w"), (F.col("d._hash") == F.col("w._hash")) & F.col("d._id").eqNullSafe(F.col("w._id"))
     ).groupBy("same").agg(F.first("_text").alias("_text"))
     linked = _verified(pairs, written(found, "found"), shingle, similarity)
     roots = connected_components(linked, "same", "other").toDF("same", "root")
     groups = texts.select("same", "best").join(roots, "same", "left").groupBy(F.coalesce("root", "same").alias("root"))
     stay = written(groups.agg(F.min("best").alias("best")).select("best._id", "best._hash"), "survivors")
-    one = Window.partitionBy("_id", "_hash").orderBy("_id")
+    one = Window.partitionBy("_hash", "_id").orderBy("_id")
     return (
         d.alias("d").join(
-            stay.alias("s"), F.col("d._id").eqNullSafe(F.col("s._id")) & (F.col("d._hash") == F.col("s._hash")), "left_semi"
+            stay.alias("s"), (F.col("d._hash") == F.col("s._hash")) & F.col("d._id").eqNullSafe(F.col("s._id")), "left_semi"
         ).withColumn("_copy", F.row_number().over(one)).where("_copy = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
     )
 
