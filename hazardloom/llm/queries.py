@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardloom.llm import mixing, simhash
+from hazardloom.llm import mixing, packing, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.digests(packing.pack(docs, packing.vocabulary_path("word_bpe_49k.json")))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.words_taken(docs, weights=(5, 2, 1), share=1.5)
@@ -23,6 +28,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_shortest_pack_first": op2_shortest_pack_first,
     "op7_source_mixing": op7_source_mixing,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
