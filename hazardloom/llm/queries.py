@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardloom.llm import mixing, packing, simhash
+from hazardloom.llm import mixing, packing, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op2_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(docs, packing.vocabulary_path("word_bpe_49k.json")))
 
 
+def op4_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return toxicity.toxicity(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.words_taken(docs, weights=(5, 2, 1), share=1.5)
@@ -29,6 +34,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_shortest_pack_first": op2_shortest_pack_first,
+    "op4_toxicity_grammar": op4_toxicity_grammar,
     "op7_source_mixing": op7_source_mixing,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
