@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardloom.llm import mixing, packing, simhash, toxicity
+from hazardloom.llm import mixing, packing, simhash, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op4_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.token_counts(docs, packing.vocabulary_path("byte_bpe_50k.json"), limit=1024)
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.words_taken(docs, weights=(5, 2, 1), share=1.5)
@@ -35,6 +40,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_shortest_pack_first": op2_shortest_pack_first,
     "op4_toxicity_grammar": op4_toxicity_grammar,
+    "op6_token_counts": op6_token_counts,
     "op7_source_mixing": op7_source_mixing,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
