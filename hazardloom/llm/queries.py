@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardloom.llm import mixing, packing, simhash, token_counts, toxicity
+from hazardloom.llm import mixing, packing, simhash, token_counts, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op2_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.digests(packing.pack(docs, packing.vocabulary_path("word_bpe_49k.json")))
@@ -38,6 +42,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc_archives": op1_warc_archives,
     "op2_shortest_pack_first": op2_shortest_pack_first,
     "op4_toxicity_grammar": op4_toxicity_grammar,
     "op6_token_counts": op6_token_counts,
@@ -45,4 +50,12 @@ QUERIES = {
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_warc_archives": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS d FROM pages),
+        k AS (SELECT d, max(page_id) AS keeper FROM p WHERE octet_length(b) >= 1000 GROUP BY d)
+        SELECT page_id, octet_length(b) AS payload_bytes, p.d AS payload_digest,
+               CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN keeper <> page_id THEN keeper END AS refers_to
+        FROM p LEFT JOIN k ON p.d = k.d""",
+}
