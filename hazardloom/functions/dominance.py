@@ -11,7 +11,18 @@ from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_EXACT = 3_000_000_000  # weights up to this sum cannot overflow a 64-bit product sum
+LIMB, CHUNK = 21, 1 << 20  # products of 21-bit parts stay below 2^42, so sums over a chunk stay below 2^62
+
+
+def exact_dot(a: np.ndarray, b: np.ndarray) -> int:
+    """Sum of products of two arrays of non-negative 64-bit integers, exact at any size."""
+    total, mask = 0, (1 << LIMB) - 1
+    for at in range(0, len(a), CHUNK):
+        x, y = a[at : at + CHUNK], b[at : at + CHUNK]
+        for i in range(3):
+            for j in range(3):
+                total += int(((x >> (LIMB * i)) & mask) @ ((y >> (LIMB * j)) & mask)) << (LIMB * (i + j))
+    return total
 
 
 def ordered_pairs(code: np.ndarray, value: np.ndarray, weight: np.ndarray) -> tuple[int, int]:
@@ -22,7 +33,6 @@ def ordered_pairs(code: np.ndarray, value: np.ndarray, weight: np.ndarray) -> tu
     """
     by_value = np.argsort(-value, kind="stable")
     code, value, weight = code[by_value], value[by_value], weight[by_value]
-    kind = object if int(weight.sum()) > _EXACT else np.int64
     rank = np.unique(code, return_inverse=True)[1]
     even, place = code % 2 == 0, np.arange(len(code))
     above_sum = beside_sum = 0
@@ -30,7 +40,7 @@ def ordered_pairs(code: np.ndarray, value: np.ndarray, weight: np.ndarray) -> tu
         at = np.argsort(rank >> (bit + 1), kind="stable")
         cell, v, w = rank[at] >> (bit + 1), value[at], weight[at]
         right = (rank[at] >> bit) & 1 == 1
-        left = np.where(~right & even[at], w, 0).astype(kind)
+        left = np.where(~right & even[at], w, 0)
         seen = np.concatenate([[0], np.cumsum(np.where(right, w, 0))])
         new_cell = np.concatenate([[True], cell[1:] != cell[:-1]])
         new_value = new_cell | np.concatenate([[True], v[1:] != v[:-1]])
@@ -38,8 +48,8 @@ def ordered_pairs(code: np.ndarray, value: np.ndarray, weight: np.ndarray) -> tu
         group = np.cumsum(new_value) - 1
         first, last = seen[starts][group], seen[np.append(starts[1:], len(code))][group]
         cell_first = seen[np.maximum.accumulate(np.where(new_cell, place, 0))]
-        above_sum += int((left * (first - cell_first).astype(kind)).sum())
-        beside_sum += int((left * (last - first).astype(kind)).sum())
+        above_sum += exact_dot(left, first - cell_first)
+        beside_sum += exact_dot(left, last - first)
     return above_sum, beside_sum
 
 

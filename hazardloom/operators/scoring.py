@@ -2,59 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardloom.columns import PANEL, TIMES, PanelColumns
-from hazardloom.functions import expected_time, nan_to_null
+from hazardloom.functions import expected_time
 from hazardloom.functions.dominance import bucket_counts
 from hazardloom.operators.hazard import HazardModel, predict
 from hazardloom.session import written
 
 VALUES_PER_BUCKET = 50_000
-MAX_BUCKETS = 4096
-EXACT_LONG_ROWS = 3_000_000_000  # below this many rows no pair count exceeds a bigint
+_EXACT = "decimal(38,0)"
+
+
+def _product(a: str, b: str):
+    """Sum of products of two counts, exact at any size."""
+    return F.coalesce(F.sum((F.col(a).cast("decimal(19,0)") * F.col(b).cast("decimal(19,0)")).cast(_EXACT)), F.lit(0)).cast(_EXACT)
 
 
 def concordance(
     df: DataFrame, duration: str = "duration", predicted: str = "predicted", event: str = "failure",
     values_per_bucket: int = VALUES_PER_BUCKET,
 ) -> DataFrame:
-    """One row: pairs, concordant, tied and ci = (concordant + tied / 2) / pairs, exact.
+    """One row: pairs, concordant, tied (decimals) and ci = (concordant + tied / 2) / pairs, exact.
 
-    A pair counts if the earlier duration is an event; at equal durations an event precedes a censoring. No pair is ever
-    built. Rows are first counted per (outcome code, prediction), so copies and ties collapse before anything else, and
-    cut into buckets at quantiles of the predictions. Pairs inside a bucket are counted on its arrays, about
-    ``values_per_bucket`` points at a time. Pairs across buckets are compared bit by bit over the bucket numbers: at the
+    A pair counts if the earlier duration is an event; at equal durations an event precedes a censoring. Durations may be any
+    numbers. Rows with a missing value are left out; a NaN prediction is an error. No pair is ever
+    built. Rows are first counted per (duration, event, prediction), so copies and ties collapse before anything else, and
+    cut into ranges of the prediction. Pairs inside a range are counted on its arrays, about
+    ``values_per_bucket`` points at a time. Pairs across ranges are compared bit by bit over the range numbers: at the
     highest bit where they differ, the side with the bit set has all the larger predictions, so running sums over the
-    outcome codes decide. Those windows hold one row per outcome code, which days bound.
+    outcome codes decide. Those windows hold one row per distinct outcome.
     """
-    outcome = F.col(duration).cast("bigint") * 2 + F.when(F.col(event).cast("boolean"), 0).otherwise(1)
-    value = nan_to_null(F.col(predicted).cast("double"))
     points = written(
-        df.select(outcome.alias("c"), value.alias("p"), F.col(event).alias("_e"))
-        .where("c IS NOT NULL AND p IS NOT NULL AND _e IS NOT NULL").groupBy("c", "p").agg(F.count(F.lit(1)).alias("n")),
+        df.select(
+            F.col(duration).cast("double").alias("d"), F.when(F.col(event).cast("boolean"), 0).otherwise(1).alias("e"),
+            F.col(predicted).cast("double").alias("p"), F.col(event).alias("_e"),
+        ).where("d IS NOT NULL AND p IS NOT NULL AND _e IS NOT NULL").groupBy("d", "e", "p").agg(F.count(F.lit(1)).alias("n")),
         "points",
     )
-    n_points, n_rows = points.agg(F.count(F.lit(1)), F.sum("n")).first()
-    exact = "decimal(38,0)" if (n_rows or 0) > EXACT_LONG_ROWS else "bigint"
-    factor = "decimal(19,0)" if exact != "bigint" else "bigint"
-
-    def product(a: str, b: str):
-        return F.coalesce(F.sum((F.col(a).cast(factor) * F.col(b).cast(factor)).cast(exact)), F.lit(0)).cast(exact)
-
-    buckets = max(1, min(MAX_BUCKETS, -(-n_points // values_per_bucket)))
+    n_points, bad = points.agg(F.count(F.lit(1)), F.count_if(F.isnan("p") | F.isnan("d"))).first()
+    if bad:
+        raise ValueError("durations and predictions must not be NaN")
+    # even codes are events; equal durations share all but the last bit
+    order = F.dense_rank().over(Window.orderBy("d")).cast("bigint") * 2
+    codes = points.select("d").distinct().withColumn("r", order)
+    buckets = max(1, -(-n_points // values_per_bucket))
+    points = points.join(codes, "d").select((F.col("r") + F.col("e")).alias("c"), "p", "n")
     if buckets > 1:
-        at = points.approxQuantile("p", [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))
-        splits = [float("-inf"), *sorted(set(at) - {float("inf"), float("-inf")}), float("inf")]
-        points = Bucketizer(splits=splits, inputCol="p", outputCol="b").transform(points).withColumn("b", F.col("b").cast("int"))
+        points = written(points.repartitionByRange(buckets, "p").withColumn("b", F.spark_partition_id()), "buckets")
     else:
         points = points.withColumn("b", F.lit(0))
 
-    inside = points.groupBy("b").applyInArrow(bucket_counts, "concordant decimal(38,0), tied decimal(38,0)").select(
-        F.lit(0).cast(exact).alias("pairs"), F.col("concordant").cast(exact), F.col("tied").cast(exact)
-    )
+    inside = points.groupBy("b").applyInArrow(bucket_counts, f"concordant {_EXACT}, tied {_EXACT}").withColumn("pairs", F.lit(0).cast(_EXACT))
 
     # counts per bucket and outcome code; only events are left members
     counts = [F.sum(F.when(F.col("c") % 2 == 0, F.col("n")).otherwise(0)).alias("ni"), F.sum("n").alias("nj")]
@@ -67,14 +67,14 @@ def concordance(
     )
     larger = F.col("c").desc()
     after = F.coalesce(F.sum("nj").over(Window.partitionBy("k", "pre").orderBy(larger).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    across = sides.withColumn("_after", after).agg(product("ni", "_after").alias("concordant"))
+    across = sides.withColumn("_after", after).agg(_product("ni", "_after").alias("concordant"))
 
-    codes = points.groupBy("c").agg(*counts)  # one row per outcome code
+    whole = points.groupBy("c").agg(*counts)  # one row per outcome code
     later = F.coalesce(F.sum("nj").over(Window.orderBy(larger).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    pairs = codes.withColumn("_later", later).agg(product("ni", "_later").alias("pairs"))
+    pairs = whole.withColumn("_later", later).agg(_product("ni", "_later").alias("pairs"))
 
     parts = inside.unionByName(across, allowMissingColumns=True).unionByName(pairs, allowMissingColumns=True)
-    total = parts.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast(exact).alias(c) for c in ("pairs", "concordant", "tied")])
+    total = parts.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast(_EXACT).alias(c) for c in ("pairs", "concordant", "tied")])
     ci = (F.col("concordant").cast("double") + F.col("tied").cast("double") / 2) / F.nullif(F.col("pairs").cast("double"), F.lit(0.0))
     return total.withColumn("ci", ci)
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hazardloom.functions import expected_time, linear_hazards, survival_curve
+from hazardloom.functions.dominance import exact_dot
 from hazardloom.operators import scoring as C
 
 
@@ -25,7 +26,7 @@ def frame(spark, t, e, p):
 
 def test_small(spark):
     r = C.concordance(frame(spark, [2, 4, 4, 6], [1, 1, 0, 0], [1, 3, 3, 2])).first()
-    assert (r.pairs, r.concordant, r.tied, r.ci) == (5, 3, 1, 0.7)
+    assert (int(r.pairs), int(r.concordant), int(r.tied), r.ci) == (5, 3, 1, 0.7)
 
 
 @pytest.mark.parametrize("per_bucket", [10, 60, 10_000])
@@ -35,7 +36,7 @@ def test_against_all_pairs(spark, per_bucket):
     t, e = rng.integers(0, 40, n), rng.random(n) < 0.5
     p = np.where(rng.random(n) < 0.33, 5.0, np.round(rng.normal(5, 2, n), 1))  # a third of all predictions are equal
     r = C.concordance(frame(spark, t, e, p), values_per_bucket=per_bucket).first()
-    assert (r.pairs, r.concordant, r.tied) == brute(t, e, p)
+    assert (int(r.pairs), int(r.concordant), int(r.tied)) == brute(t, e, p)
 
 
 def test_reversed_predictions(spark):
@@ -45,11 +46,17 @@ def test_reversed_predictions(spark):
     assert up + down == pytest.approx(1)
 
 
-def test_decimal_counts_agree(spark, monkeypatch):
-    data = frame(spark, [2, 4, 4, 6], [1, 1, 0, 0], [1, 3, 3, 2])
-    monkeypatch.setattr(C, "EXACT_LONG_ROWS", 0)
+def test_fractional_durations(spark):
+    data = spark.createDataFrame([(1.2, True, 1.0), (1.8, True, 3.0), (2.5, True, 2.0)], "duration double, failure boolean, predicted double")
     r = C.concordance(data).first()
-    assert (int(r.pairs), int(r.concordant), int(r.tied), r.ci) == (5, 3, 1, 0.7)
+    assert (int(r.pairs), int(r.concordant), int(r.tied)) == (3, 2, 0)
+    with pytest.raises(ValueError):
+        C.concordance(data.withColumn("predicted", F.lit(float("nan"))))
+
+
+def test_exact_dot_beyond_64_bits():
+    a, b = np.array([2**62, 2**40 + 1, 7]), np.array([2**61 + 3, 2**50, 0])
+    assert exact_dot(a, b) == sum(int(x) * int(y) for x, y in zip(a, b))
 
 
 def test_no_pairs(spark):
