@@ -68,18 +68,43 @@ def observ_by_period(df: DataFrame, freq: str = "monthly", cols: PanelColumns =
     return daily.groupBy("period").agg(F.avg("_n").alias("mean_observ_per_day"))
 
 
+def all_by_period(df: DataFrame, freq: str = "monthly", cols: PanelColumns = PANEL) -> DataFrame:
+    """All statistics, one row for every period of any row; null ids and null dates included.
+
+    The raw rows are read once, into one row per device and date with counts. Windows then see one device's dates, and the running
+    sums the calendar-sized table only.
+    """
+    measures = cols.measures(df.columns)
+    nulls = reduce(lambda a, b: a + b, [missing(df, c).cast("int") for c in measures], F.lit(0))
+    days = df.groupBy(cols.id, cols.date, period(freq, cols).alias("period")).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(nulls).alias("_nulls"), F.max(F.col(cols.label) == 1).alias("_fails")
+    )
+    device, date = Window.partitionBy(cols.id), F.col(cols.date)
+    known = F.col(cols.id).isNotNull()
+    born = F.min(date).over(device)
+    failed = F.min(F.when(F.col("_fails"), date)).over(device)
+    last = known & (date == F.max(date).over(Window.partitionBy(cols.id, "period")))
+    marked = days.select(
+        "period", date.alias("_date"), "_n", "_nulls",
+        F.when(last, F.datediff(date, born).cast("bigint")).alias("_age"),
+        (known & (date == born)).cast("int").alias("_s"), (known & (date == failed)).cast("int").alias("_f"),
+    )
+    table = marked.groupBy("period").agg(
+        F.avg("_age").alias("mean_lifetime"), F.max("_age").alias("max_lifetime"),
+        (F.sum("_nulls") / F.nullif(F.sum("_n") * len(measures), F.lit(0)) * 100).alias("na_rate"),
+        (F.sum("_n") / F.greatest(F.countDistinct("_date"), F.lit(1))).alias("mean_observ_per_day"),
+        F.coalesce(F.sum("_s"), F.lit(0)).alias("_s"), F.coalesce(F.sum("_f"), F.lit(0)).alias("_f"),
+    )
+    upto = Window.orderBy("period").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen, gone = F.sum("_s").over(upto), F.sum("_f").over(upto)
+    rate = (seen - gone) / F.nullif(seen, F.lit(0)) * 100
+    return table.withColumn("survival_rate", rate).withColumn("failure_rate", 100 - F.col("survival_rate")).drop("_s", "_f")
+
+
 def dynamic_stats(df: DataFrame, names=DYNAMIC_STATS, freq: str = "daily", cols: PanelColumns = PANEL) -> DataFrame:
     """The named statistics, one row per period. ``mean_observ`` is accepted for ``mean_observ_per_day``."""
     names = ["mean_observ_per_day" if n == "mean_observ" else n for n in names]
     unknown = [n for n in names if n not in DYNAMIC_STATS]
     if unknown:
         raise KeyError(f"unknown statistics: {unknown}")
-    makers = {
-        lifetime_by_period: {"mean_lifetime", "max_lifetime"},
-        na_rate_by_period: {"na_rate"},
-        survival_by_period: {"survival_rate", "failure_rate"},
-        observ_by_period: {"mean_observ_per_day"},
-    }
-    tables = [make(df, freq, cols) for make, gives in makers.items() if gives & set(names)]
-    joined = reduce(lambda a, b: a.join(b, "period", "left"), tables)
-    return joined.select("period", *names)
+    return all_by_period(df, freq, cols).select("period", *names)

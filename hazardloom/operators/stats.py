@@ -179,9 +179,9 @@ def mean_elapsed_gap(df: DataFrame, id_col: str, ts_col: str) -> DataFrame:
     """Mean gap, in whole 24-hour periods, between consecutive rows of a device with an intraday time.
 
     Gaps inside one calendar day are shorter than 24 hours and count 0, so first and last time per (device, day) are
-    enough, and the ordered window sees one row per device and day.
+    enough, and the ordered window sees one row per device and day. Rows without a time take no part.
     """
-    days = df.where(F.col(id_col).isNotNull()).groupBy(id_col, F.to_date(ts_col).alias("_day")).agg(
+    days = df.where(F.col(id_col).isNotNull() & F.col(ts_col).isNotNull()).groupBy(id_col, F.to_date(ts_col).alias("_day")).agg(
         F.min(ts_col).alias("_first"), F.max(ts_col).alias("_last"), F.count(ts_col).alias("_n")
     )
     before = F.lag("_last").over(Window.partitionBy(id_col).orderBy("_day"))

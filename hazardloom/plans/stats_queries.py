@@ -45,6 +45,12 @@ def _events_gap(spark, sf):
     return tidy(S.mean_elapsed_gap(spark.read.parquet(f"{sf}/events.parquet"), "user_id", "ts"))
 
 
+def _events_gap_nulls(spark, sf):
+    """The same where every seventh event has lost its time."""
+    events = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.when(F.col("event_id") % 7 != 0, F.col("ts")))
+    return tidy(S.mean_elapsed_gap(events, "user_id", "ts"))
+
+
 def _dyn_sql(kind: str, unit: str) -> str:
     p = f"CAST(date_trunc('{unit}', date) AS DATE)"
     if kind == "lifetime":
@@ -145,7 +151,19 @@ QUERIES = {
           SELECT floor((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 86400000000.0) AS gap
           FROM events)""",
     ),
+    "events_obs_gap_nulls": (
+        _events_gap_nulls,
+        f"""SELECT {r('avg(gap)')} AS mean_time_between_observ FROM (
+          SELECT floor((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 86400000000.0) AS gap
+          FROM events WHERE event_id % 7 <> 0)""",
+    ),
 }
+for _unit, _freq in (("month", "monthly"), ("day", "daily")):
+    _parts = [f"({_dyn_sql(k, _unit)})" for k in ("lifetime", "na_rate", "survival", "obs_per_day")]
+    QUERIES["dynamic_stats" + "_daily" * (_unit == "day")] = (
+        _period(lambda df, freq: D.dynamic_stats(df, freq=freq), _freq),
+        f"SELECT * FROM {_parts[0]} a JOIN {_parts[1]} b USING (period) JOIN {_parts[2]} c USING (period) JOIN {_parts[3]} d USING (period)",
+    )
 for _name, _fn, _kind in [
     ("dyn_lifetime", D.lifetime_by_period, "lifetime"), ("dyn_na_rate", D.na_rate_by_period, "na_rate"),
     ("dyn_survival", D.survival_by_period, "survival"), ("dyn_obs_per_day", D.observ_by_period, "obs_per_day"),
