@@ -68,9 +68,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return table
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder in any file system Spark knows; one that isn't there is no error."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def discard(table: DataFrame) -> None:
     """Delete the files behind a frame that ``written`` returned."""
     path = getattr(table, "_scratch", None)
     if path:
-        spark = table.sparkSession
-        _delete(spark._jvm, spark._jsc.hadoopConfiguration(), path)
+        delete(table.sparkSession, path)

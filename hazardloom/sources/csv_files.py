@@ -23,16 +23,22 @@ def list_csv(spark: SparkSession, paths: list[str]) -> list[str]:
 
 
 def read_group(spark: SparkSession, files: list[str], header: list[str], cols: PanelColumns = PANEL, typed: bool = True) -> DataFrame:
-    """Files with one common header. Unparsable values and NaN become NULL; a date may carry a time, which is cut off."""
+    """Files with one common header. NaN and empty values become NULL, other text in a measure 0 (the coercion rule of the
+    preparation, which could not tell it from a missing value later); a date may carry a time, which is cut off."""
     types = {c: raw_type(c, cols) if typed else T.StringType() for c in header}
     dates = {c for c, t in types.items() if isinstance(t, T.DateType)}
-    schema = T.StructType([T.StructField(c, T.StringType() if c in dates else t) for c, t in types.items()])
+    measures = {c for c, t in types.items() if isinstance(t, T.DoubleType)}
+    schema = T.StructType([T.StructField(c, T.StringType() if c in dates | measures else t) for c, t in types.items()])
     rows = spark.read.schema(schema).option("header", True).csv(files)
 
     def clean(c: str):
         if c in dates:
             return F.col(c).try_cast("date").alias(c)
-        return nan_to_null(F.col(c)).alias(c) if isinstance(types[c], T.DoubleType) else F.col(c)
+        if c in measures:
+            text = F.trim(c)
+            number = F.coalesce(text.try_cast("double"), F.when(text != "", F.lit(0.0)))
+            return nan_to_null(number).alias(c)
+        return F.col(c)
 
     return rows.select(*[clean(c) for c in header])
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hazardloom.columns import PANEL, ROWS_PER_BATCH, PanelColumns
 from hazardloom.operators.hazard import inference_rows, scoring_rows, training_rows, wide
+from hazardloom.session import delete
 
 
 def write_split(
@@ -15,17 +16,20 @@ def write_split(
 ) -> DataFrame:
     """Store both parts below ``path`` as batch ``batch``, in (device, time) order, at most ``rows_per_file`` rows per file.
 
-    A batch stored before is replaced, the others stay, so a repeated update changes nothing. The range covers the time
-    too, so no device can fill a partition alone.
+    A batch stored before is replaced, also where a part has no rows now; the others stay, so a repeated update changes nothing.
+    The range covers the time too, so no device can fill a partition alone.
     """
+    spark = train.sparkSession
     both = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
     order = ["split", cols.id, cols.time]
+    for part in ("train", "test"):  # an overwrite by partition leaves those that get no rows
+        delete(spark, f"{path}/split={part}/batch={batch}")
     (
         both.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("batch", F.lit(batch))
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows_per_file)
         .partitionBy("split", "batch").parquet(path)
     )
-    return train.sparkSession.read.parquet(path)
+    return spark.read.schema(both.withColumn("batch", F.lit(batch)).select(*[c for c in both.columns if c != "split"], "split", "batch").schema).parquet(path)
 
 
 def read_split(spark: SparkSession, path: str, part: str | None = None) -> DataFrame:

@@ -70,14 +70,27 @@ def advance_lifetimes(new: DataFrame, state: StateFolder, cols: PanelColumns = P
     return state.read()
 
 
+def with_known_lifetimes(rows: DataFrame, known: DataFrame | None, cols: PanelColumns = PANEL) -> DataFrame:
+    """Prepared rows whose lifetime is the larger one of the batch and of what is known of the device."""
+    if known is None:
+        return rows
+    older = known.select(cols.id, F.col(cols.lifetime).alias("_known"))
+    longest = F.greatest(F.col(cols.lifetime), F.col("_known")).cast(rows.schema[cols.lifetime].dataType)
+    return rows.join(older, cols.id, "left").withColumn(cols.lifetime, longest).select(*rows.columns)
+
+
 def update_prepared(
-    new: DataFrame, prep: FittedPrep, assignment: DataFrame, path: str, batch: str, cols: PanelColumns = PANEL
+    new: DataFrame, prep: FittedPrep, assignment: DataFrame, path: str, batch: str, cols: PanelColumns = PANEL,
+    known: DataFrame | None = None,
 ) -> DataFrame:
-    """Prepare a new batch with the fitted state and store it at ``path`` beside the earlier batches."""
+    """Prepare a new batch with the fitted state and store it at ``path`` beside the earlier batches.
+
+    ``known`` are the lifetimes so far; ``time`` counts from the device's first day in the batch.
+    """
     live = assignment.where("NOT truncated")
     train = prep.transform(split_rows(new, live.where("split = 'train'"), cols), train=True)
     test = prep.transform(split_rows(new, live.where("split = 'test'"), cols))
-    return write_split(train, test, path, batch, cols=cols)
+    return write_split(with_known_lifetimes(train, known, cols), with_known_lifetimes(test, known, cols), path, batch, cols=cols)
 
 
 def follow(spark: SparkSession, source: str, schema, split: StateFolder, lifetime: StateFolder, checkpoint: str, cols: PanelColumns = PANEL):

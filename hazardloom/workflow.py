@@ -13,6 +13,7 @@ from hazardloom.operators.dynamics import dynamic_stats
 from hazardloom.operators.prep import FittedPrep, PanelPrep
 from hazardloom.operators.split import split_rows
 from hazardloom.operators.stats import static_stats
+from hazardloom.session import delete, discard, written
 from hazardloom.sources import batches as B
 from hazardloom.sources import csv_files as V
 from hazardloom.sources import prepared as W
@@ -61,22 +62,25 @@ class Workspace:
     # preparation
 
     def preprocess(self, settings: PanelPrep | None = None) -> DataFrame:
-        """Split the devices, fit the preparation on the train part, store both prepared parts."""
+        """Split the devices, fit the preparation on the train part, store both prepared parts and nothing of earlier fits."""
         rows = self.stored().drop("batchnum")
         live = I.advance_split(rows, self.split, self.cols).where("NOT truncated")
         fitted, train = (settings or PanelPrep(cols=self.cols)).fit_transform(split_rows(rows, live.where("split = 'train'"), self.cols))
         test = fitted.transform(split_rows(rows, live.where("split = 'test'"), self.cols))
         fitted.save(self.prep_path)
+        delete(self.spark, self.prepared)
         stored = W.write_split(train, test, self.prepared, cols=self.cols)
         I.advance_lifetimes(stored, self.lifetimes, self.cols)
         return stored
 
     def update_preprocessed(self, paths: list[str], batch: str) -> DataFrame:
         """Prepare new CSV folders with the fitted state and store them as batch ``batch``."""
-        rows = V.with_row_key(V.add_season(V.read_csv(self.spark, paths, self.cols), self.cols), self.cols)
+        # written once: five passes follow, and the row keys must not change between them
+        rows = written(V.with_row_key(V.add_season(V.read_csv(self.spark, paths, self.cols), self.cols), self.cols), "update")
         assignment = I.advance_split(rows, self.split, self.cols)
-        stored = I.update_prepared(rows, self.prep(), assignment, self.prepared, batch, self.cols)
+        stored = I.update_prepared(rows, self.prep(), assignment, self.prepared, batch, self.cols, self.lifetimes.read())
         I.advance_lifetimes(stored.where(stored.batch == batch), self.lifetimes, self.cols)
+        discard(rows)
         return stored
 
     def prep(self) -> FittedPrep:

