@@ -31,14 +31,14 @@ def target_encoding(df: DataFrame, cols: PanelColumns = PANEL, whole: tuple[floa
 
 def target_encode(df: DataFrame, table: DataFrame, global_mean: float, cols: PanelColumns = PANEL) -> DataFrame:
     """Add ``model_encoded``; unseen categories get the global mean."""
-    joined = lookup(df, table.select(cols.category, "model_encoded"), cols.category, "left", cols=cols)
+    joined = lookup(df, table.select(cols.category, "model_encoded"), cols.category, "left")
     return joined.select(*df.columns, F.coalesce("model_encoded", F.lit(global_mean)).alias("model_encoded"))
 
 
 def known_category(df: DataFrame, categories: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:
     """Replace categories that were not there at fit time by UNKNOWN."""
     seen = categories.select(cols.category).distinct().withColumn("_seen", F.lit(True))
-    joined = lookup(df, seen, cols.category, "left", cols=cols)
+    joined = lookup(df, seen, cols.category, "left")
     return joined.select(*[
         F.when(F.col("_seen"), F.col(c)).otherwise(F.lit(UNKNOWN)).alias(c) if c == cols.category else F.col(c)
         for c in df.columns

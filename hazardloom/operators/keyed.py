@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from hazardloom.columns import PANEL, PanelColumns
 
 ROWS_PER_SLOT = 500_000
-BROADCAST_ROWS = 200_000
 
 
 def hot_keys(rows: DataFrame, key: str, rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
@@ -53,16 +52,11 @@ def join_per_key(
     return left.join(right, [key, "_slot"], how).drop("_slot")
 
 
-def broadcast_if_small(table: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """The table with a broadcast hint if it has at most ``limit`` rows (counted, stopping at the limit)."""
-    small = table.limit(limit + 1).count() <= limit
-    return (F.broadcast(table) if small else table), small
+def lookup(rows: DataFrame, table: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """Join with a per-key table.
 
-
-def lookup(rows: DataFrame, table: DataFrame, key: str, how: str = "left", limit: int = BROADCAST_ROWS, **kw) -> DataFrame:
-    """Join with a per-key table: broadcast behind a size check, salted join beyond it.
-
-    The check evaluates ``table``, which costs a narrow scan at most and can save a shuffle of all rows.
+    The table is an aggregate, so its size is known once its shuffle is done: adaptive execution then sends it to all or,
+    beyond the broadcast limit, splits the partitions of hot keys. Nothing runs while the plan is built. ``join_per_key``
+    is the way with explicit salts.
     """
-    hinted, small = broadcast_if_small(table, limit)
-    return rows.join(hinted, key, how) if small else join_per_key(rows, table, key, how, **kw)
+    return rows.join(table, key, how)

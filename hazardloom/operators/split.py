@@ -49,7 +49,7 @@ def truncated_ids(df: DataFrame, horizon: Date | None = None, cols: PanelColumns
 def remove_truncated(df: DataFrame, horizon: Date | None = None, cols: PanelColumns = PANEL) -> tuple[DataFrame, DataFrame]:
     """The rows of all other devices, and the truncated devices."""
     ids = truncated_ids(df, horizon, cols)
-    return lookup(df, ids, cols.id, "left_anti", cols=cols), ids
+    return lookup(df, ids, cols.id, "left_anti"), ids
 
 
 def stratify(facts: DataFrame, test_size: float = TEST_SIZE, seed: int = 42, cols: PanelColumns = PANEL) -> DataFrame:
@@ -81,7 +81,7 @@ def stratified_split(df: DataFrame, test_size: float = TEST_SIZE, seed: int = 42
 
 def split_rows(df: DataFrame, devices: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:
     """Panel rows of the given devices."""
-    return lookup(df, devices.select(cols.id), cols.id, "left_semi", cols=cols)
+    return lookup(df, devices.select(cols.id), cols.id, "left_semi")
 
 
 def initial_split(

@@ -38,7 +38,7 @@ def relative_time(df: DataFrame, cols: PanelColumns = PANEL, one_row_per_day: bo
         spec = _newest_first(df, cols).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         return df.withColumn(cols.time, F.datediff(F.col(cols.date), F.min(cols.date).over(spec)))
     first = df.where(F.col(cols.id).isNotNull()).groupBy(cols.id).agg(F.min(cols.date).alias("_first"))
-    joined = lookup(df, first, cols.id, "left", cols=cols)
+    joined = lookup(df, first, cols.id, "left")
     return joined.select(*df.columns, F.datediff(F.col(cols.date), F.col("_first")).alias(cols.time))
 
 
@@ -48,7 +48,7 @@ def multi_failure_ids(df: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:
 
 def drop_multi_failure(df: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:
     """Drop devices with more than one failure row."""
-    return lookup(df, multi_failure_ids(df, cols), cols.id, "left_anti", cols=cols)
+    return lookup(df, multi_failure_ids(df, cols), cols.id, "left_anti")
 
 
 def drop_duplicates(df: DataFrame, keys: list[str] | None = None, cols: PanelColumns = PANEL) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,7 +15,7 @@ from hazardloom.operators.prep import PanelPrep
 from hazardloom.plans.base import big, r, sql, tidy
 from hazardloom.plans.panel import read_panel
 from hazardloom.plans.prep_queries import DAILY_CTE, train_test
-from hazardloom.session import scratch_path, written
+from hazardloom.session import discard, scratch_path, written
 from hazardloom.sources import registry as R
 
 # Three hazard versions with given weights: name -> (smart_1_raw, smart_9_raw, time, intercept)
@@ -102,12 +100,9 @@ def _by_model_sql(value: str) -> str:
     )
 
 
-SHOWN = (1, 30, 90, 159)
-
-
 def _predict_survival(spark, sf):
     rows = truth(with_curve(timed(spark, sf)))
-    return tidy(rows.select("serial_number", "time", "duration", "failure", *[F.col("surv")[t - 1].alias(f"s{t}") for t in SHOWN]))
+    return tidy(rows.select("serial_number", "time", "duration", "failure", *[F.col("surv")[t - 1].alias(f"s{t}") for t in TIMES]))
 
 
 def _expected_time(spark, sf):
@@ -144,22 +139,20 @@ def _concordance(spark, sf):
     return tidy(C.concordance(rows))
 
 
-def _brier(spark, sf):
-    return C.brier_curve(truth(with_curve(timed(spark, sf))))
-
-
-def first_rows(spark, sf) -> DataFrame:
-    """Every device at its first day, which has the whole life ahead."""
-    return truth(timed(spark, sf)).where("time = 0")
+def _concordance_buckets(spark, sf):
+    """The same with few points per range, so that most pairs lie across ranges."""
+    rows = truth(timed(spark, sf)).withColumn("predicted", F.round("smart_9_raw", 0))
+    return tidy(C.concordance(rows, values_per_bucket=500))
 
 
-FIRST_CTE = "first AS (SELECT * FROM obs WHERE time = 0)"
+def _brier(spark, sf):
+    return C.brier_curve(truth(with_curve(timed(spark, sf))))
 
 
 def version_ctes(v: str) -> str:
     return f"""
-{curve_ctes("first", v, f"c{v}").strip()},
-e{v} AS (SELECT serial_number, any_value(duration) AS duration, any_value(final) AS final, round({AREA}, 9) AS p FROM c{v} GROUP BY serial_number),
+{curve_ctes("obs", v, f"c{v}").strip()},
+e{v} AS (SELECT serial_number, any_value(duration) AS duration, any_value(final) AS final, round({AREA}, 9) AS p FROM c{v} GROUP BY serial_number, time),
 {pairs_ctes(f"e{v}", f"p{v}", "p").strip()},
 b{v} AS (
   SELECT t, avg(pow(CASE WHEN duration > t THEN 1.0 ELSE 0.0 END - s, 2)) AS brier
@@ -180,16 +173,16 @@ def _scores(rows: DataFrame, version: str) -> DataFrame:
 
 
 def _score_model(spark, sf):
-    return tidy(_scores(first_rows(spark, sf), "v1"))
+    return tidy(_scores(truth(timed(spark, sf)), "v1"))
 
 
-@lru_cache(maxsize=4)
 def _registry(spark, sf) -> str:
-    """Score the three versions on the devices' first rows and append them to a new table."""
-    rows, root = written(first_rows(spark, sf), "first"), scratch_path(spark, "registry")
+    """Score the three versions on all rows and append them to a new table."""
+    rows, root = written(truth(timed(spark, sf)), "truth"), scratch_path(spark, "registry")
     for name in VERSIONS:
         row = _scores(rows, name).first()
         R.append_version(spark, root, name, row["ci"], row["ibs"])
+    discard(rows)
     return root
 
 
@@ -203,9 +196,8 @@ def _best_model(spark, sf):
     return tidy(parts[0].unionByName(parts[1]))
 
 
-@lru_cache(maxsize=4)
 def _prepared(spark, sf):
-    """(train, test) of the fitted preparation, each written once per session for all models that are fitted on it."""
+    """(train, test) of the fitted preparation."""
     train, test = train_test(read_panel(spark, sf))
     fitted, ready = PanelPrep().fit_transform(train)
     return written(ready, "train"), written(fitted.transform(test), "test")
@@ -246,7 +238,7 @@ def _model_stats(spark, sf):
     return tidy(R.model_stats(spark, root))
 
 
-_SCORED = [DAILY_CTE, TIMED_CTE, TRUTH_CTE, FIRST_CTE]
+_SCORED = [DAILY_CTE, TIMED_CTE, TRUTH_CTE]
 _ALL_VERSIONS = [*_SCORED, *[version_ctes(v) for v in VERSIONS],
                  "versions AS (" + " UNION ALL ".join(f"SELECT '{v}' AS model_name, ci, ibs FROM m{v}" for v in VERSIONS) + ")"]
 _WIDE = ", ".join(f"{r(f'max(s) FILTER (WHERE t = {t})')} AS \"{t}\"" for t in TIMES)
@@ -261,7 +253,7 @@ QUERIES = {
     "predict_survival": (
         _predict_survival,
         sql("SELECT serial_number, CAST(time AS BIGINT) AS time, any_value(duration) AS duration, any_value(final) = 1 AS failure, "
-            + ", ".join(f"{r(f'max(s) FILTER (WHERE t = {t})')} AS s{t}" for t in SHOWN) + " FROM curve GROUP BY serial_number, time",
+            + ", ".join(f"{r(f'max(s) FILTER (WHERE t = {t})')} AS s{t}" for t in TIMES) + " FROM curve GROUP BY serial_number, time",
             DAILY_CTE, TIMED_CTE, TRUTH_CTE, curve_ctes("obs")),
     ),
     "expected_time": (
@@ -292,6 +284,11 @@ QUERIES = {
         sql(f"SELECT pairs, concordant, tied, {r('(concordant + tied / 2.0) / pairs')} AS ci FROM pr",
             DAILY_CTE, TIMED_CTE, TRUTH_CTE, pairs_ctes("obs", "pr", "round(smart_9_raw, 0)")),
     ),
+    "concordance_buckets": (
+        _concordance_buckets,
+        sql(f"SELECT pairs, concordant, tied, {r('(concordant + tied / 2.0) / pairs')} AS ci FROM pr",
+            DAILY_CTE, TIMED_CTE, TRUTH_CTE, pairs_ctes("obs", "pr", "round(smart_9_raw, 0)")),
+    ),
     "brier_curve": (
         lambda spark, sf: tidy(_brier(spark, sf)),
         sql(f"SELECT t, {r('brier')} AS brier, n_known FROM brier", DAILY_CTE, TIMED_CTE, TRUTH_CTE, curve_ctes("obs"), _BRIER_CTE),

@@ -13,7 +13,7 @@ from hazardloom.plans.base import big, r, sql, tidy
 from hazardloom.plans.panel import read_panel, with_season
 from hazardloom.plans.stats_queries import TRUNCATED_CTE
 from hazardloom.session import written
-from hazardloom.streaming.incremental import lifetimes, update_lifetimes
+from hazardloom.streaming.incremental import lifetimes, update_lifetimes, with_known_lifetimes
 
 # Month names in the order of the one-hot columns.
 MONTHS = ["April", "August", "December", "February", "January", "July", "June", "March", "May", "November", "October",
@@ -121,6 +121,10 @@ PARTS_CTE = """
 train_rows AS (SELECT * FROM seasonal WHERE serial_number IN (SELECT serial_number FROM asg WHERE split = 'train' AND NOT truncated)),
 test_rows AS (SELECT * FROM seasonal WHERE serial_number IN (SELECT serial_number FROM asg WHERE split = 'test' AND NOT truncated))"""
 PREP_CTES = [SEASON_CTE, assignment_ctes(), PARTS_CTE, *prepared_ctes()]
+TUNED_COLUMNS = ", ".join(
+    ["serial_number", f"{big('time')} AS time", f"{big('failure')} AS failure", *[f"{r(c)} AS {c}" for c in FEATURES],
+     f"{big('greatest(max_lifetime, known)')} AS max_lifetime"]
+)
 PREP_COLUMNS = ", ".join(
     ["serial_number", f"{big('time')} AS time", f"{big('failure')} AS failure", *[f"{r(c)} AS {c}" for c in FEATURES],
      f"{big('max_lifetime')} AS max_lifetime"]
@@ -199,8 +203,7 @@ def _target_encode(panel):
 
 def _unknown_category(panel):
     early, late = _early_late(panel)
-    # categories of devices first seen before the horizon's first month, so that some later ones are unseen
-    seen = early.where(F.col("date") < "1995-02-01").where("smart_9_raw > 9950").select("model")
+    seen = early.where("model < 'G'").select("model")  # some of the names are known, at every size, others not
     return E.known_category(late, seen).select("serial_number", "row_key", "model")
 
 
@@ -242,12 +245,17 @@ def _lifetime_update(panel):
 
 
 def _prep_tune(spark, sf):
-    """Fit on the first batch, then prepare the train rows of the later one with the fitted state."""
+    """Fit on the first batch, then prepare the later one with the fitted state and the lifetimes known from the first."""
     early, late = (with_season(p) for p in _early_late(read_panel(spark, sf)))
     state = written(P.initial_split(early), "assignment")
     fitted = PanelPrep().fit(P.split_rows(early, state.where("split = 'train' AND NOT truncated")))
     after = written(P.update_split(late, state), "assignment")
-    return tidy(fitted.transform(P.split_rows(late, after.where("split = 'train' AND NOT truncated")), train=True))
+    known = lifetimes(S.relative_time(S.drop_duplicates(early), one_row_per_day=True))
+    parts = []
+    for part in ("train", "test"):
+        rows = fitted.transform(P.split_rows(late, after.where(f"split = '{part}' AND NOT truncated")), train=part == "train")
+        parts.append(with_known_lifetimes(rows, known).withColumn("split", F.lit(part)))
+    return tidy(parts[0].unionByName(parts[1]))
 
 
 _FILLS = ", ".join(
@@ -320,7 +328,7 @@ QUERIES = {
     "unknown_category": (
         _step(_unknown_category),
         sql(f"""SELECT serial_number, row_key, CASE WHEN model IN (
-                 SELECT model FROM early WHERE date < DATE '1995-02-01' AND smart_9_raw > 9950) THEN model ELSE 'UNKNOWN' END AS model
+                 SELECT model FROM early WHERE model < 'G') THEN model ELSE 'UNKNOWN' END AS model
                FROM late""", EARLY_LATE_CTE),
     ),
     "one_hot_season": (
@@ -373,14 +381,20 @@ QUERIES = {
     "prep_tune": (
         _prep_tune,
         sql(
-            f"SELECT {PREP_COLUMNS} FROM test_tuned", *UPDATE_CTES,
+            f"SELECT {TUNED_COLUMNS}, 'train' AS split FROM train_tuned LEFT JOIN known USING (serial_number) UNION ALL "
+            f"SELECT {TUNED_COLUMNS}, 'test' FROM test_tuned LEFT JOIN known USING (serial_number)", *UPDATE_CTES,
+            "known AS (SELECT serial_number, date_diff('day', min(date), max(date)) AS known FROM early GROUP BY 1)",
             """fit_rows AS (SELECT *, monthname(date) AS season FROM early
                  WHERE serial_number IN (SELECT serial_number FROM old WHERE split = 'train' AND NOT truncated)),
                tune_rows AS (SELECT *, monthname(date) AS season FROM late
-                 WHERE serial_number IN (SELECT serial_number FROM upd WHERE split = 'train' AND NOT truncated))""",
+                 WHERE serial_number IN (SELECT serial_number FROM upd WHERE split = 'train' AND NOT truncated)),
+               eval_rows AS (SELECT *, monthname(date) AS season FROM late
+                 WHERE serial_number IN (SELECT serial_number FROM upd WHERE split = 'test' AND NOT truncated))""",
             imputed_ctes("fit_rows", "tr"), encoding_ctes("tr_imp"), encoded_cte("tr_imp", "tr_enc"),
             imputed_ctes("tune_rows", "tu"), encoded_cte("tu_imp", "tu_enc"), scaled_cte("tu_enc", "tr_enc", "tu_z"),
-            sampled_cte("tu_z", "tu_s"), labelled_cte("tu_s", "test_tuned"),
+            sampled_cte("tu_z", "tu_s"), labelled_cte("tu_s", "train_tuned"),
+            imputed_ctes("eval_rows", "ev"), encoded_cte("ev_imp", "ev_enc"), scaled_cte("ev_enc", "tr_enc", "ev_z"),
+            labelled_cte("ev_z", "test_tuned"),
         ),
     ),
 }

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-from functools import lru_cache
 
 from pyspark.sql import functions as F
 
@@ -57,9 +56,8 @@ def _manifest(spark, sf):
     return tidy(B.manifest(B.write_batches(read_panel(spark, sf), scratch_path(spark, "storage"), ROWS)))
 
 
-@lru_cache(maxsize=4)
 def store(spark, sf):
-    """The prepared train and test rows, written once per session and read back by the readers."""
+    """The prepared train and test rows, written and read back."""
     train, test = train_test(read_panel(spark, sf))
     fitted, ready = PanelPrep().fit_transform(train)
     return W.write_split(ready, fitted.transform(test), scratch_path(spark, "prepared"), rows_per_file=ROWS)
@@ -69,6 +67,15 @@ def _write_split(spark, sf):
     return tidy(store(spark, sf).drop("batch"))
 
 
+def _write_split_again(spark, sf):
+    """A batch that is stored a second time, without test rows: only its train rows are left."""
+    train, test = train_test(read_panel(spark, sf))
+    fitted, ready = PanelPrep().fit_transform(train)
+    test, path = fitted.transform(test), scratch_path(spark, "prepared")
+    W.write_split(ready, test, path, rows_per_file=ROWS)
+    return tidy(W.write_split(ready, test.limit(0), path, rows_per_file=ROWS).drop("batch"))
+
+
 def _reader(part: str, mode: str):
     def run(spark, sf):
         rows = store(spark, sf)
@@ -103,6 +110,7 @@ QUERIES = {
         _write_split,
         sql(f"SELECT {PREP_COLUMNS}, 'train' AS split FROM train_out UNION ALL SELECT {PREP_COLUMNS}, 'test' FROM test_out", *PREP_CTES),
     ),
+    "write_split_again": (_write_split_again, sql(f"SELECT {PREP_COLUMNS}, 'train' AS split FROM train_out", *PREP_CTES)),
     "reader_train": (
         _reader("train", "train"),
         sql(f"SELECT {PREP_COLUMNS}, {big('max_lifetime - time')} AS time_to_event FROM train_out WHERE time <> max_lifetime", *PREP_CTES),
