@@ -164,12 +164,17 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     used = mixture.groupBy("k", "at", "epoch").agg(
         F.first("doc_id").alias("_id"), F.first("h").alias("_h"), F.sum("length").alias("_words"), F.first("size").alias("_size")
     ).groupBy("_id", "_h").agg(F.collect_list(F.struct("_words", "_size")).alias("_uses"))
-    d = docs.withColumn("_i", F.col(id_col)).withColumn("_hash", F.xxhash64(F.col(id_col), F.xxhash64(F.col(text_col))))
+    # the row goes along as one column, so that no name of its columns can clash
+    d = docs.select(
+        F.col(id_col).alias("_i"), F.xxhash64(F.col(id_col), F.xxhash64(F.col(text_col))).alias("_hash"),
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"),
+    )
+    text = F.col("_row").getField(text_col)
     met = d.join(used, (F.col("_hash") == F.col("_h")) & F.col("_i").eqNullSafe(F.col("_id")))
     # equal rows share their uses, so one of them brings all; the window keeps the join's partitioning
     one = F.row_number().over(Window.partitionBy("_hash", "_i").orderBy("_i"))
     met = met.withColumn("_n", one).where("_n = 1")
     met = met.withColumn("_use", F.explode("_uses"))
-    words = F.slice(F.split(F.regexp_replace(text_col, r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+"), 1, F.col("_use._words").cast("int"))
-    cut = F.when(F.col("_use._words") < F.col("_use._size"), F.array_join(words, " ")).otherwise(F.col(text_col))
-    return met.withColumn(text_col, cut).select(*(F.col(f"`{c}`") for c in docs.columns))
+    words = F.slice(F.split(F.regexp_replace(text, r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+"), 1, F.col("_use._words").cast("int"))
+    cut = F.when(F.col("_use._words") < F.col("_use._size"), F.array_join(words, " ")).otherwise(text)
+    return met.select(F.col("_row").withField(f"`{text_col}`", cut).alias("_row")).select("_row.*")

@@ -168,7 +168,11 @@ def near_duplicate_survivors(
     at 0.8: five-word runs at that similarity differ in about ten bits.) Rows without id stay only in groups that have
     none; of repeated rows one stays. Texts without words are copies of each other. All columns are kept.
     """
-    d = docs.withColumn("_id", F.col(id_col)).withColumn("_hash", F.xxhash64(F.col(id_col), F.xxhash64(F.col(text_col))))
+    # the row goes along as one column, so that no name of its columns can clash
+    d = docs.select(
+        F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col), F.xxhash64(F.col(text_col))).alias("_hash"),
+        F.col(text_col).alias("_text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"),
+    )
 
     def each(batches):
         for b in batches:
@@ -184,7 +188,7 @@ def near_duplicate_survivors(
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = written(
-        d.select("_id", "_hash", F.col(text_col).alias("_text")).mapInArrow(
+        d.select("_id", "_hash", "_text").mapInArrow(
             each, f"_id {kind}, _hash bigint, same binary, prints array<bigint>"
         ), "sketches",
     )
@@ -196,7 +200,7 @@ def near_duplicate_survivors(
     pairs = written(_candidates(members), "pairs")
     wanted = pairs.select("same").union(pairs.select("other")).distinct()
     wanted = written(texts.join(wanted, "same").select("same", "best._id", "best._hash"), "wanted")
-    found = d.select("_id", "_hash", F.col(text_col).alias("_text")).alias("d").join(
+    found = d.select("_id", "_hash", "_text").alias("d").join(
         wanted.alias("w"), (F.col("d._hash") == F.col("w._hash")) & F.col("d._id").eqNullSafe(F.col("w._id"))
     ).groupBy("same").agg(F.first("_text").alias("_text"))
     linked = _verified(pairs, written(found, "found"), shingle, similarity)
@@ -205,9 +209,9 @@ def near_duplicate_survivors(
     stay = written(groups.agg(F.min("best").alias("best")).select("best._id", "best._hash"), "survivors")
     one = Window.partitionBy("_hash", "_id").orderBy("_id")
     return (
-        d.alias("d").join(
+        d.select("_id", "_hash", "_row").alias("d").join(
             stay.alias("s"), (F.col("d._hash") == F.col("s._hash")) & F.col("d._id").eqNullSafe(F.col("s._id")), "left_semi"
-        ).withColumn("_copy", F.row_number().over(one)).where("_copy = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+        ).withColumn("_copy", F.row_number().over(one)).where("_copy = 1").select("_row.*")
     )
 
 

@@ -264,4 +264,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING, thres
 def without_toxic(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING, threshold: float = 0.5) -> DataFrame:
     """The documents that score below ``threshold``, with all their columns."""
     score = scorer(*fit(docs, labels, most))
-    return docs.withColumn("_toxic", score("text")).where(F.col("_toxic") < threshold).drop("_toxic")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), score("text").alias("_score"))
+    return rows.where(F.col("_score") < threshold).select("_row.*")
