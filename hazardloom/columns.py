@@ -39,7 +39,6 @@ TEST_SIZE = 0.2
 TRAIN_SAMPLES = 10
 NAN_FRACTION = 0.5
 TIMES = tuple(range(1, 160))
-EPOCHS = 10
 HIDDEN_UNITS = 64
 STATIC_STATS = [
     "data_size",

@@ -20,6 +20,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,10 +106,7 @@ class HazardModel:
     @staticmethod
     def load(spark: SparkSession, path: str) -> "HazardModel":
         f = json.loads(spark.read.text(os.path.join(path, "facts")).first()[0])
-        kinds = {c.__name__: c for c in (LogisticRegressionModel, MultilayerPerceptronClassificationModel)}
-        if f["kind"] not in kinds:
-            raise ValueError(f"load the model of kind {f['kind']} with its own reader")
-        fitted = kinds[f["kind"]].load(os.path.join(path, "model"))
+        fitted = DefaultParamsReader.loadParamsInstance(os.path.join(path, "model"), spark)
         return HazardModel(f["features"], fitted, f["time_unit"], f["loss"], f["fit_seconds"])
 
 
@@ -125,8 +123,17 @@ def neural_network(n_inputs: int, hidden_dim: int = HIDDEN_UNITS, **params) -> M
 
 
 def fit(df: DataFrame, model: str | Estimator = "logistic_regression", features: list[str] | None = None,
-        time_unit: float | None = None, cols: PanelColumns = PANEL, **params) -> HazardModel:
-    """Fit on prepared rows. ``model`` is 'logistic_regression', 'NN' or any estimator that emits ``probability``."""
+        time_unit: float | None = None, cols: PanelColumns = PANEL, epochs: int | None = None, lr: float | None = None,
+        **params) -> HazardModel:
+    """Fit on prepared rows. ``model`` is 'logistic_regression', 'NN' or any estimator that emits ``probability``.
+
+    ``epochs`` bounds the passes over the rows (for the two named models, instead of ``maxIter``). ``lr`` is the step size of a network
+    fitted with ``solver="gd"``; the other fits choose their steps themselves.
+    """
+    if epochs is not None:
+        params["maxIter"] = epochs
+    if lr is not None and model == "NN":
+        params["stepSize"] = lr
     features = features or feature_columns(df, cols)
     if isinstance(model, Estimator):
         estimator, unit = model, time_unit or 1.0
@@ -203,7 +210,7 @@ def predict_hazard(model: HazardModel, df: DataFrame, times=TIMES, output: str =
     """Add the array of h(t), t on the grid.
 
     Linear models and networks fill the array in place. Other classifiers see one row per device, day and grid point
-    and are gathered again by (device, time).
+    and are gathered again inside their partition.
     """
     linear = model.linear
     if linear is not None:
@@ -216,14 +223,34 @@ def predict_hazard(model: HazardModel, df: DataFrame, times=TIMES, output: str =
     return _predict_by_rows(model, df, times, output)
 
 
-def _predict_by_rows(model: HazardModel, df: DataFrame, times, output: str, cols: PanelColumns = PANEL) -> DataFrame:
-    grid = F.explode(F.array(*[F.lit(float(t)) for t in times])).alias("_t")
-    long = df.select(cols.id, cols.time, *model.features, grid).withColumn(TIME_INPUT, F.col("_t") / F.lit(model.time_unit))
+def _predict_by_rows(model: HazardModel, df: DataFrame, times, output: str) -> DataFrame:
+    """Hazards of any classifier: it sees one row per input row and grid point, which stay together in their partition.
+
+    The input row travels with its first point only, and the points are put together where they are: no shuffle, no join, so
+    missing or repeated keys do no harm.
+    """
+    points = len(times)
+    grid = F.posexplode(F.array(*[F.lit(float(t)) for t in times])).alias("_i", "_t")
+    row = F.when(F.col("_i") == 0, F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias("_row")
+    long = df.select("*", grid).select(row, *model.features, (F.col("_t") / F.lit(model.time_unit)).alias(TIME_INPUT))
     scored = model.fitted.transform(assemble(long, [*model.features, TIME_INPUT]))
-    points = scored.groupBy(cols.id, cols.time).agg(
-        F.array_sort(F.collect_list(F.struct("_t", vector_to_array("probability")[1].alias("h")))).alias("_p")
-    )
-    return df.join(points.select(cols.id, cols.time, F.col("_p.h").alias(output)), [cols.id, cols.time])
+    flat = scored.select("_row", vector_to_array("probability")[1].alias("_h"))
+
+    def gather(batches):
+        rest = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            n = t.num_rows // points
+            rest = t.slice(n * points)
+            if n:
+                first = t.column("_row").combine_chunks().take(pa.array(np.arange(n) * points))
+                flat_h = t.column("_h").slice(0, n * points).combine_chunks()
+                hazards = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * points, pa.int32()), flat_h)
+                yield pa.RecordBatch.from_arrays([first, hazards], names=["_row", "_hazards"])
+
+    kind = T.StructType([T.StructField("_row", df.schema), T.StructField("_hazards", _ARRAY)])
+    return flat.mapInArrow(gather, kind).select("_row.*", F.col("_hazards").alias(output))
 
 
 def predict(model: HazardModel, df: DataFrame, times=TIMES, mode: str = "score", cols: PanelColumns = PANEL) -> DataFrame:

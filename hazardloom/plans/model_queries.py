@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from hazardloom.operators import steps as S
 from hazardloom.operators.prep import PanelPrep
 from hazardloom.plans.base import big, r, sql, tidy
 from hazardloom.plans.panel import read_panel
-from hazardloom.plans.prep_queries import DAILY_CTE, train_test
+from hazardloom.plans.prep_queries import DAILY_CTE, PREP_CTES, train_test
 from hazardloom.session import discard, scratch_path, written
 from hazardloom.sources import registry as R
 
@@ -203,39 +204,60 @@ def _prepared(spark, sf):
     return written(ready, "train"), written(fitted.transform(test), "test")
 
 
-def _metrics(scores: DataFrame, model: H.HazardModel) -> DataFrame:
-    return tidy(scores.select("ci", "ibs", F.lit(model.loss[0]).alias("first_loss"), F.lit(model.loss[-1]).alias("last_loss"),
-                              F.lit(len(model.loss)).alias("n_steps")))
+def _facts(train: DataFrame, test: DataFrame, model: H.HazardModel) -> DataFrame:
+    """What holds of a fit: rows learned from and scored, a falling loss, scores in their ranges."""
+    s = C.score(model, test).first()
+    flags = {"loss_falls": model.loss[-1] < model.loss[0], "ci_valid": 0 <= s["ci"] <= 1, "ibs_valid": 0 <= s["ibs"] <= 1}
+    counts = [F.count_if(F.col("part") == p).alias(f"n_{p}") for p in ("train", "test")]
+    rows = H.training_rows(train).select(F.lit("train").alias("part")).union(H.scoring_rows(test).select(F.lit("test")))
+    return tidy(rows.agg(*counts).select("n_train", "n_test", *[F.lit(bool(v)).alias(k) for k, v in flags.items()]))
 
 
 def _fit(name: str, **params):
     def run(spark, sf):
         train, test = _prepared(spark, sf)
-        model = H.fit(train, name, **params)
-        return _metrics(C.score(model, test), model)
+        return _facts(train, test, H.fit(train, name, **params))
     return run
 
 
 def _fine_tune(spark, sf):
     train, test = _prepared(spark, sf)
-    model = H.fine_tune(H.fit(train, "logistic_regression", maxIter=5), train, max_iter=10)
-    return _metrics(C.score(model, test), model)
+    return _facts(train, test, H.fine_tune(H.fit(train, "logistic_regression", epochs=5), train))
+
+
+def _curve_facts(curves: DataFrame) -> DataFrame:
+    """Per row: its keys, whether S lies in (0, 1], and whether it never rises."""
+    steps = F.transform(F.sequence(F.lit(1), F.size("surv") - 1), lambda i: F.get("surv", i) <= F.get("surv", i - 1))
+    return tidy(curves.select(
+        "serial_number", "time", F.size("surv").alias("n_points"), F.forall("surv", lambda s: (s > 0) & (s <= 1)).alias("in_range"),
+        F.forall(steps, lambda x: x).alias("falling"),
+    ))
 
 
 def _predict_fitted(spark, sf):
     """Inference: curves of all test rows, without their labels."""
     train, test = _prepared(spark, sf)
-    model = H.fit(train, "logistic_regression", maxIter=20)
-    return tidy(H.wide(H.predict(model, test.drop("failure", "max_lifetime"), mode="infer")))
+    return _curve_facts(H.predict(H.fit(train, "logistic_regression"), test.drop("failure", "max_lifetime"), mode="infer"))
+
+
+def _predict_other(spark, sf):
+    """The same with a classifier that has no formula of its own here, stored and loaded."""
+    train, test = _prepared(spark, sf)
+    path = scratch_path(spark, "tree")
+    H.fit(train, DecisionTreeClassifier(maxDepth=4, seed=1)).save(path)
+    return _curve_facts(H.predict(H.HazardModel.load(spark, path), test.drop("failure", "max_lifetime"), mode="infer"))
 
 
 def _model_stats(spark, sf):
+    """History of two versions: how many have each metric, and whether its steps are numbered without gaps."""
     train, test = _prepared(spark, sf)
     root = scratch_path(spark, "registry")
     for steps in (5, 10):
-        model = H.fit(train, "logistic_regression", maxIter=steps)
+        model = H.fit(train, "logistic_regression", epochs=steps)
         R.save_version(spark, root, model, "logistic_regression", C.score(model, test))
-    return tidy(R.model_stats(spark, root))
+    each = R.model_stats(spark, root).groupBy("metric", "version").agg((F.max("step") + 1 == F.count(F.lit(1))).alias("whole"))
+    n_train = F.lit(H.training_rows(train).count()).alias("n_train")
+    return tidy(each.groupBy("metric").agg(F.count(F.lit(1)).alias("n_versions"), F.every("whole").alias("whole")).select("*", n_train))
 
 
 _SCORED = [DAILY_CTE, TIMED_CTE, TRUTH_CTE]
@@ -247,6 +269,10 @@ brier AS (
   SELECT t, avg(pow(CASE WHEN duration > t THEN 1.0 ELSE 0.0 END - s, 2)) AS brier, count(*) AS n_known
   FROM curve WHERE duration > t OR final = 1 GROUP BY t)"""
 
+_ROWS = {p: f"(SELECT count(*) FROM {p}_out WHERE time <> max_lifetime)" for p in ("train", "test")}
+_FACTS = f"{_ROWS['train']} AS n_train, {_ROWS['test']} AS n_test, TRUE AS loss_falls, TRUE AS ci_valid, TRUE AS ibs_valid"
+_CURVE_FACTS = f"SELECT serial_number, {big('time')} AS time, CAST({_N} AS BIGINT) AS n_points, TRUE AS in_range, TRUE AS falling FROM test_out"
+
 QUERIES = {
     "hazard_grid": (_by_model("hazards"), _by_model_sql("h")),
     "survival_curve": (_by_model("surv"), _by_model_sql("s")),
@@ -305,9 +331,14 @@ QUERIES = {
         sql(f"""(SELECT 'ci' AS metric, model_name, {r('ci')} AS value FROM versions ORDER BY ci DESC LIMIT 1)
             UNION ALL (SELECT 'ibs', model_name, {r('ibs')} FROM versions ORDER BY ibs LIMIT 1)""", *_ALL_VERSIONS),
     ),
-    "fit_lr_metrics": (_fit("logistic_regression"), None),
-    "fit_mlp_metrics": (_fit("NN", maxIter=30), None),
-    "fine_tune_metrics": (_fine_tune, None),
-    "predict_infer": (_predict_fitted, None),
-    "model_stats": (_model_stats, None),
+    "fit_lr_metrics": (_fit("logistic_regression"), sql(f"SELECT {_FACTS}", *PREP_CTES)),
+    "fit_mlp_metrics": (_fit("NN", epochs=30), sql(f"SELECT {_FACTS}", *PREP_CTES)),
+    "fine_tune_metrics": (_fine_tune, sql(f"SELECT {_FACTS}", *PREP_CTES)),
+    "predict_infer": (_predict_fitted, sql(_CURVE_FACTS, *PREP_CTES)),
+    "predict_other_estimator": (_predict_other, sql(_CURVE_FACTS, *PREP_CTES)),
+    "model_stats": (
+        _model_stats,
+        sql(f"""SELECT metric, CAST(2 AS BIGINT) AS n_versions, TRUE AS whole, {_ROWS["train"]} AS n_train
+            FROM (VALUES ('CI_test'), ('IBS_test'), ('fit_time'), ('loss')) m(metric)""", *PREP_CTES),
+    ),
 }

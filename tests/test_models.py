@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -59,6 +59,20 @@ def test_other_estimator(prepared):
     check_grid(model, prepared.limit(10).persist())
 
 
+def test_other_estimator_keeps_every_row(spark, prepared, tmp_path):
+    model = H.fit(prepared, DecisionTreeClassifier(maxDepth=2, seed=1))
+    odd = prepared.limit(4).union(prepared.limit(2)).union(prepared.limit(1).withColumn("serial_number", F.lit(None))).repartition(3)
+    assert H.predict_hazard(model, odd, TIMES).count() == 7
+    model.save(str(tmp_path / "tree"))
+    again = H.HazardModel.load(spark, str(tmp_path / "tree"))
+    assert sorted(map(str, H.predict_hazard(again, odd, TIMES).collect())) == sorted(map(str, H.predict_hazard(model, odd, TIMES).collect()))
+
+
+def test_named_parameters_of_a_fit(prepared):
+    model = H.fit(prepared, "NN", epochs=2, lr=0.01, hidden_dim=3)
+    assert model.fitted.getLayers() == [3, 3, 3, 2] and len(model.loss) <= 3
+
+
 def test_predict_modes(prepared, lr):
     scored = H.predict(lr, prepared, TIMES)
     assert scored.columns == ["serial_number", "time", "duration", "failure", "surv"] and scored.count() == 1800
