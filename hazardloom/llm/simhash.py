@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardloom.llm.components import connected_components
+from hazardloom.llm.workers import sliced
 from hazardloom.session import written
 
 SEED = 42
@@ -49,7 +50,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: the id and its ``fingerprint`` (long). Null and empty texts have 0."""
 
     def each(batches):
-        for b in batches:
+        for b in sliced(batches):
             prints = [simhash(shingles_of(words_of(t), shingle)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.int64())], names=[id_col, "fingerprint"])
 
@@ -175,7 +176,7 @@ def near_duplicate_survivors(
     )
 
     def each(batches):
-        for b in batches:
+        for b in sliced(batches):
             same, prints = [], []
             for t in b.column(2).to_pylist():
                 w = words_of(t)
@@ -217,7 +218,7 @@ def near_duplicate_survivors(
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     def each(batches):
-        for b in batches:
+        for b in sliced(batches):
             x, y = b.column(2).to_pylist(), b.column(3).to_pylist()
             keep = pa.array([_jaccard(p, q, shingle) >= similarity for p, q in zip(x, y, strict=True)], pa.bool_())
             yield b.select([0, 1]).filter(keep)

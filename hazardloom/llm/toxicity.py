@@ -8,17 +8,18 @@ stems (beginnings of words) are weighed by how often they occur in documents lab
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from itertools import product
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hazardloom.llm.workers import kept, sliced
 from hazardloom.session import written
 
 # Words of the grammar's classes, lower case
@@ -34,7 +35,7 @@ STEM_LENGTHS = range(3, 9)
 MAX_TRAINING = 20_000  # labelled documents to learn from, chosen by hash of their id
 MAX_STEMS = 20_000  # stems kept, those in most documents first
 MIN_DOCS, MIN_RATIO = 4, 5.0  # toxic documents a stem needs, and how much likelier it must be in them
-REMEMBERED = 300_000
+REMEMBERED = 120_000  # words whose class a worker keeps
 _LETTERS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _END = re.compile(r"[.!?;:]\W*$")
 
@@ -151,7 +152,7 @@ def stem_counts(texts: DataFrame) -> DataFrame:
     """(stem, half, toxic, n): documents of each half and label with a word that begins so; a whole word ends in ``$``."""
 
     def each(batches):
-        for b in batches:
+        for b in sliced(batches):
             counts: dict[tuple, int] = {}
             for text, toxic, half in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 found = set()
@@ -160,7 +161,7 @@ def stem_counts(texts: DataFrame) -> DataFrame:
                     found.update(w[:n] for n in STEM_LENGTHS if n <= len(w))
                 for s in found:
                     counts[s, half, toxic] = counts.get((s, half, toxic), 0) + 1
-                if len(counts) > 400_000:
+                if len(counts) > 100_000:
                     yield _count_batch(counts)
                     counts = {}
             yield _count_batch(counts)
@@ -225,12 +226,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING) -> tuple[d
 
     def each(batches):
         readers = {h: Reader(s) for h, s in other.items()}
-        for b in batches:
+        for b in sliced(batches):
             got = [readers[h].features(t) for t, h in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
             cols = [pa.array([g[i] for g in got], pa.float64()) for i in range(4)]
             yield pa.RecordBatch.from_arrays([*cols, b.column(1)], names=["a", "b", "c", "d", "toxic"])
 
-    seen = np.array(texts.mapInArrow(each, "a double, b double, c double, d double, toxic int").orderBy("a", "b", "c", "d", "toxic").collect(), dtype=float)
+    seen = np.array(texts.mapInArrow(each, "a double, b double, c double, d double, toxic int").collect(), dtype=float)
+    seen = seen[np.lexsort(seen.T)]  # sums in one order, so that reruns agree
     return lexicon(rows, (0, 1), sizes), fit_logistic(seen[:, :4], seen[:, 4])
 
 
@@ -238,15 +240,17 @@ def scorer(stems: dict[str, float], w: np.ndarray):
     """A column function: the probability that a text is toxic; null and empty texts count as texts without words."""
     w = [float(v) for v in w]
 
-    def score(texts: pd.Series) -> pd.Series:
-        reader = Reader(stems)
-        out = []
-        for t in texts:
-            z = sum(a * b for a, b in zip(reader.features(t), w, strict=False)) + w[-1]
-            out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-        return pd.Series(out, dtype=float)
+    key = ("Reader", hashlib.sha1(repr(sorted(stems.items())).encode()).hexdigest())
 
-    return F.pandas_udf(score, T.DoubleType())
+    def score(texts: pa.Array) -> pa.Array:
+        reader, out = kept(key, lambda: Reader(stems)), []
+        for at in range(0, len(texts), 500):
+            for t in texts.slice(at, 500).to_pylist():
+                z = sum(a * b for a, b in zip(reader.features(t), w, strict=False)) + w[-1]
+                out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
+        return pa.array(out, pa.float64())
+
+    return F.arrow_udf(score, T.DoubleType())
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING, threshold: float = 0.3) -> DataFrame:
