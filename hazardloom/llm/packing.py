@@ -5,21 +5,26 @@ from __future__ import annotations
 import heapq
 import os
 import re
-import unicodedata
+import string
 import zlib
+from array import array
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hazardloom.llm.workers import kept
 from hazardloom.session import written
 
 LENGTH = 4096
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
-ROWS_PER_GROUP = 20_000
-CACHED, CACHED_CHARS = 400_000, 48  # words a worker remembers, and the longest of them
+ROWS_PER_GROUP = 2_000
+CACHED, CACHED_CHARS = 250_000, 48  # words a worker remembers in each of two generations, and the longest of them
+SLICE = 1000  # documents whose words are looked up together
 BROADCAST_RANGES = 200_000
 
 
@@ -32,13 +37,13 @@ def vocabulary_path(name: str) -> str:
 class WordIds:
     """Token ids of texts as little-endian 16-bit strings.
 
-    This vocabulary drops white space before it splits, so each stretch without white space has its own ids; frequent ones
-    are remembered, up to a bound, and the tokenizer sees the rest. Where Python and the tokenizer differ about white space,
-    the tokenizer gets the whole text.
+    This vocabulary drops white space before it splits, so each stretch without ASCII white space has its own ids; frequent ones
+    are remembered, up to a bound, and the tokenizer sees the rest.
     """
 
     odd_space = re.compile("[\x1c-\x1f]")
-    plain = re.compile(r"([^\W\d_]+)([.,;:!?]*)")
+    # the vocabulary's split pattern for lower-case ASCII without white space
+    plain = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,58 +53,94 @@ class WordIds:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u2").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, missing: list[str]) -> None:
-        """Add words: those of letters, maybe with stops behind them, share the ids of their lower-case form."""
-        forms, direct = {}, []
-        for w in missing:
-            m = self.plain.fullmatch(w)
-            low = unicodedata.normalize("NFC", m[1]).replace("Σ", "σ").lower() if m else ""
-            if m and low.isalpha() and unicodedata.is_normalized("NFC", low):
-                forms[w] = (low, m[2]) if m[2] else (low,)
+        return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _letters(self, forms: list[str]) -> list[bytes]:
+        """Ids of lower-case words of letters only: each is one pre-token, so many go as one text and come apart again."""
+        groups, out = [forms[i : i + 256] for i in range(0, len(forms), 256)], []
+        encoded = self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)
+        for g, e in zip(groups, encoded, strict=True):
+            cuts = [0, *(2 * (np.flatnonzero(np.diff(e.word_ids)) + 1)).tolist(), 2 * len(e.ids)]
+            ids = array("H", e.ids).tobytes()
+            if len(cuts) != len(g) + 1:
+                out.extend(self._library(g))
+            else:
+                out.extend([ids[i:j] for i, j in pairwise(cuts)])
+        return out
+
+    def _known(self, parts: set[str]) -> dict[str, bytes]:
+        """Ids of pre-tokens, remembered or new."""
+        new = parts.difference(self.words).difference(self.older)
+        letters, rest = [p for p in new if p.isalpha()], [p for p in new if not p.isalpha()]
+        got = dict(zip(letters, self._letters(letters), strict=True))
+        got.update(zip(rest, self._library(rest), strict=True))
+        got.update({p: self.words[p] if p in self.words else self.older[p] for p in parts.difference(new)})
+        return got
+
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of new words. Letters, maybe with signs behind them, have the ids of their lower-case form and of the signs; other
+        ASCII words those of their pre-tokens; the tokenizer gets the rest whole."""
+        words = pa.array(list(missing), pa.string())
+        core = pc.utf8_rtrim(words, characters=string.punctuation)
+        low = pc.utf8_lower(core)
+        plain = pc.and_(pc.utf8_is_alpha(core), pc.invert(pc.match_substring_regex(words, "[ΣİẞΩKÅ]")))
+        for text in (words, low):
+            plain = pc.and_(plain, pc.equal(pc.utf8_normalize(text, form="NFC"), text))
+        coded = low.filter(plain).dictionary_encode()
+        forms, code = coded.dictionary.to_pylist(), coded.indices.to_pylist()
+        ids = self._known(set(forms))
+        of = [ids[f] for f in forms]
+        whole = words.filter(plain)
+        got = dict(zip(whole.to_pylist(), [of[i] for i in code], strict=True))
+        got.update(ids)
+        stopped = pc.and_(plain, pc.not_equal(words, core))
+        ends = [(w, w[len(c) :]) for w, c in zip(words.filter(stopped).to_pylist(), core.filter(stopped).to_pylist(), strict=True)]
+        stop = self._known({e for _, e in ends})
+        got.update([(w, got[w] + stop[e]) for w, e in ends])
+        pieces, direct = {}, []
+        for w in words.filter(pc.invert(plain)).to_pylist():
+            if w.isascii() and "<|" not in w and not self.odd_space.search(w):  # no special strings, no control characters
+                pieces[w] = self.plain.findall(w.lower())
             else:
                 direct.append(w)
-        parts = {p for f in forms.values() for p in f if p not in self.words}
-        parts = list(parts.union(direct))
-        if len(self.words) + len(parts) + len(missing) > CACHED:
-            self.words = {}
-            parts = list({p for f in forms.values() for p in f}.union(direct))
-        self.words.update(zip(parts, self._library(parts), strict=True))
-        self.words.update((w, b"".join([self.words[p] for p in f])) for w, f in forms.items())
+        ids = self._known({p for ps in pieces.values() for p in ps})
+        got.update(ids)
+        got.update({w: b"".join([ids[p] for p in ps]) for w, ps in pieces.items()})
+        got.update(zip(direct, self._library(direct), strict=True))
+        return got
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, and where each text's begin and end.
+
+        Arrow splits the texts and numbers their distinct words; only those become Python objects.
+        """
+        lists = pc.ascii_split_whitespace(texts.fill_null(""))
+        coded = lists.flatten().dictionary_encode()
+        distinct, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        missing = set(distinct).difference(self.words)
+        got = {w: self.older[w] for w in missing if w in self.older}
+        got.update(self._learn(missing.difference(got)))
+        self.words.update(got)
+        parts = list(map(self.words.__getitem__, distinct))
+        for w in got:
+            if len(w) > CACHED_CHARS:
+                del self.words[w]
+        if len(self.words) > CACHED:
+            self.older, self.words = self.words, {}
+        ids = np.frombuffer(b"".join(parts), dtype="<u2")
+        size = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 2
+        begin, count = np.cumsum(size) - size, size[code]
+        end = np.cumsum(count)
+        place = np.repeat(begin[code] - (end - count), count) + np.arange(end[-1] if len(end) else 0)
+        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        return ids[place], np.concatenate([[0], end])[offsets]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        out = []
-        for text in texts:
-            if not text:
-                out.append(b"")
-            elif self.odd_space.search(text):
-                out.extend(self._library([text]))
-            else:
-                words = text.split()
-                known = self.words
-                missing = list({w for w in words if w not in known})
-                longer = {w for w in missing if len(w) > CACHED_CHARS}
-                if len(missing) > CACHED // 4:  # a text with so many new words goes by itself
-                    out.extend(self._library([text]))
-                    continue
-                if missing:
-                    self._learn([w for w in missing if w not in longer])
-                    known = self.words
-                    again = list({w for w in words if w not in known and w not in longer}) if len(known) < len(missing) else []
-                    if again:
-                        self._learn(again)
-                if longer:
-                    rare = dict(zip(longer, self._library(list(longer)), strict=True))
-                    out.append(b"".join([rare[w] if w in rare else known[w] for w in words]))
-                else:
-                    try:
-                        out.append(b"".join([known[w] for w in words]))
-                    except KeyError:  # the memory was emptied while this text was read
-                        out.extend(self._library([text]))
-        return out
+        ids, at = self.encode(pa.array(texts, pa.string()))
+        return [ids[i:j].tobytes() for i, j in pairwise(at.tolist())]
 
 
 def tokenised(docs: DataFrame, path: str, end_id: int = END_ID, length: int = LENGTH, id_col: str = "doc_id",
@@ -108,13 +149,14 @@ def tokenised(docs: DataFrame, path: str, end_id: int = END_ID, length: int = LE
     end = np.array([end_id], dtype="<u2").tobytes()
 
     def each(batches):
-        encode = WordIds(path)
+        words = kept(("WordIds", path), lambda: WordIds(path))
         for b in batches:
             doc, texts = b.column(0), b.column(1)
-            for at in range(0, b.num_rows, 500):
+            for at in range(0, b.num_rows, SLICE):
                 rows, start, total, ids = [], [], [], []
-                for i, x in enumerate(encode(texts.slice(at, 500).to_pylist())):
-                    x += end
+                flat, bounds = words.encode(texts.slice(at, SLICE))
+                for i, (first, last) in enumerate(pairwise(bounds.tolist())):
+                    x = flat[first:last].tobytes() + end
                     for s in range(0, len(x), 2 * length):
                         rows.append(at + i)
                         start.append(s // 2)
