@@ -23,7 +23,7 @@ LENGTH = 4096
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 ROWS_PER_GROUP = 2_000
-CACHED, CACHED_CHARS = 250_000, 48  # words a worker remembers in each of two generations, and the longest of them
+CACHED, CACHED_CHARS = 400_000, 48  # words a worker remembers in each of two generations, and the longest of them
 SLICE = 1000  # documents whose words are looked up together
 BROADCAST_RANGES = 200_000
 
