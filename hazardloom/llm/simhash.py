@@ -108,25 +108,38 @@ def simhash_components(
 
 # ---- near-duplicates by shingle similarity -------------------------------------------------------------------------
 
-TABLES, BITS = 6, 32  # independent fingerprints of the words of a text
-
-
-def _word_prints(words: set[bytes]) -> np.ndarray:
-    """TABLES fingerprints of BITS bits over the distinct words."""
-    if not words:
-        return np.zeros(TABLES, dtype=np.int64)
-    base = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], dtype=np.uint64)
-    out = []
-    for t in range(TABLES * BITS // 64):
-        h = (base ^ np.uint64(t + 1)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-        ones = np.zeros(64, dtype=np.int64)
-        for at in range(0, len(h), CHUNK):
-            ones += np.unpackbits(h[at : at + CHUNK].view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-        out.append(np.packbits(2 * ones > len(h)).view(">u4").astype(np.int64))
-    return np.concatenate(out)
+TABLES, PARTS = 6, 5  # min-hash fingerprints of a text, and symbols of each
+_MIX, _ROWS = np.uint64(0x9E3779B97F4A7C15), 2048
+
+
+def _run_hashes(words: list[bytes], k: int) -> np.ndarray:
+    """64-bit hashes of the runs of k words, repeats included; fewer words make one run."""
+    known = {w: xxhash.xxh64_intdigest(w, SEED) for w in set(words)}
+    h = np.array([known[w] for w in words], dtype=np.uint64)
+    n = min(k, len(h))
+    out = np.zeros(len(h) - n + 1 if n else 0, dtype=np.uint64)
+    for i in range(n):
+        out = (out + h[i : len(h) - n + 1 + i]) * _MIX
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def _multipliers(count: int, salt: int) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(b"%d" % i, SEED + salt) | 1 for i in range(count)], dtype=np.uint64)
+
+
+def _symbols(hashes: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
+    """A 32-bit symbol per multiplier, from the smallest product: two sets share each with probability their Jaccard similarity."""
+    least = np.full(len(multipliers), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), _ROWS):
+        least = np.minimum(least, (multipliers[:, None] * hashes[None, at : at + _ROWS]).min(axis=1))
+    return ((least * _MIX) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def expected_recall(similarity: float, tables: int = TABLES, parts: int = PARTS) -> float:
+    """Probability that two texts of this similarity meet: one fingerprint of ``tables`` differs in at most one symbol."""
+    one = similarity**parts + parts * (1 - similarity) * similarity ** (parts - 1)
+    return 1 - (1 - one) ** tables
 
 
 def _jaccard(a: str, b: str, k: int) -> float:
@@ -134,20 +147,30 @@ def _jaccard(a: str, b: str, k: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def _candidates(members: DataFrame) -> DataFrame:
+def _members(texts: DataFrame, tables: int, parts: int) -> DataFrame:
+    """Each text (``same``, ``prints``) once for each of its fingerprints: ``same``, ``t``, ``part``, ``class``."""
+    each = F.posexplode(F.array(*(F.slice("prints", t * parts + 1, parts) for t in range(tables)))).alias("t", "part")
+    return texts.select("same", each).withColumn("class", F.xxhash64("t", "part"))
+
+
+def _candidates(members: DataFrame, parts: int = PARTS) -> DataFrame:
     """Pairs (``same``, ``other``) to compare: in each meeting, every text with the meeting's centre.
 
-    ``members`` holds a text's hash ``same`` and its ``class``, the number and value of one of its fingerprints. Meetings
-    are of classes, of which at most BITS + 1 share a value, so copies cost nothing there. The centre is the text that
+    ``members`` holds a text's hash ``same``, the number ``t`` and symbols ``part`` of one of its fingerprints, and their hash
+    ``class``. A class emits its ball, its fingerprint with each symbol left out in turn: two share a value exactly if they
+    differ in at most one symbol. Meetings are of classes, so equal fingerprints cost nothing there. The centre is the text that
     meets most others: copies that were changed independently of each other lie around their original, which is
     closer to each of them than they are to one another.
     """
-    classes = members.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
-    met = meetings(classes, "class", BITS, 2)
-    total = F.sum("n").over(Window.partitionBy("variant"))
-    met = written(met.withColumn("total", total).where("total > 1").select("class", "variant", "total"), "met")
+    classes = members.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.first("t").alias("t"), F.first("part").alias("part"))
+    ball = [
+        F.xxhash64("t", F.lit(i), *(F.col("part")[j] for j in range(parts) if j != i)) for i in range(parts)
+    ]
+    met = written(classes.select("class", "n", F.explode(F.array(*ball)).alias("variant")), "balls")
+    totals = met.groupBy("variant").agg(F.sum("n").alias("total")).where("total > 1")
+    met = written(met.join(totals, "variant").select("class", "variant", "total"), "met")
     weight = met.groupBy("class").agg(F.sum("total").alias("weight"))
-    active = written(members.join(weight, "class"), "active")
+    active = written(members.select("same", "class").join(weight, "class"), "active")
     ranked = active.groupBy("same").agg(F.sum("weight").alias("weight"))
     top = active.select("same", "class").join(ranked, "same").groupBy("class").agg(
         F.max(F.struct("weight", "same")).alias("top")
@@ -163,10 +186,10 @@ def near_duplicate_survivors(
 ) -> DataFrame:
     """The input rows without near-duplicates: of each group the row with the smallest id stays.
 
-    Texts with the same words are copies. Other texts meet by ball hashing of several short SimHash fingerprints of their
-    distinct words, and two that meet are linked if the Jaccard similarity of their sets of ``shingle``-word runs is at least
-    ``similarity``; groups are the connected components. (A 64-bit fingerprint of shingles within two bits finds few pairs
-    at 0.8: five-word runs at that similarity differ in about ten bits.) Rows without id stay only in groups that have
+    Texts with the same words are copies. Other texts meet by ball hashing of TABLES min-hash fingerprints of their
+    ``shingle``-word runs, of PARTS symbols each, and two that meet are linked if the Jaccard similarity of their sets of runs is
+    at least ``similarity``; groups are the connected components. Two texts at 0.8 meet with probability ``expected_recall``,
+    0.9996, wherever they differ: the symbols are of the runs themselves. Rows without id stay only in groups that have
     none; of repeated rows one stays. Texts without words are copies of each other. All columns are kept.
     """
     # the row goes along as one column, so that no name of its columns can clash
@@ -175,29 +198,29 @@ def near_duplicate_survivors(
         F.col(text_col).alias("_text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"),
     )
 
+    multipliers = _multipliers(TABLES * PARTS, 0)
+
     def each(batches):
         for b in sliced(batches):
             same, prints = [], []
             for t in b.column(2).to_pylist():
                 w = words_of(t)
                 same.append(xxhash.xxh3_128_digest(b" ".join(w), SEED))
-                prints.append(_word_prints(set(w)))
+                prints.append(_symbols(_run_hashes(w, shingle), multipliers))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(same, pa.binary()), pa.array(prints, pa.list_(pa.int64()))],
+                [b.column(0), b.column(1), pa.array(same, pa.binary()), pa.array(prints, pa.list_(pa.int32()))],
                 names=["_id", "_hash", "same", "prints"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = written(
         d.select("_id", "_hash", "_text").mapInArrow(
-            each, f"_id {kind}, _hash bigint, same binary, prints array<bigint>"
+            each, f"_id {kind}, _hash bigint, same binary, prints array<int>"
         ), "sketches",
     )
     first = F.struct(F.col("_id").isNull().alias("unnamed"), "_id", "_hash")
     texts = written(rows.groupBy("same").agg(F.min(first).alias("best"), F.first("prints").alias("prints")), "texts")
-    members = texts.select("same", F.posexplode("prints").alias("t", "p")).select(
-        "same", (F.shiftleft(F.col("t").cast("bigint"), BITS) + F.col("p")).alias("class")
-    )
+    members = _members(texts, TABLES, PARTS)
     pairs = written(_candidates(members), "pairs")
     wanted = pairs.select("same").union(pairs.select("other")).distinct()
     wanted = written(texts.join(wanted, "same").select("same", "best._id", "best._hash"), "wanted")

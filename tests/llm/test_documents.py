@@ -113,6 +113,36 @@ def test_near_duplicate_survivors(docs, odd_rows, nothing):
     assert simhash.near_duplicate_survivors(nothing).count() == 0
 
 
+def runs(text, k=5):
+    w = plain_words(text)
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+
+
+def changed(r, words, kind, low=0.80, high=0.85):
+    """A copy whose five-word runs have a similarity in [low, high]: truncated, appended to, or with a block replaced."""
+    own, new = runs(" ".join(words)), lambda n: ["".join(r.choice("fghijk") for _ in range(8)) for _ in range(n)]
+    for n in range(1, len(words)):
+        at = r.randrange(len(words) - n + 1)
+        copy = {"cut": words[:-n], "more": words + new(n), "block": words[:at] + new(n) + words[at + n :]}[kind]
+        other = runs(" ".join(copy))
+        if low <= len(own & other) / len(own | other) <= high:
+            return " ".join(copy)
+
+
+def test_near_duplicates_that_differ_in_a_run_of_words(spark):
+    r = random.Random(11)
+    vocabulary = ["".join(r.choice("abcde") for _ in range(r.randint(2, 7))) for _ in range(3000)]
+    rows = []
+    for i in range(150):
+        words = [r.choice(vocabulary) for _ in range(r.randint(60, 500))]
+        copy = changed(r, words, ("cut", "more", "block")[i % 3])
+        rows += [(2 * i, " ".join(words))] + ([(2 * i + 1, copy)] if copy else [])
+    assert len(rows) > 290
+    kept = simhash.near_duplicate_survivors(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(x.doc_id for x in kept.collect()) == [2 * i for i in range(150)]
+    assert simhash.expected_recall(0.8) > 0.9996
+
+
 # ---- mixing
 
 def test_mixture(docs, odd_rows, nothing):
