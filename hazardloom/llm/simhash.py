@@ -109,6 +109,9 @@ def simhash_components(
 # ---- near-duplicates by shingle similarity -------------------------------------------------------------------------
 
 TABLES, PARTS = 6, 5  # min-hash fingerprints of a text, and symbols of each
+FINER = (22, 12)  # the same for texts of meetings with many groups
+FEW = 64  # texts outside a meeting's largest group that are compared with all of the meeting at once
+CELL = 4096  # texts of a meeting in one cell of such a comparison
 _MIX, _ROWS = np.uint64(0x9E3779B97F4A7C15), 2048
 
 
@@ -153,8 +156,8 @@ def _members(texts: DataFrame, tables: int, parts: int) -> DataFrame:
     return texts.select("same", each).withColumn("class", F.xxhash64("t", "part"))
 
 
-def _candidates(members: DataFrame, parts: int = PARTS) -> DataFrame:
-    """Pairs (``same``, ``other``) to compare: in each meeting, every text with the meeting's centre.
+def _candidates(members: DataFrame, parts: int = PARTS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs, met, active). Pairs (``same``, ``other``) to compare first: in each meeting, every text with its centre.
 
     ``members`` holds a text's hash ``same``, the number ``t`` and symbols ``part`` of one of its fingerprints, and their hash
     ``class``. A class emits its ball, its fingerprint with each symbol left out in turn: two share a value exactly if they
@@ -178,7 +181,42 @@ def _candidates(members: DataFrame, parts: int = PARTS) -> DataFrame:
     centre = met.join(top, "class").groupBy("variant").agg(F.max("top").alias("top"))
     centres = met.join(centre, "variant").select("class", "top").union(top.select("class", "top"))
     centres = centres.select("class", F.col("top.same").alias("other")).distinct()
-    return active.select("same", "class").join(centres, "class").where("same != other").select("same", "other").distinct()
+    pairs = active.select("same", "class").join(centres, "class").where("same != other").select("same", "other").distinct()
+    return written(pairs, "pairs"), met, active
+
+
+def _unresolved(met: DataFrame, active: DataFrame, linked: DataFrame) -> DataFrame:
+    """Members of meetings that the links so far leave in more than one group: ``variant``, ``same``, ``root``, whether a text is ``out``
+    of the largest group, the meeting's ``total`` and how many are out (``outs``)."""
+    roots = connected_components(linked, "same", "other").toDF("same", "root")
+    rooted = active.select("same", "class").join(roots, "same", "left").withColumn("root", F.coalesce("root", "same"))
+    rooted = written(rooted, "rooted")
+    ends = rooted.groupBy("class").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    split = met.join(ends, "class").groupBy("variant").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    left = met.join(split.where("lo != hi").select("variant"), "variant").select("variant", "class", "total")
+    left = written(left.join(rooted, "class").select("variant", "same", "root", "total"), "left")
+    sizes = left.groupBy("variant", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("variant").agg(
+        F.max(F.struct("n", "root")).alias("largest")
+    )
+    left = left.join(sizes, "variant").withColumn("out", F.col("root") != F.col("largest.root"))
+    return written(left.withColumn("outs", F.col("total") - F.col("largest.n")).drop("largest"), "unresolved")
+
+
+def _across(left: DataFrame) -> DataFrame:
+    """All pairs of texts that meet and are in different groups. One of them is out of the largest group; a meeting is dealt
+    into cells of up to about FEW such texts and CELL texts, so no task holds a meeting."""
+    rows, columns = F.ceil(F.col("outs") / FEW), F.ceil(F.col("total") / CELL)
+    place = F.xxhash64("same")
+    a = left.where("out").select(
+        "variant", F.col("same").alias("a"), F.col("root").alias("ra"), F.pmod(place, rows).alias("row"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), columns - 1)).alias("column"),
+    )
+    b = left.select(
+        "variant", F.col("same").alias("b"), F.col("root").alias("rb"), "out", F.pmod(place, columns).alias("column"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), rows - 1)).alias("row"),
+    )
+    met = a.join(b, ["variant", "row", "column"]).where("ra != rb AND (NOT out OR a < b)")
+    return met.select(F.least("a", "b").alias("same"), F.greatest("a", "b").alias("other")).distinct()
 
 
 def near_duplicate_survivors(
@@ -189,7 +227,9 @@ def near_duplicate_survivors(
     Texts with the same words are copies. Other texts meet by ball hashing of TABLES min-hash fingerprints of their
     ``shingle``-word runs, of PARTS symbols each, and two that meet are linked if the Jaccard similarity of their sets of runs is
     at least ``similarity``; groups are the connected components. Two texts at 0.8 meet with probability ``expected_recall``,
-    0.9996, wherever they differ: the symbols are of the runs themselves. Rows without id stay only in groups that have
+    0.9996, wherever they differ: the symbols are of the runs themselves. In a meeting all are compared with its centre; if
+    that leaves it in more than one group, the groups are compared with each other, text by text; where more than FEW are out of
+    the largest group, after a second meeting by longer fingerprints (0.999 at 0.8). Rows without id stay only in groups that have
     none; of repeated rows one stays. Texts without words are copies of each other. All columns are kept.
     """
     # the row goes along as one column, so that no name of its columns can clash
@@ -220,14 +260,20 @@ def near_duplicate_survivors(
     )
     first = F.struct(F.col("_id").isNull().alias("unnamed"), "_id", "_hash")
     texts = written(rows.groupBy("same").agg(F.min(first).alias("best"), F.first("prints").alias("prints")), "texts")
-    members = _members(texts, TABLES, PARTS)
-    pairs = written(_candidates(members), "pairs")
-    wanted = pairs.select("same").union(pairs.select("other")).distinct()
-    wanted = written(texts.join(wanted, "same").select("same", "best._id", "best._hash"), "wanted")
-    found = d.select("_id", "_hash", "_text").alias("d").join(
-        wanted.alias("w"), (F.col("d._hash") == F.col("w._hash")) & F.col("d._id").eqNullSafe(F.col("w._id"))
-    ).groupBy("same").agg(F.first("_text").alias("_text"))
-    linked = _verified(pairs, written(found, "found"), shingle, similarity)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return written(_verified(pairs, _texts_of(d, texts, pairs), shingle, similarity), "linked")
+
+    pairs, met, active = _candidates(_members(texts, TABLES, PARTS))
+    linked = verified(pairs)
+    left = _unresolved(met, active, linked)
+    linked = linked.union(verified(written(_across(left.where(F.col("outs") <= FEW)), "pairs")))
+    many = written(left.where(F.col("outs") > FEW).select("same").distinct(), "many")
+    if not many.isEmpty():  # they meet again by longer fingerprints, and there all groups are compared
+        finer = written(_sketched(_texts_of(d, texts, many), shingle, *FINER), "finer")
+        pairs, met, active = _candidates(_members(finer, *FINER), FINER[1])
+        linked = linked.union(verified(pairs))
+        linked = linked.union(verified(written(_across(_unresolved(met, active, linked)), "pairs")))
     roots = connected_components(linked, "same", "other").toDF("same", "root")
     groups = texts.select("same", "best").join(roots, "same", "left").groupBy(F.coalesce("root", "same").alias("root"))
     stay = written(groups.agg(F.min("best").alias("best")).select("best._id", "best._hash"), "survivors")
@@ -239,6 +285,28 @@ def near_duplicate_survivors(
     )
 
 
+def _texts_of(d: DataFrame, texts: DataFrame, named: DataFrame) -> DataFrame:
+    """``same`` and one ``_text`` of it, for all hashes in the columns of ``named``."""
+    wanted = named.select(F.explode(F.array(*named.columns)).alias("same")).distinct()
+    wanted = written(texts.join(wanted, "same").select("same", "best._id", "best._hash"), "wanted")
+    found = d.select("_id", "_hash", "_text").alias("d").join(
+        wanted.alias("w"), (F.col("d._hash") == F.col("w._hash")) & F.col("d._id").eqNullSafe(F.col("w._id"))
+    )
+    return written(found.groupBy("same").agg(F.first("_text").alias("_text")), "found")
+
+
+def _sketched(texts: DataFrame, shingle: int, tables: int, parts: int) -> DataFrame:
+    """``same`` and ``prints``, with other symbols than those of the first meetings."""
+    multipliers = _multipliers(tables * parts, 1)
+
+    def each(batches):
+        for b in sliced(batches):
+            prints = [_symbols(_run_hashes(words_of(t), shingle), multipliers) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.list_(pa.int32()))], names=["same", "prints"])
+
+    return texts.select("same", "_text").mapInArrow(each, "same binary, prints array<int>")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     def each(batches):
         for b in sliced(batches):

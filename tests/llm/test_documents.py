@@ -140,7 +140,26 @@ def test_near_duplicates_that_differ_in_a_run_of_words(spark):
     assert len(rows) > 290
     kept = simhash.near_duplicate_survivors(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(x.doc_id for x in kept.collect()) == [2 * i for i in range(150)]
-    assert simhash.expected_recall(0.8) > 0.9996
+    assert simhash.expected_recall(0.8) > 0.9996 and simhash.expected_recall(0.8, *simhash.FINER) > 0.999
+
+
+@pytest.mark.parametrize("n", [20, 100])
+def test_near_duplicates_within_a_family(spark, n):
+    """Forms that share most of their words and meet, but are near-duplicates only of their own copy."""
+    r = random.Random(12)
+    new = lambda n: ["".join(r.choice("abcdefgh") for _ in range(8)) for _ in range(n)]
+    common, rows = new(170), []
+    for i in range(n):
+        words = common + new(34)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, changed(r, words, "more", 0.86, 0.90))]
+    rows = [(i, t) for i, t in rows if t]
+    sets = [runs(t) for _, t in rows]
+    alike = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    root = components(len(rows), alike)
+    want = sorted(min(rows[i][0] for i in range(len(rows)) if root[i] == c) for c in set(root))
+    assert len(want) == n
+    kept = simhash.near_duplicate_survivors(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(x.doc_id for x in kept.collect()) == want
 
 
 # ---- mixing
