@@ -45,10 +45,14 @@ _END = re.compile(r"[.!?;:]\W*$")
 # Each transducer: state -> {class: (next state, factor)}; unnamed classes go to the "else" entry. The factor is multiplied
 # into the weight of the word that is read.
 INSULT_FST = {0: {"else": (0, 1.0)}}
-THREAT_FST = {  # a threat counts once a target follows within two words or stood before it
-    0: {TARGET: (1, 1.0), THREAT: (0, 0.5), "else": (0, 1.0)},
+THREAT_FST = {  # a threat counts once a target follows within two words or stood before it; 2, 3 and 4 wait for one
+    0: {TARGET: (1, 1.0), THREAT: (2, 0.5), "else": (0, 1.0)},
     1: {THREAT: (1, 1.5), TARGET: (1, 1.0), "else": (1, 1.0)},
+    2: {TARGET: (1, 1.0), THREAT: (4, 0.5), "else": (3, 1.0)},  # the last word threatens
+    3: {TARGET: (1, 1.0), THREAT: (2, 0.5), "else": (0, 1.0)},  # the one before it
+    4: {TARGET: (1, 1.0), THREAT: (4, 0.5), "else": (3, 1.0)},  # both
 }
+WAITING, HELD_BACK = (2, 3, 4), 1.5 / 0.5 - 1  # what a target adds to each waiting threat, as a multiple of what that gave
 TARGET_FST = {
     0: {TARGET: (1, 1.0), "else": (0, 1.0)},
     1: {INSULT: (1, 1.2), "else": (1, 1.0)},
@@ -76,7 +80,10 @@ def compose(*machines: dict) -> tuple[list[list[int]], list[list[float]]]:
     return to, factor
 
 
-GRAMMAR = compose(INSULT_FST, THREAT_FST, TARGET_FST, NEGATION_FST, REPORT_FST)
+MACHINES = (INSULT_FST, THREAT_FST, TARGET_FST, NEGATION_FST, REPORT_FST)
+GRAMMAR = compose(*MACHINES)
+# Per composed state, what a target gives back to the threats among the two words before it
+LIFTS = [HELD_BACK if s[1] in WAITING else 0.0 for s in product(*(sorted(m) for m in MACHINES))]
 
 
 class Reader:
@@ -117,10 +124,16 @@ class Reader:
             while first > at and not _END.search(words[first - 1]):
                 first -= 1
             state, weight, at, threat = 0, 0.0, first, False
+            last = before = (0.0, 0.0)  # weight and factor of the last two words, if they threaten
             while at < len(words):
                 c, w = tags[at]
-                weight += w * factor[state][c]
-                threat |= c == THREAT and factor[state][c] > 1
+                f = factor[state][c]
+                weight += w * f
+                threat |= c == THREAT and f > 1
+                if c == TARGET and (lift := LIFTS[state]):
+                    weight += lift * (last[0] * last[1] + before[0] * before[1])
+                    threat |= max(last[1], before[1]) * (1 + lift) > 1
+                last, before = (w, f) if c == THREAT else (0.0, 0.0), last
                 state = to[state][c]
                 at += 1
                 if _END.search(words[at - 1]):

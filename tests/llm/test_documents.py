@@ -321,6 +321,18 @@ def test_grammar():
     assert reader.features(None) == reader.features("") == (0.0, 0.0, 0.0, 0.0)
 
 
+def test_a_threat_counts_once_its_target_follows():
+    read = toxicity.Reader({}).features
+    for text in ("we will kill you", "I will hurt all you people"):
+        assert read(text)[0] == pytest.approx(3.0) and read(text)[3] > 0
+    for text in ("the fire will burn", "burn it. you see", "kill time and then you rest"):
+        assert read(text)[0] == pytest.approx(1.0) and read(text)[3] == 0
+    assert read("kill and hurt you")[0] == pytest.approx(4.0)  # the first one's two words are over
+    assert read("kill hurt you")[0] == pytest.approx(6.0)
+    assert read("we will not kill you")[0] == pytest.approx(1.8) and read("we will not kill you")[3] == 0
+    assert read("you kill you")[0] == pytest.approx(3.0)  # counted once
+
+
 def test_composition_is_the_product():
     to, factor = toxicity.GRAMMAR
     machines = (toxicity.INSULT_FST, toxicity.THREAT_FST, toxicity.TARGET_FST, toxicity.NEGATION_FST, toxicity.REPORT_FST)
