@@ -35,6 +35,7 @@ STEM_LENGTHS = range(3, 9)
 MAX_TRAINING = 20_000  # labelled documents to learn from, chosen by hash of their id
 MAX_STEMS = 20_000  # stems kept, those in most documents first
 MIN_DOCS, MIN_RATIO = 4, 5.0  # toxic documents a stem needs, and how much likelier it must be in them
+THRESHOLD = 0.3  # a score from which a document is toxic, for the operator and the pipeline
 REMEMBERED = 120_000  # words whose class a worker keeps
 _LETTERS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _END = re.compile(r"[.!?;:]\W*$")
@@ -266,7 +267,7 @@ def scorer(stems: dict[str, float], w: np.ndarray):
     return F.arrow_udf(score, T.DoubleType())
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING, threshold: float = 0.3) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING, threshold: float = THRESHOLD) -> DataFrame:
     """Per input row: doc_id, held_out, score in (0, 1), predicted (1 at ``threshold`` or more).
 
     Labels of held-out documents are not used; neither are language, source and id. Documents that come more than once and
@@ -278,7 +279,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING, thres
     )
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING, threshold: float = 0.5) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score below ``threshold``, with all their columns."""
     score = scorer(*fit(docs, labels, most))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), score("text").alias("_score"))

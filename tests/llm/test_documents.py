@@ -304,6 +304,14 @@ def test_long_runs_of_one_character():
 
 # ---- toxicity
 
+def test_the_pipeline_drops_what_the_operator_calls_toxic(spark):
+    docs = spark.createDataFrame([(1, "she said idiot"), (2, "plain words")], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    scored = {r.doc_id: r for r in toxicity.toxicity(docs, none).collect()}
+    assert 0.3 <= scored[1].score < 0.5 and scored[1].predicted == 1
+    assert [r.doc_id for r in toxicity.without_toxic(docs, none).collect()] == [2]
+
+
 def clause(words):
     reader = toxicity.Reader({"idiot$": 3.0, "idiot": 3.0})
     return reader.features(words)[0]
