@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardloom.llm import ann, mixing, packing, quotes, redirects, simhash, token_counts, topk, toxicity, warc
+from hazardloom.llm import ann, lexical, mixing, negatives, packing, quality, quotes, redirects, simhash, token_counts, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,22 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=5, every=50, scale=256.0)
 
 
+def op11_ranked_lexical_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return lexical.ranked_documents(docs, items, k=20)
+
+
+def op12_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return quality.quality(docs.select("doc_id", "text"), labels.select("doc_id", "quality"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", noisy), every=100, positives=5, negatives=10, least=30, most=90, scale=256.0)
+
+
 QUERIES = {
     "op1_warc_archives": op1_warc_archives,
     "op3_adaptive_dimension_scan": op3_adaptive_dimension_scan,
@@ -74,6 +90,9 @@ QUERIES = {
     "op7_source_mixing": op7_source_mixing,
     "op8_redirect_equivalence": op8_redirect_equivalence,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op11_ranked_lexical_scan": op11_ranked_lexical_scan,
+    "op12_attention_quality": op12_attention_quality,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 SQL: dict[str, str] = {
@@ -110,4 +129,42 @@ SQL: dict[str, str] = {
           FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
         FROM s QUALIFY rank <= 5""",
+    "op11_ranked_lexical_scan": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(text, '[0-9A-Za-z\x{80}-\x{10FFFF}]+') AS ts FROM documents),
+        c AS (SELECT count(*) AS docs, sum(len(ts)) AS total FROM d WHERE len(ts) > 0),
+        lower_terms AS (
+          SELECT 'd' AS kind, doc_id AS id, len(ts) AS n, unnest(ts) AS t FROM d
+          UNION ALL
+          SELECT 'i', item_id, 0, unnest(regexp_extract_all(text, '[0-9A-Za-z\x{80}-\x{10FFFF}]+')) FROM benchmark),
+        f AS (
+          SELECT kind, id, n, translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t, count(*) AS tf
+          FROM lower_terms GROUP BY ALL),
+        w AS (
+          SELECT t, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+          FROM f, c WHERE kind = 'd' GROUP BY t),
+        s AS (
+          SELECT i.id AS item_id, d.id AS doc_id,
+                 CAST(sum(i.tf * w.w * ((1000000000 * d.tf) // (1000 * d.tf + 12 * (100 - 25 + CAST((25 * d.n * docs) // total AS BIGINT))))) AS BIGINT) AS score
+          FROM f AS i JOIN f AS d ON i.t = d.t AND i.kind = 'i' AND d.kind = 'd' JOIN w ON w.t = i.t CROSS JOIN c
+          GROUP BY i.id, d.id)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+        FROM s WHERE score > 0 QUALIFY rank <= 20""",
+    "op13_hard_negatives": """
+        WITH v AS (
+          SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                 list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+          FROM embeddings
+          WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+          SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS alike, CAST(list_dot_product(a.e, r.e) AS BIGINT) AS score
+          FROM v AS a JOIN v AS r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0),
+        p AS (
+          SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE alike
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id,
+               CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+               vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id) WHERE NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        QUALIFY rank <= 10""",
 }

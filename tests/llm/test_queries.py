@@ -20,7 +20,7 @@ def plain(frame):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings", "conversations", "labels"):
+    for t in ("documents", "pages", "embeddings", "conversations", "labels", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = QUERIES[name](spark, SF).toPandas(), con.execute(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and plain(got) == plain(want)
@@ -28,10 +28,10 @@ def test_sql(spark, name):
 
 def test_all_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
-    assert sorted({int(q[2:].split("_")[0]) for q in QUERIES}) == list(range(1, 11))
+    assert sorted({int(q[2:].split("_")[0]) for q in QUERIES}) == list(range(1, 14))
 
 
-@pytest.mark.parametrize("name", ["op4_toxicity_grammar", "op5_quotation_linking", "op7_source_mixing", "op9_simhash_near_dedup"])
+@pytest.mark.parametrize("name", ["op4_toxicity_grammar", "op5_quotation_linking", "op7_source_mixing", "op9_simhash_near_dedup", "op12_attention_quality"])
 def test_one_row_for_each_input_row(spark, name):
     table = "conversations" if name.startswith("op5") else "documents"
     assert QUERIES[name](spark, SF).count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
