@@ -26,11 +26,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
 
 
-def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per row: id, source, size in words and a hash to shuffle by; no text."""
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row: Column | None = None) -> DataFrame:
+    """Per row: id, source, size in words, a hash ``h`` to shuffle by, and ``row``, what tells rows of equal id and text apart; no text."""
     return docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-        F.xxhash64(F.col(id_col), F.xxhash64(F.col(text_col))).alias("h"),
+        F.xxhash64(F.col(id_col), F.xxhash64(F.col(text_col))).alias("h"), (F.lit(0).cast("bigint") if row is None else row).alias("row"),
     )
 
 
@@ -67,14 +67,14 @@ def placed(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """
     group = F.pmod("h", F.ceil(F.col("n") / ROWS_PER_GROUP).cast("bigint"))
     r = rows.where("size > 0").join(sources, rows.source.eqNullSafe(sources.source)).select(
-        "k", "doc_id", "size", "h", "source_size", "take", group.alias("g")
+        "k", "doc_id", "size", "h", "row", "source_size", "take", group.alias("g")
     )
     sums = r.groupBy("k", "g").agg(F.sum("size").alias("words"))
     start = F.sum("words").over(Window.partitionBy("k").orderBy("g")) - F.col("words")
     starts = sums.select("k", "g", start.alias("start"))
-    inner = Window.partitionBy("k", "g").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inner = Window.partitionBy("k", "g").orderBy("h", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
     r = r.withColumn("at", F.sum("size").over(inner) - F.col("size")).join(starts, ["k", "g"])
-    return r.select("k", "doc_id", "h", "size", "source_size", "take", (F.col("at") + F.col("start")).alias("at"))
+    return r.select("k", "doc_id", "h", "row", "size", "source_size", "take", (F.col("at") + F.col("start")).alias("at"))
 
 
 def pieces(places: DataFrame, block: int) -> DataFrame:
@@ -85,7 +85,7 @@ def pieces(places: DataFrame, block: int) -> DataFrame:
     first, last = F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block)
     e = e.withColumn("rank", F.explode(F.sequence(first, last)))
     a, b = F.greatest("lo", F.col("rank") * block), F.least("hi", (F.col("rank") + 1) * block)
-    return e.select("k", "rank", "doc_id", "h", "size", "at", "epoch", (a - F.col("lo")).alias("start"), (b - a).alias("length"))
+    return e.select("k", "rank", "doc_id", "row", "size", "at", "epoch", (a - F.col("lo")).alias("start"), (b - a).alias("length"))
 
 
 def schedule(sources: DataFrame, block: int) -> DataFrame:
@@ -121,7 +121,7 @@ def schedule(sources: DataFrame, block: int) -> DataFrame:
 
 def mix(
     docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, block: int = 1024,
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row: Column | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(rows, sources, places, mixture).
 
@@ -131,7 +131,7 @@ def mix(
     are interchangeable. Null ids and sources are values like others; rows without words are in no block; an empty table has an
     empty mixture. Other columns are not read.
     """
-    rows = written(sized(docs, id_col, text_col, source_col), "sizes")
+    rows = written(sized(docs, id_col, text_col, source_col, row), "sizes")
     sources = written(source_targets(rows, weights, share), "sources")
     places = written(placed(rows, sources), "places")
     held = pieces(places, block)
@@ -157,24 +157,25 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents as the mixture holds them: all columns, one row for each time a document is used.
 
     A document that is taken whole keeps its text. Where a source's target ends inside a document, the text is cut to
-    its first words, with single spaces. A document that the mixture takes no word of has no row.
+    its first words, with single spaces. A document that the mixture takes no word of has no row. A row is known by a hash of all its
+    columns: rows that share id and text but nothing else are documents of their own, and only rows equal in all columns
+    share their uses, which are counted, not listed.
     """
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    _, sources, _, mixture = mix(docs, **options)
-    used = mixture.groupBy("k", "at", "epoch").agg(
-        F.first("doc_id").alias("_id"), F.first("h").alias("_h"), F.sum("length").alias("_words"), F.first("size").alias("_size")
-    ).groupBy("_id", "_h").agg(F.collect_list(F.struct("_words", "_size")).alias("_uses"))
+    text_col, block = options.get("text_col", "text"), options.get("block", 1024)
     # the row goes along as one column, so that no name of its columns can clash
-    d = docs.select(
-        F.col(id_col).alias("_i"), F.xxhash64(F.col(id_col), F.xxhash64(F.col(text_col))).alias("_hash"),
-        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"),
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    key = F.struct(F.col(options.get("id_col", "doc_id")).alias("id"), F.xxhash64(row).alias("row"))
+    _, _, _, mixture = mix(docs, **options, row=F.xxhash64(row))
+    used = mixture.groupBy("k", "at", "epoch").agg(
+        F.first(F.struct(F.col("doc_id").alias("id"), "row")).alias("_key"), F.sum("length").alias("_words"), F.first("size").alias("_size")
     )
+    stretch = F.floor(F.col("at") / (1000 * block)).alias("_stretch")  # bounds how many uses one row stands for
+    used = used.groupBy("_key", "_words", "_size", stretch).agg(F.count(F.lit(1)).alias("_uses"))
+    d = docs.select(key.alias("_key"), row.alias("_row"))
+    one = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))  # these rows are equal in all columns
+    met = d.withColumn("_n", one).where("_n = 1").join(used, "_key")
+    met = met.withColumn("_use", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_uses"))))
     text = F.col("_row").getField(text_col)
-    met = d.join(used, (F.col("_hash") == F.col("_h")) & F.col("_i").eqNullSafe(F.col("_id")))
-    # equal rows share their uses, so one of them brings all; the window keeps the join's partitioning
-    one = F.row_number().over(Window.partitionBy("_hash", "_i").orderBy("_i"))
-    met = met.withColumn("_n", one).where("_n = 1")
-    met = met.withColumn("_use", F.explode("_uses"))
-    words = F.slice(F.split(F.regexp_replace(text, r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+"), 1, F.col("_use._words").cast("int"))
-    cut = F.when(F.col("_use._words") < F.col("_use._size"), F.array_join(words, " ")).otherwise(text)
+    words = F.slice(F.split(F.regexp_replace(text, r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+"), 1, F.col("_words").cast("int"))
+    cut = F.when(F.col("_words") < F.col("_size"), F.array_join(words, " ")).otherwise(text)
     return met.select(F.col("_row").withField(f"`{text_col}`", cut).alias("_row")).select("_row.*")

@@ -106,213 +106,23 @@ def simhash_components(
     return each.join(named, "fingerprint", "left").select(id_col, "fingerprint", "component_id")
 
 
-# ---- near-duplicates by shingle similarity -------------------------------------------------------------------------
-
-TABLES, PARTS = 6, 5  # min-hash fingerprints of a text, and symbols of each
-FINER = (22, 12)  # the same for texts of meetings with many groups
-FEW = 64  # texts outside a meeting's largest group that are compared with all of the meeting at once
-CELL = 4096  # texts of a meeting in one cell of such a comparison
-_MIX, _ROWS = np.uint64(0x9E3779B97F4A7C15), 2048
-
-
-def _run_hashes(words: list[bytes], k: int) -> np.ndarray:
-    """64-bit hashes of the runs of k words, repeats included; fewer words make one run."""
-    known = {w: xxhash.xxh64_intdigest(w, SEED) for w in set(words)}
-    h = np.array([known[w] for w in words], dtype=np.uint64)
-    n = min(k, len(h))
-    out = np.zeros(len(h) - n + 1 if n else 0, dtype=np.uint64)
-    for i in range(n):
-        out = (out + h[i : len(h) - n + 1 + i]) * _MIX
-        out ^= out >> np.uint64(29)
-    return out
-
-
-def _multipliers(count: int, salt: int) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(b"%d" % i, SEED + salt) | 1 for i in range(count)], dtype=np.uint64)
-
-
-def _symbols(hashes: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
-    """A 32-bit symbol per multiplier, from the smallest product: two sets share each with probability their Jaccard similarity."""
-    least = np.full(len(multipliers), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), _ROWS):
-        least = np.minimum(least, (multipliers[:, None] * hashes[None, at : at + _ROWS]).min(axis=1))
-    return ((least * _MIX) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-
-
-def expected_recall(similarity: float, tables: int = TABLES, parts: int = PARTS) -> float:
-    """Probability that two texts of this similarity meet: one fingerprint of ``tables`` differs in at most one symbol."""
-    one = similarity**parts + parts * (1 - similarity) * similarity ** (parts - 1)
-    return 1 - (1 - one) ** tables
-
-
-def _jaccard(a: str, b: str, k: int) -> float:
-    x, y = set(shingles_of(words_of(a), k)), set(shingles_of(words_of(b), k))
-    return len(x & y) / len(x | y) if x or y else 1.0
-
-
-def _members(texts: DataFrame, tables: int, parts: int) -> DataFrame:
-    """Each text (``same``, ``prints``) once for each of its fingerprints: ``same``, ``t``, ``part``, ``class``."""
-    each = F.posexplode(F.array(*(F.slice("prints", t * parts + 1, parts) for t in range(tables)))).alias("t", "part")
-    return texts.select("same", each).withColumn("class", F.xxhash64("t", "part"))
-
-
-def _candidates(members: DataFrame, parts: int = PARTS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pairs, met, active). Pairs (``same``, ``other``) to compare first: in each meeting, every text with its centre.
-
-    ``members`` holds a text's hash ``same``, the number ``t`` and symbols ``part`` of one of its fingerprints, and their hash
-    ``class``. A class emits its ball, its fingerprint with each symbol left out in turn: two share a value exactly if they
-    differ in at most one symbol. Meetings are of classes, so equal fingerprints cost nothing there. The centre is the text that
-    meets most others: copies that were changed independently of each other lie around their original, which is
-    closer to each of them than they are to one another.
-    """
-    classes = members.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.first("t").alias("t"), F.first("part").alias("part"))
-    ball = [
-        F.xxhash64("t", F.lit(i), *(F.col("part")[j] for j in range(parts) if j != i)) for i in range(parts)
-    ]
-    met = written(classes.select("class", "n", F.explode(F.array(*ball)).alias("variant")), "balls")
-    totals = met.groupBy("variant").agg(F.sum("n").alias("total")).where("total > 1")
-    met = written(met.join(totals, "variant").select("class", "variant", "total"), "met")
-    weight = met.groupBy("class").agg(F.sum("total").alias("weight"))
-    active = written(members.select("same", "class").join(weight, "class"), "active")
-    ranked = active.groupBy("same").agg(F.sum("weight").alias("weight"))
-    top = active.select("same", "class").join(ranked, "same").groupBy("class").agg(
-        F.max(F.struct("weight", "same")).alias("top")
-    )
-    centre = met.join(top, "class").groupBy("variant").agg(F.max("top").alias("top"))
-    centres = met.join(centre, "variant").select("class", "top").union(top.select("class", "top"))
-    centres = centres.select("class", F.col("top.same").alias("other")).distinct()
-    pairs = active.select("same", "class").join(centres, "class").where("same != other").select("same", "other").distinct()
-    return written(pairs, "pairs"), met, active
-
-
-def _unresolved(met: DataFrame, active: DataFrame, linked: DataFrame) -> DataFrame:
-    """Members of meetings that the links so far leave in more than one group: ``variant``, ``same``, ``root``, whether a text is ``out``
-    of the largest group, the meeting's ``total`` and how many are out (``outs``)."""
-    roots = connected_components(linked, "same", "other").toDF("same", "root")
-    rooted = active.select("same", "class").join(roots, "same", "left").withColumn("root", F.coalesce("root", "same"))
-    rooted = written(rooted, "rooted")
-    ends = rooted.groupBy("class").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    split = met.join(ends, "class").groupBy("variant").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    left = met.join(split.where("lo != hi").select("variant"), "variant").select("variant", "class", "total")
-    left = written(left.join(rooted, "class").select("variant", "same", "root", "total"), "left")
-    sizes = left.groupBy("variant", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("variant").agg(
-        F.max(F.struct("n", "root")).alias("largest")
-    )
-    left = left.join(sizes, "variant").withColumn("out", F.col("root") != F.col("largest.root"))
-    return written(left.withColumn("outs", F.col("total") - F.col("largest.n")).drop("largest"), "unresolved")
-
-
-def _across(left: DataFrame) -> DataFrame:
-    """All pairs of texts that meet and are in different groups. One of them is out of the largest group; a meeting is dealt
-    into cells of up to about FEW such texts and CELL texts, so no task holds a meeting."""
-    rows, columns = F.ceil(F.col("outs") / FEW), F.ceil(F.col("total") / CELL)
-    place = F.xxhash64("same")
-    a = left.where("out").select(
-        "variant", F.col("same").alias("a"), F.col("root").alias("ra"), F.pmod(place, rows).alias("row"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), columns - 1)).alias("column"),
-    )
-    b = left.select(
-        "variant", F.col("same").alias("b"), F.col("root").alias("rb"), "out", F.pmod(place, columns).alias("column"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), rows - 1)).alias("row"),
-    )
-    met = a.join(b, ["variant", "row", "column"]).where("ra != rb AND (NOT out OR a < b)")
-    return met.select(F.least("a", "b").alias("same"), F.greatest("a", "b").alias("other")).distinct()
-
-
 def near_duplicate_survivors(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2
 ) -> DataFrame:
-    """The input rows without near-duplicates: of each group the row with the smallest id stays.
+    """The input rows without near-duplicates: of each component (see ``simhash_components``) the row with the smallest id stays.
 
-    Texts with the same words are copies. Other texts meet by ball hashing of TABLES min-hash fingerprints of their
-    ``shingle``-word runs, of PARTS symbols each, and two that meet are linked if the Jaccard similarity of their sets of runs is
-    at least ``similarity``; groups are the connected components. Two texts at 0.8 meet with probability ``expected_recall``,
-    0.9996, wherever they differ: the symbols are of the runs themselves. In a meeting all are compared with its centre; if
-    that leaves it in more than one group, the groups are compared with each other, text by text; where more than FEW are out of
-    the largest group, after a second meeting by longer fingerprints (0.999 at 0.8). Rows without id stay only in groups that have
-    none; of repeated rows one stays. Texts without words are copies of each other. All columns are kept.
+    Rows without id stay only in components that have none; rows of equal id differ by a hash of all their columns, of
+    which the smallest stays; of rows that repeat in all columns one stays. All columns are kept; texts without words are copies of each
+    other; an empty table stays empty.
     """
-    # the row goes along as one column, so that no name of its columns can clash
-    d = docs.select(
-        F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col), F.xxhash64(F.col(text_col))).alias("_hash"),
-        F.col(text_col).alias("_text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"),
-    )
-
-    multipliers = _multipliers(TABLES * PARTS, 0)
-
-    def each(batches):
-        for b in sliced(batches):
-            same, prints = [], []
-            for t in b.column(2).to_pylist():
-                w = words_of(t)
-                same.append(xxhash.xxh3_128_digest(b" ".join(w), SEED))
-                prints.append(_symbols(_run_hashes(w, shingle), multipliers))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(same, pa.binary()), pa.array(prints, pa.list_(pa.int32()))],
-                names=["_id", "_hash", "same", "prints"],
-            )
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = written(
-        d.select("_id", "_hash", "_text").mapInArrow(
-            each, f"_id {kind}, _hash bigint, same binary, prints array<int>"
-        ), "sketches",
-    )
-    first = F.struct(F.col("_id").isNull().alias("unnamed"), "_id", "_hash")
-    texts = written(rows.groupBy("same").agg(F.min(first).alias("best"), F.first("prints").alias("prints")), "texts")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        return written(_verified(pairs, _texts_of(d, texts, pairs), shingle, similarity), "linked")
-
-    pairs, met, active = _candidates(_members(texts, TABLES, PARTS))
-    linked = verified(pairs)
-    left = _unresolved(met, active, linked)
-    linked = linked.union(verified(written(_across(left.where(F.col("outs") <= FEW)), "pairs")))
-    many = written(left.where(F.col("outs") > FEW).select("same").distinct(), "many")
-    if not many.isEmpty():  # they meet again by longer fingerprints, and there all groups are compared
-        finer = written(_sketched(_texts_of(d, texts, many), shingle, *FINER), "finer")
-        pairs, met, active = _candidates(_members(finer, *FINER), FINER[1])
-        linked = linked.union(verified(pairs))
-        linked = linked.union(verified(written(_across(_unresolved(met, active, linked)), "pairs")))
-    roots = connected_components(linked, "same", "other").toDF("same", "root")
-    groups = texts.select("same", "best").join(roots, "same", "left").groupBy(F.coalesce("root", "same").alias("root"))
-    stay = written(groups.agg(F.min("best").alias("best")).select("best._id", "best._hash"), "survivors")
-    one = Window.partitionBy("_hash", "_id").orderBy("_id")
-    return (
-        d.select("_id", "_hash", "_row").alias("d").join(
-            stay.alias("s"), (F.col("d._hash") == F.col("s._hash")) & F.col("d._id").eqNullSafe(F.col("s._id")), "left_semi"
-        ).withColumn("_copy", F.row_number().over(one)).where("_copy = 1").select("_row.*")
-    )
-
-
-def _texts_of(d: DataFrame, texts: DataFrame, named: DataFrame) -> DataFrame:
-    """``same`` and one ``_text`` of it, for all hashes in the columns of ``named``."""
-    wanted = named.select(F.explode(F.array(*named.columns)).alias("same")).distinct()
-    wanted = written(texts.join(wanted, "same").select("same", "best._id", "best._hash"), "wanted")
-    found = d.select("_id", "_hash", "_text").alias("d").join(
-        wanted.alias("w"), (F.col("d._hash") == F.col("w._hash")) & F.col("d._id").eqNullSafe(F.col("w._id"))
-    )
-    return written(found.groupBy("same").agg(F.first("_text").alias("_text")), "found")
-
-
-def _sketched(texts: DataFrame, shingle: int, tables: int, parts: int) -> DataFrame:
-    """``same`` and ``prints``, with other symbols than those of the first meetings."""
-    multipliers = _multipliers(tables * parts, 1)
-
-    def each(batches):
-        for b in sliced(batches):
-            prints = [_symbols(_run_hashes(words_of(t), shingle), multipliers) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.list_(pa.int32()))], names=["same", "prints"])
-
-    return texts.select("same", "_text").mapInArrow(each, "same binary, prints array<int>")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    def each(batches):
-        for b in sliced(batches):
-            x, y = b.column(2).to_pylist(), b.column(3).to_pylist()
-            keep = pa.array([_jaccard(p, q, shingle) >= similarity for p, q in zip(x, y, strict=True)], pa.bool_())
-            yield b.select([0, 1]).filter(keep)
-
-    both = pairs.join(texts, "same").join(texts.toDF("other", "_other"), "other")
-    return both.select("same", "other", "_text", "_other").mapInArrow(each, "same binary, other binary")
+    # rows go along as one column, so that no name of their columns can clash
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    key = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.xxhash64(row).alias("h"))
+    d = docs.select(key.alias("_key"), F.col(text_col).alias("_text"), row.alias("_row"))
+    each = written(fingerprints(d, "_key", "_text", shingle), "fingerprints")
+    distinct = written(each.groupBy("fingerprint").agg(F.min("_key").alias("least")), "distinct")
+    roots = connected_components(fingerprint_links(distinct, radius)).toDF("fingerprint", "root")
+    groups = distinct.join(roots, "fingerprint", "left").groupBy(F.coalesce("root", "fingerprint").alias("root"))
+    stay = groups.agg(F.min("least").alias("_key")).select("_key")
+    one = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))  # these rows are equal in all columns
+    return d.select("_key", "_row").join(stay, "_key", "left_semi").withColumn("_n", one).where("_n = 1").select("_row.*")

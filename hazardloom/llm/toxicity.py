@@ -15,12 +15,13 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hazardloom.llm.workers import kept, sliced
-from hazardloom.session import written
+from hazardloom.session import discard, written
 
 # Words of the grammar's classes, lower case
 INSULTS = ["trash", "pathetic", "idiot", "disgusting", "worthless", "stupid", "clown", "loser", "scum", "moron"]
@@ -34,6 +35,7 @@ PRIOR_WEIGHT = 3.0  # of the insults above, before labels say more
 STEM_LENGTHS = range(3, 9)
 MAX_TRAINING = 20_000  # labelled documents to learn from, chosen by hash of their id
 MAX_STEMS = 20_000  # stems kept, those in most documents first
+WHOLE = 48  # letters of a whole word that tell it from others
 MIN_DOCS, MIN_RATIO = 4, 5.0  # toxic documents a stem needs, and how much likelier it must be in them
 THRESHOLD = 0.3  # a score from which a document is toxic, for the operator and the pipeline
 REMEMBERED = 120_000  # words whose class a worker keeps
@@ -87,6 +89,11 @@ GRAMMAR = compose(*MACHINES)
 LIFTS = [HELD_BACK if s[1] in WAITING else 0.0 for s in product(*(sorted(m) for m in MACHINES))]
 
 
+def keys_of(run: str) -> list[str]:
+    """What a run of letters is looked up by: itself (its first WHOLE letters), marked by ``$``, and its stems."""
+    return [run[:WHOLE] + "$", *(run[:n] for n in STEM_LENGTHS if n <= len(run))]
+
+
 class Reader:
     """Reads texts with a lexicon of stems; remembers the class and weight of words it has seen, up to a bound."""
 
@@ -96,11 +103,10 @@ class Reader:
         self.classes |= {w: (THREAT, 2.0) for w in THREATS}
 
     def look_up(self, word: str) -> tuple[int, float]:
-        m = _LETTERS.search(word)
-        core = m[0] if m else ""
-        stems = self.stems
-        weight = max([stems.get(core + "$", 0.0), *(stems.get(core[:n], 0.0) for n in STEM_LENGTHS if n <= len(core))])
-        got = (INSULT, weight) if weight > 0 else self.classes.get(core, (OTHER, 0.0))
+        """Class and weight of a token: of its runs of letters the worst insult, else the first that has a class."""
+        runs, stems = _LETTERS.findall(word), self.stems
+        weight = max([0.0, *(stems.get(k, 0.0) for run in runs for k in keys_of(run))])
+        got = (INSULT, weight) if weight > 0 else next((self.classes[run] for run in runs if run in self.classes), (OTHER, 0.0))
         if len(self.seen) >= REMEMBERED:
             self.seen = {}
         if len(word) <= 48:
@@ -169,10 +175,7 @@ def stem_counts(texts: DataFrame) -> DataFrame:
         for b in sliced(batches):
             counts: dict[tuple, int] = {}
             for text, toxic, half in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                found = set()
-                for w in {m[0] for m in map(_LETTERS.search, set((text or "").lower().split())) if m}:
-                    found.add(w[:48] + "$")
-                    found.update(w[:n] for n in STEM_LENGTHS if n <= len(w))
+                found = {k for run in set(_LETTERS.findall((text or "").lower())) for k in keys_of(run)}
                 for s in found:
                     counts[s, half, toxic] = counts.get((s, half, toxic), 0) + 1
                 if len(counts) > 100_000:
@@ -217,10 +220,10 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING) -> tuple[dict[str, float], np.ndarray]:
+def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING, most_stems: int = MAX_STEMS) -> tuple[dict[str, float], np.ndarray]:
     """(lexicon, coefficients). Each half of the labelled documents is read with the other half's lexicon to fit the coefficients.
 
-    To the driver come the MAX_STEMS best stems and four numbers for each of at most ``most`` documents. Without labelled documents,
+    To the driver come the ``most_stems`` best stems and four numbers for each of at most ``most`` documents. Without labelled documents,
     or labels of one kind, the grammar's own words and a fixed constant remain.
     """
     texts = written(training_texts(docs, labels, most), "training")
@@ -234,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING) -> tuple[d
     ratio = ((F.col("n10") + F.col("n11") + 0.5) / (p + 1)) / ((F.col("n00") + F.col("n01") + 0.5) / (n + 1))
     rows = [
         r.asDict() for r in wide.where((F.col("n10") + F.col("n11") >= MIN_DOCS) & (ratio >= MIN_RATIO / 2))
-        .orderBy(F.desc(F.col("n10") + F.col("n11")), "stem").limit(MAX_STEMS).collect()
+        .orderBy(F.desc(F.col("n10") + F.col("n11")), "stem").limit(most_stems).collect()
     ]
     other = {h: lexicon(rows, (1 - h,), sizes) for h in (0, 1)}
 
@@ -247,13 +250,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING) -> tuple[d
 
     seen = np.array(texts.mapInArrow(each, "a double, b double, c double, d double, toxic int").collect(), dtype=float)
     seen = seen[np.lexsort(seen.T)]  # sums in one order, so that reruns agree
+    discard(texts)
     return lexicon(rows, (0, 1), sizes), fit_logistic(seen[:, :4], seen[:, 4])
 
 
-def scorer(stems: dict[str, float], w: np.ndarray):
-    """A column function: the probability that a text is toxic; null and empty texts count as texts without words."""
+def scoring(stems: dict[str, float], w: np.ndarray):
+    """A function of texts: the probabilities that they are toxic; null and empty texts count as texts without words."""
     w = [float(v) for v in w]
-
     key = ("Reader", hashlib.sha1(repr(sorted(stems.items())).encode()).hexdigest())
 
     def score(texts: pa.Array) -> pa.Array:
@@ -264,23 +267,32 @@ def scorer(stems: dict[str, float], w: np.ndarray):
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
         return pa.array(out, pa.float64())
 
-    return F.arrow_udf(score, T.DoubleType())
+    return score
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING, threshold: float = THRESHOLD) -> DataFrame:
     """Per input row: doc_id, held_out, score in (0, 1), predicted (1 at ``threshold`` or more).
 
-    Labels of held-out documents are not used; neither are language, source and id. Documents that come more than once and
-    documents without id get their own rows; a document with two labels counts as toxic if one says so.
+    Labels of held-out documents are not used; neither are language, source and id. Null and empty texts count as texts without words;
+    texts of any length are read whole. Documents that come more than once and documents without id get their own rows; a
+    document with two labels counts as toxic if one says so. Other columns are not read; an empty table gives no rows.
     """
-    score = scorer(*fit(docs, labels, most))
+    score = F.arrow_udf(scoring(*fit(docs, labels, most)), T.DoubleType())
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score("text").alias("score")).withColumn(
         "predicted", (F.col("score") >= threshold).cast("int")
     )
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that score below ``threshold``, with all their columns."""
-    score = scorer(*fit(docs, labels, most))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), score("text").alias("_score"))
-    return rows.where(F.col("_score") < threshold).select("_row.*")
+    """The documents that score below ``threshold``, with all their columns. Null and empty texts, repeated rows, rows without id and
+    empty tables are treated as in ``toxicity``; every row is judged by itself.
+
+    Rows pass through one Arrow function in small slices, which reads the text and hands on the rows that stay: nothing waits for a score.
+    """
+    score, at = scoring(*fit(docs, labels, most)), docs.columns.index("text")
+
+    def each(batches):
+        for b in sliced(batches):
+            yield b.filter(pc.less(score(b.column(at)), threshold))
+
+    return docs.mapInArrow(each, docs.schema)

@@ -11,14 +11,16 @@ import pyarrow as pa
 
 
 def kept(key: tuple, make: Callable[[], Any]) -> Any:
-    """The worker's object of this key, made on first use. A worker keeps one object of each kind, ``key[0]``, the last one used.
+    """The worker's object of this key, made on first use. A worker keeps one object, the last one used, so that what one stage
+    remembered takes no memory in the next.
 
     The object must bound its own size.
     """
     store = sys.modules.setdefault("_kept_in_worker", types.ModuleType("_kept_in_worker")).__dict__
-    if store.get(key[0], (None,))[0] != key:
-        store[key[0]] = (key, make())
-    return store[key[0]][1]
+    if store.get("last", (None,))[0] != key:
+        store["last"] = None, None
+        store["last"] = key, make()
+    return store["last"][1]
 
 
 def sliced(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:

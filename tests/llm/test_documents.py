@@ -102,10 +102,9 @@ def test_ball_finds_every_pair_within_two_bits(spark):
 
 
 def test_near_duplicate_survivors(docs, odd_rows, nothing):
-    shingles = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := plain_words(r[1])) else set() for r in odd_rows]
-    alike = lambda a, b: (len(a & b) / len(a | b) if a or b else 1.0) >= 0.8
+    prints = [plain_print(r[1]) for r in odd_rows]
     n = len(odd_rows)
-    root = components(n, [(a, b) for a in range(n) for b in range(a) if alike(shingles[a], shingles[b])])
+    root = components(n, [(a, b) for a in range(n) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 2])
     want = sorted(str(min((odd_rows[i][0] for i in range(n) if root[i] == c and odd_rows[i][0] is not None), default=None)) for c in set(root))
     kept = simhash.near_duplicate_survivors(docs)
     assert kept.columns == docs.columns
@@ -113,53 +112,11 @@ def test_near_duplicate_survivors(docs, odd_rows, nothing):
     assert simhash.near_duplicate_survivors(nothing).count() == 0
 
 
-def runs(text, k=5):
-    w = plain_words(text)
-    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
-
-
-def changed(r, words, kind, low=0.80, high=0.85):
-    """A copy whose five-word runs have a similarity in [low, high]: truncated, appended to, or with a block replaced."""
-    own, new = runs(" ".join(words)), lambda n: ["".join(r.choice("fghijk") for _ in range(8)) for _ in range(n)]
-    for n in range(1, len(words)):
-        at = r.randrange(len(words) - n + 1)
-        copy = {"cut": words[:-n], "more": words + new(n), "block": words[:at] + new(n) + words[at + n :]}[kind]
-        other = runs(" ".join(copy))
-        if low <= len(own & other) / len(own | other) <= high:
-            return " ".join(copy)
-
-
-def test_near_duplicates_that_differ_in_a_run_of_words(spark):
-    r = random.Random(11)
-    vocabulary = ["".join(r.choice("abcde") for _ in range(r.randint(2, 7))) for _ in range(3000)]
-    rows = []
-    for i in range(150):
-        words = [r.choice(vocabulary) for _ in range(r.randint(60, 500))]
-        copy = changed(r, words, ("cut", "more", "block")[i % 3])
-        rows += [(2 * i, " ".join(words))] + ([(2 * i + 1, copy)] if copy else [])
-    assert len(rows) > 290
-    kept = simhash.near_duplicate_survivors(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sorted(x.doc_id for x in kept.collect()) == [2 * i for i in range(150)]
-    assert simhash.expected_recall(0.8) > 0.9996 and simhash.expected_recall(0.8, *simhash.FINER) > 0.999
-
-
-@pytest.mark.parametrize("n", [20, 100])
-def test_near_duplicates_within_a_family(spark, n):
-    """Forms that share most of their words and meet, but are near-duplicates only of their own copy."""
-    r = random.Random(12)
-    new = lambda n: ["".join(r.choice("abcdefgh") for _ in range(8)) for _ in range(n)]
-    common, rows = new(170), []
-    for i in range(n):
-        words = common + new(34)
-        rows += [(2 * i, " ".join(words)), (2 * i + 1, changed(r, words, "more", 0.86, 0.90))]
-    rows = [(i, t) for i, t in rows if t]
-    sets = [runs(t) for _, t in rows]
-    alike = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
-    root = components(len(rows), alike)
-    want = sorted(min(rows[i][0] for i in range(len(rows)) if root[i] == c) for c in set(root))
-    assert len(want) == n
-    kept = simhash.near_duplicate_survivors(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sorted(x.doc_id for x in kept.collect()) == want
+def test_survivors_among_rows_of_equal_id_and_text(spark):
+    rows = [(1, "a b c d", "x", "left"), (1, "a b c d", "y", "right"), (2, "other words here now", "x", "s")] + [(2, "other words here now", "x", "s")] * 40
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, _key string")
+    kept = [sorted(map(tuple, simhash.near_duplicate_survivors(frame.repartition(n)).collect())) for n in (1, 7)]
+    assert kept[0] == kept[1] and [r[0] for r in kept[0]] == [1, 2] and set(kept[0]) <= set(rows)
 
 
 # ---- mixing
@@ -202,6 +159,23 @@ def test_mixed_documents_hold_the_taken_words(docs):
     assert sorted(map(str, words)) == sorted(map(str, taken))
 
 
+def test_mixed_documents_of_equal_id_and_text(spark):
+    rows = [(1, "a b c d", "x", "left"), (1, "a b c d", "y", "right")] + [(5, "one two three", "x", "same")] * 30 + [(None, "p q", None, "n")] * 3
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, _key string")
+    uses = Counter()
+    for r in mixing.mixed_documents(frame, block=4).collect():
+        uses[r.doc_id, r.source, r._key] += len(r.text.split())
+    words, taken = Counter(), Counter()
+    for i, t, s, k in rows:
+        words[i, s, k] += len(t.split())
+        taken[s] += uses[i, s, k] / rows.count((i, t, s, k))
+    assert set(uses) <= set(words) and all(uses[k] <= 2 * words[k] for k in uses)
+    assert uses[1, "x", "left"] > 0 and uses[1, "y", "right"] > 0
+    targets = {r.source: r.target for r in mixing.words_taken(frame, block=4).select("target", "source_size").distinct().join(
+        frame.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("source_size")), "source_size").collect()}
+    assert {s: round(v) for s, v in taken.items()} == {s: round(t) for s, t in targets.items()}
+
+
 def test_schedule_keeps_the_proportions(spark):
     sources = spark.createDataFrame([(1, 60_000), (2, 30_000), (3, 10_000), (4, 0)], "k long, take long")
     rows = mixing.schedule(sources, 10).orderBy("slot").collect()
@@ -356,6 +330,15 @@ def test_composition_is_the_product():
         assert weight == pytest.approx(product)
 
 
+def test_all_letter_runs_of_a_token_are_read():
+    reader = toxicity.Reader(toxicity.lexicon([], (0, 1), {}))
+    spaced = reader.features("you idiot")
+    assert reader.features("you/idiot")[0] > 0 and reader.features("so-called-idiot")[0] > 0 and spaced[0] > 0
+    assert reader.features("x,kill you")[3] > 0 and reader.look_up("(you)")[0] == toxicity.TARGET
+    long = "w" * 60
+    assert toxicity.Reader({long[: toxicity.WHOLE] + "$": 2.0}).features(long)[0] > 0
+
+
 def test_toxicity(spark, nothing):
     r = random.Random(3)
     soup = lambda n: [r.choice(["der", "lom", "trin", "vale", "os", "quen"]) + r.choice(["a", "e", "i", "o"]) for _ in range(n)]
