@@ -15,8 +15,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word runs, similarity 0.8 or more)."""
-    return simhash.near_duplicate_survivors(docs, shingle=5, similarity=0.8)
+    """One document of each group whose fingerprints of three-word shingles are linked at two or fewer differing bits."""
+    return simhash.near_duplicate_survivors(docs, shingle=3, radius=2)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
