@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardloom.columns import PANEL, TIMES, PanelColumns
-from hazardloom.functions import expected_time
+from hazardloom.functions.curves import as_matrix
 from hazardloom.functions.dominance import bucket_counts
 from hazardloom.operators.hazard import HazardModel, predict
-from hazardloom.session import written
+from hazardloom.operators.ranks import dense_ranks, sums_above
+from hazardloom.session import discard, written
 
 VALUES_PER_BUCKET = 50_000
 _EXACT = "decimal(38,0)"
@@ -32,7 +35,7 @@ def concordance(
     cut into ranges of the prediction. Pairs inside a range are counted on its arrays, about
     ``values_per_bucket`` points at a time. Pairs across ranges are compared bit by bit over the range numbers: at the
     highest bit where they differ, the side with the bit set has all the larger predictions, so running sums over the
-    outcome codes decide. Those windows hold one row per distinct outcome.
+    outcome codes decide. Ranks of durations and those sums are taken on two levels (``ranks``), so no task sees all outcomes.
     """
     points = written(
         df.select(
@@ -44,54 +47,88 @@ def concordance(
     n_points, bad = points.agg(F.count(F.lit(1)), F.count_if(F.isnan("p") | F.isnan("d"))).first()
     if bad:
         raise ValueError("durations and predictions must not be NaN")
-    # even codes are events; equal durations share all but the last bit
-    order = F.dense_rank().over(Window.orderBy("d")).cast("bigint") * 2
-    codes = points.select("d").distinct().withColumn("r", order)
+    codes, n_durations = dense_ranks(points, "d", "r")
     buckets = max(1, -(-n_points // values_per_bucket))
-    points = points.join(codes, "d").select((F.col("r") + F.col("e")).alias("c"), "p", "n")
+    # even codes are events; equal durations share all but the last bit
+    coded = points.join(codes, "d").select((F.col("r") * 2 + F.col("e")).alias("c"), "p", "n")
     if buckets > 1:
-        points = written(points.repartitionByRange(buckets, "p").withColumn("b", F.spark_partition_id()), "buckets")
+        coded = coded.repartitionByRange(buckets, "p").withColumn("b", F.spark_partition_id())
     else:
-        points = points.withColumn("b", F.lit(0))
+        coded = coded.withColumn("b", F.lit(0))
+    coded = written(coded, "buckets")
 
-    inside = points.groupBy("b").applyInArrow(bucket_counts, f"concordant {_EXACT}, tied {_EXACT}").withColumn("pairs", F.lit(0).cast(_EXACT))
+    inside = coded.groupBy("b").applyInArrow(bucket_counts, f"concordant {_EXACT}, tied {_EXACT}").withColumn("pairs", F.lit(0).cast(_EXACT))
 
     # counts per bucket and outcome code; only events are left members
     counts = [F.sum(F.when(F.col("c") % 2 == 0, F.col("n")).otherwise(0)).alias("ni"), F.sum("n").alias("nj")]
-    cells = points.groupBy("b", "c").agg(*counts)
+    cells = written(coded.groupBy("b", "c").agg(*counts), "cells")
     right = F.expr("shiftright(b, k) & 1 = 1")
     sides = (
         cells.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(max(buckets.bit_length() - 1, 0)))))
         .groupBy("k", F.expr("shiftright(b, k + 1)").alias("pre"), "c")
         .agg(F.sum(F.when(~right, F.col("ni")).otherwise(0)).alias("ni"), F.sum(F.when(right, F.col("nj")).otherwise(0)).alias("nj"))
     )
-    larger = F.col("c").desc()
-    after = F.coalesce(F.sum("nj").over(Window.partitionBy("k", "pre").orderBy(larger).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    across = sides.withColumn("_after", after).agg(_product("ni", "_after").alias("concordant"))
-
-    whole = points.groupBy("c").agg(*counts)  # one row per outcome code
-    later = F.coalesce(F.sum("nj").over(Window.orderBy(larger).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    pairs = whole.withColumn("_later", later).agg(_product("ni", "_later").alias("pairs"))
+    across = sums_above(sides, ["k", "pre"], "c", "nj", 2 * n_durations, "_after").agg(_product("ni", "_after").alias("concordant"))
+    whole = cells.groupBy("c").agg(F.sum("ni").alias("ni"), F.sum("nj").alias("nj"))  # one row per outcome code
+    pairs = sums_above(whole, [], "c", "nj", 2 * n_durations, "_later").agg(_product("ni", "_later").alias("pairs"))
 
     parts = inside.unionByName(across, allowMissingColumns=True).unionByName(pairs, allowMissingColumns=True)
     total = parts.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast(_EXACT).alias(c) for c in ("pairs", "concordant", "tied")])
     ci = (F.col("concordant").cast("double") + F.col("tied").cast("double") / 2) / F.nullif(F.col("pairs").cast("double"), F.lit(0.0))
-    return total.withColumn("ci", ci)
+    result = written(total.withColumn("ci", ci), "concordance")
+    for table in (points, codes, coded, cells):
+        discard(table)
+    return result
 
 
-def brier_curve(predictions: DataFrame, times=TIMES, cols: PanelColumns = PANEL) -> DataFrame:
-    """(t, brier, n_known): mean squared error of S(t) over the rows whose status at t is known.
+_FACTS = "duration double, event boolean, predicted double, errors array<double>, known array<bigint>"
+
 
-    Rows still running after t have target 1, failed rows 0; rows censored by t are left out. The grid is unrolled inside
-    the map stage and reduced there to one row per grid point and task.
+def scored_facts(predictions: DataFrame, times=TIMES, cols: PanelColumns = PANEL) -> DataFrame:
+    """What both scores need, in one pass over the curves: per row its duration, event and expected time, and per task one more row
+    with the sums of squared errors and the numbers of rows with known status at every grid point (``errors``, ``known``).
+
+    The sums of tasks add up, so a curve is read once and never unrolled into rows. S(t) is compared with 1 for rows still running after
+    t and with 0 for failed rows; rows censored by t are left out. Rows without a curve are left out altogether.
     """
-    points = predictions.select("duration", cols.label, F.posexplode("surv").alias("_i", "_s")).withColumn(
-        "t", F.element_at(F.array(*[F.lit(int(t)) for t in times]), F.col("_i") + 1)
+    grid = np.asarray(times, dtype=float)
+
+    def each(batches):
+        errors, known = np.zeros(len(grid)), np.zeros(len(grid), dtype=np.int64)
+        for b in batches:
+            b = b.filter(b.column(2).is_valid())
+            if not b.num_rows:
+                continue
+            surv = as_matrix(b.column(2), len(grid))
+            alive = b.column(0).fill_null(float("nan")).to_numpy(zero_copy_only=False)[:, None] > grid
+            seen = alive | b.column(1).fill_null(False).to_numpy(zero_copy_only=False)[:, None]
+            errors += np.where(seen, (alive - surv) ** 2, 0.0).sum(axis=0)
+            known += seen.sum(axis=0)
+            area = pa.array(np.trapezoid(surv, x=grid, axis=1))
+            none = [pa.nulls(b.num_rows, pa.list_(t)) for t in (pa.float64(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), area, *none], names=names)
+        sums = [pa.array([v.tolist()], pa.list_(t)) for v, t in ((errors, pa.float64()), (known, pa.int64()))]
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.float64()), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.float64()), *sums], names=names)
+
+    names = ["duration", "event", "predicted", "errors", "known"]
+    rows = predictions.select(F.col("duration").cast("double"), F.col(cols.label).cast("boolean"), F.col("surv").cast("array<double>"))
+    return rows.mapInArrow(each, _FACTS)
+
+
+def brier_of(facts: DataFrame, times=TIMES) -> DataFrame:
+    """(t, brier, n_known) from the tasks' sums in ``scored_facts``; grid points at which no row is known are left out."""
+    at = range(len(times))
+    sums = facts.where(F.col("errors").isNotNull()).agg(
+        F.array(*[F.sum(F.get("errors", F.lit(i))) for i in at]).alias("errors"), F.array(*[F.sum(F.get("known", F.lit(i))) for i in at]).alias("known")
     )
-    alive = F.col("duration") > F.col("t")
-    known = points.where(alive | F.col(cols.label).cast("boolean"))
-    error = F.when(alive, 1.0).otherwise(0.0) - F.col("_s")
-    return known.groupBy("t").agg(F.avg(error * error).alias("brier"), F.count(F.lit(1)).alias("n_known"))
+    grid = F.array(*[F.lit(int(t)).alias("t") for t in times]).alias("t")
+    points = sums.select(F.inline(F.arrays_zip(grid, "errors", "known")))  # one row becomes the grid
+    return points.where("known > 0").select("t", (F.col("errors") / F.col("known")).alias("brier"), F.col("known").alias("n_known"))
+
+
+def brier_curve(predictions: DataFrame, times=TIMES, cols: PanelColumns = PANEL) -> DataFrame:
+    """(t, brier, n_known): mean squared error of S(t) over the rows whose status at t is known."""
+    return brier_of(scored_facts(predictions, times, cols), times)
 
 
 def integrated_brier(curve: DataFrame) -> DataFrame:
@@ -103,12 +140,17 @@ def integrated_brier(curve: DataFrame) -> DataFrame:
     )
 
 
-def score_predictions(predictions: DataFrame, times=TIMES, cols: PanelColumns = PANEL) -> DataFrame:
-    """One row (ci, ibs)."""
-    timed = predictions.select("duration", cols.label, expected_time(F.col("surv"), times).alias("predicted"))
-    ci = concordance(timed, event=cols.label).select("ci")
-    ibs = integrated_brier(brier_curve(predictions, times, cols)).select(F.col("ibs_known").alias("ibs"))
-    return ci.unionByName(ibs, allowMissingColumns=True).agg(F.max("ci").alias("ci"), F.max("ibs").alias("ibs"))
+def score_predictions(predictions: DataFrame, times=TIMES, cols: PanelColumns = PANEL, digits: int | None = None) -> DataFrame:
+    """One row (ci, ibs). Both come from one pass over the curves; ``digits`` rounds expected times before they are ranked."""
+    facts = written(scored_facts(predictions, times, cols), "facts")
+    predicted = F.col("predicted") if digits is None else F.round("predicted", digits)
+    ci = concordance(facts.where("errors IS NULL").withColumn("predicted", predicted), event="event")
+    ibs = integrated_brier(brier_of(facts, times)).select(F.col("ibs_known").alias("ibs"))
+    both = ci.select("ci").unionByName(ibs, allowMissingColumns=True).agg(F.max("ci").alias("ci"), F.max("ibs").alias("ibs"))
+    result = written(both, "scores")
+    discard(facts)
+    discard(ci)
+    return result
 
 
 def score(model: HazardModel, df: DataFrame, times=TIMES, cols: PanelColumns = PANEL) -> DataFrame:

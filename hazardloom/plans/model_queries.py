@@ -146,6 +146,12 @@ def _concordance_buckets(spark, sf):
     return tidy(C.concordance(rows, values_per_bucket=500))
 
 
+def _concordance_fractional(spark, sf):
+    """Durations that are nearly all different, so that there are about as many outcomes as rows."""
+    rows = truth(timed(spark, sf)).withColumn("predicted", F.round("smart_9_raw", 0))
+    return tidy(C.concordance(rows.withColumn("duration", F.col("duration") + F.coalesce("smart_1_raw", F.lit(0.5)) / 1000.0), values_per_bucket=500))
+
+
 def _brier(spark, sf):
     return C.brier_curve(truth(with_curve(timed(spark, sf))))
 
@@ -166,11 +172,7 @@ m{v} AS (
 
 def _scores(rows: DataFrame, version: str) -> DataFrame:
     """(ci, ibs) of a version; expected times are rounded to 9 digits so that equal devices tie on every engine."""
-    curves = with_curve(rows, version)
-    timed_ = curves.select("duration", "failure", F.round(expected_time(F.col("surv"), TIMES), 9).alias("predicted"))
-    ci = C.concordance(timed_).select("ci")
-    ibs = C.integrated_brier(C.brier_curve(curves)).select(F.col("ibs_known").alias("ibs"))
-    return ci.unionByName(ibs, allowMissingColumns=True).agg(F.max("ci").alias("ci"), F.max("ibs").alias("ibs"))
+    return C.score_predictions(with_curve(rows, version), digits=9)
 
 
 def _score_model(spark, sf):
@@ -315,6 +317,13 @@ QUERIES = {
         sql(f"SELECT pairs, concordant, tied, {r('(concordant + tied / 2.0) / pairs')} AS ci FROM pr",
             DAILY_CTE, TIMED_CTE, TRUTH_CTE, pairs_ctes("obs", "pr", "round(smart_9_raw, 0)")),
     ),
+    "concordance_fractional": (
+        _concordance_fractional,
+        sql(f"SELECT pairs, concordant, tied, {r('(concordant + tied / 2.0) / pairs')} AS ci FROM pr",
+            DAILY_CTE, TIMED_CTE, TRUTH_CTE,
+            "parts AS (SELECT * REPLACE (duration + coalesce(smart_1_raw, 0.5) / 1000.0 AS duration) FROM obs)",
+            pairs_ctes("parts", "pr", "round(smart_9_raw, 0)")),
+    ),
     "brier_curve": (
         lambda spark, sf: tidy(_brier(spark, sf)),
         sql(f"SELECT t, {r('brier')} AS brier, n_known FROM brier", DAILY_CTE, TIMED_CTE, TRUTH_CTE, curve_ctes("obs"), _BRIER_CTE),

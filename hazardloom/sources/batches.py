@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazardloom.columns import PANEL, ROWS_PER_BATCH, PanelColumns
-from hazardloom.session import written
-
-_OFFSET_BITS = 33
+from hazardloom.operators.ranks import positions
 
 
 def batch_order(df: DataFrame, cols: PanelColumns = PANEL) -> list[str]:
@@ -16,30 +14,9 @@ def batch_order(df: DataFrame, cols: PanelColumns = PANEL) -> list[str]:
     return first if cols.row_key in first else first + [c for c in df.columns if c not in first]
 
 
-def number_rows(df: DataFrame, order: list[str], output: str = "_index") -> DataFrame:
-    """Exact 0-based position of every row in the given order.
-
-    The rows are range-partitioned by the whole order, so a day with very many rows spreads over partitions, sorted and
-    written once with their place inside the partition. The offset of each partition comes from a table with one row
-    per partition.
-    """
-    spot = F.monotonically_increasing_id()
-    placed = written(
-        df.orderBy(*order).withColumn("_part", F.shiftright(spot, _OFFSET_BITS))
-        .withColumn("_spot", spot.bitwiseAND((1 << _OFFSET_BITS) - 1)),
-        "ordered",
-    )
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
-        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
-    )
-    joined = placed.join(F.broadcast(offsets), "_part")
-    return joined.select(*df.columns, (F.col("_before") + F.col("_spot")).alias(output))
-
-
 def rebatch(df: DataFrame, rows_per_batch: int = ROWS_PER_BATCH, cols: PanelColumns = PANEL) -> DataFrame:
     """Add ``batchnum``: consecutive groups of ``rows_per_batch`` rows in date order."""
-    numbered = number_rows(df, batch_order(df, cols))
+    numbered = positions(df, batch_order(df, cols))
     return numbered.select(*df.columns, F.floor(F.col("_index") / F.lit(rows_per_batch)).cast("bigint").alias("batchnum"))
 
 
