@@ -40,6 +40,7 @@ TRAIN_SAMPLES = 10
 NAN_FRACTION = 0.5
 TIMES = tuple(range(1, 160))
 HIDDEN_UNITS = 64
+EPOCHS = 10
 STATIC_STATS = [
     "data_size",
     "min_date",
@@ -63,12 +64,19 @@ DYNAMIC_STATS = [
     "mean_observ_per_day",
 ]
 
-# Sensor numbers whose normalized reading is never a feature.
-UNUSED_SENSORS = [
-    1, 2, 3, 4, 5, 7, 8, 9, 10, 11, 12, 13, 15, 183, 184, 187, 188, 189, 190, 191, 192, 193, 194, 195, 196, 197, 198,
-    199, 200, 201, 223, 225, 240, 241, 242, 250, 251, 252, 254, 255,
+# Columns that are never features.
+UNUSED_FEATURES = [
+    "smart_1_normalized", "smart_2_normalized", "smart_3_normalized", "smart_4_normalized", "smart_5_normalized",
+    "smart_7_normalized", "smart_8_normalized", "smart_9_normalized", "smart_10_normalized", "smart_11_normalized",
+    "smart_12_normalized", "smart_13_normalized", "smart_15_normalized", "smart_183_normalized",
+    "smart_184_normalized", "smart_187_normalized", "smart_188_normalized", "smart_189_normalized",
+    "smart_190_normalized", "smart_191_normalized", "smart_192_normalized", "smart_193_normalized",
+    "smart_194_normalized", "smart_195_normalized", "smart_196_normalized", "smart_197_normalized",
+    "smart_198_normalized", "smart_199_normalized", "smart_200_normalized", "smart_201_normalized",
+    "smart_223_normalized", "smart_225_normalized", "smart_240_normalized", "smart_241_normalized",
+    "smart_242_normalized", "smart_250_normalized", "smart_251_normalized", "smart_252_normalized",
+    "smart_254_normalized", "smart_255_normalized",
 ]
-UNUSED_FEATURES = [f"smart_{n}_normalized" for n in UNUSED_SENSORS]
 
 _TYPED = {
     "date": T.DateType(),

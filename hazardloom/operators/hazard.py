@@ -25,11 +25,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hazardloom.columns import HIDDEN_UNITS, PANEL, TIMES, PanelColumns
+from hazardloom.columns import EPOCHS, HIDDEN_UNITS, PANEL, TIMES, PanelColumns
 from hazardloom.functions import linear_hazards, survival_curve
 from hazardloom.functions.curves import as_arrays, as_matrix
+from hazardloom.operators.trainer import Batches, Network, train
 
 TIME_INPUT = "time_to_event"
+BATCHES = 4  # parts of the rows, with a step after each
 _ARRAY = T.ArrayType(T.DoubleType())
 
 
@@ -66,7 +68,9 @@ def assemble(df: DataFrame, inputs: list[str], output: str = "features") -> Data
 class HazardModel:
     """A fitted classifier of (features, time) and what is needed to apply it.
 
-    ``time_unit`` divides the time input, so that a network sees it on the scale of its other inputs.
+    ``time_unit`` divides the time input, so that a network sees it on the scale of its other inputs. ``fitted`` is a ``Network`` of
+    the trainer, which also holds its optimiser's state, or a pyspark.ml model. ``version`` is its number once
+    it is stored, ``parent`` that of the model it continues.
     """
 
     features: list[str]
@@ -74,10 +78,14 @@ class HazardModel:
     time_unit: float = 1.0
     loss: list[float] = field(default_factory=list)
     fit_seconds: float = 0.0
+    parent: str | None = None
+    version: str | None = None
 
     @property
     def layers(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """(weights, bias) of a network's layers, weights as inputs x outputs."""
+        if isinstance(self.fitted, Network):
+            return self.fitted.layers()
         sizes, flat, at, out = self.fitted.getLayers(), self.fitted.weights.toArray(), 0, []
         for n_in, n_out in zip(sizes, sizes[1:]):
             w = flat[at:at + n_in * n_out].reshape(n_in, n_out)
@@ -91,6 +99,8 @@ class HazardModel:
         """Coefficients and intercept, where the model is linear in its inputs."""
         if isinstance(self.fitted, LogisticRegressionModel):
             return self.fitted.coefficients.toArray(), float(self.fitted.intercept)
+        if isinstance(self.fitted, Network) and len(self.fitted.sizes) == 2:
+            return self.fitted.theta[:-1], float(self.fitted.theta[-1])
         if isinstance(self.fitted, MultilayerPerceptronClassificationModel) and len(self.fitted.getLayers()) == 2:
             (w, b), = self.layers
             return w[:, 1] - w[:, 0], float(b[1] - b[0])
@@ -99,15 +109,18 @@ class HazardModel:
     def save(self, path: str) -> None:
         spark = SparkSession.active()
         facts = {"features": self.features, "time_unit": self.time_unit, "loss": self.loss, "fit_seconds": self.fit_seconds,
-                 "kind": type(self.fitted).__name__}
-        self.fitted.write().overwrite().save(os.path.join(path, "model"))
+                 "kind": type(self.fitted).__name__, "parent": self.parent}
+        if isinstance(self.fitted, Network):
+            facts["network"] = self.fitted.facts()  # text holds doubles exactly
+        else:
+            self.fitted.write().overwrite().save(os.path.join(path, "model"))
         spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode("overwrite").text(os.path.join(path, "facts"))
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "HazardModel":
         f = json.loads(spark.read.text(os.path.join(path, "facts")).first()[0])
-        fitted = DefaultParamsReader.loadParamsInstance(os.path.join(path, "model"), spark)
-        return HazardModel(f["features"], fitted, f["time_unit"], f["loss"], f["fit_seconds"])
+        fitted = Network(**f["network"]) if "network" in f else DefaultParamsReader.loadParamsInstance(os.path.join(path, "model"), spark)
+        return HazardModel(f["features"], fitted, f["time_unit"], f["loss"], f["fit_seconds"], f.get("parent"))
 
 
 def logistic_regression(**params) -> LogisticRegression:
@@ -124,26 +137,46 @@ def neural_network(n_inputs: int, hidden_dim: int = HIDDEN_UNITS, **params) -> M
 
 def fit(df: DataFrame, model: str | Estimator = "logistic_regression", features: list[str] | None = None,
         time_unit: float | None = None, cols: PanelColumns = PANEL, epochs: int | None = None, lr: float | None = None,
-        **params) -> HazardModel:
+        solver: str | None = None, **params) -> HazardModel:
     """Fit on prepared rows. ``model`` is 'logistic_regression', 'NN' or any estimator that emits ``probability``.
 
-    ``epochs`` bounds the passes over the rows (for the two named models, instead of ``maxIter``). ``lr`` is the step size of a network
-    fitted with ``solver="gd"``; the other fits choose their steps themselves.
+    ``solver`` is 'adam' or 'sgd', which take steps of ``lr`` after each of ``batches`` parts of the rows, for ``epochs`` passes (see
+    ``trainer``); for a logistic regression also 'newton'; or 'l-bfgs', of pyspark.ml, with ``epochs`` iterations at most. A network is
+    fitted by 'adam', a logistic regression by 'l-bfgs', unless ``lr`` is given, which means 'adam', or ``maxIter``, which means
+    'l-bfgs'. Networks have two hidden layers of ``hidden_dim`` units: ReLU units and one sigmoid output, with 'l-bfgs' sigmoid
+    units. ``regParam`` is the L2 penalty (1e-4 for a logistic regression, 0 for a network).
     """
-    if epochs is not None:
-        params["maxIter"] = epochs
-    if lr is not None and model == "NN":
-        params["stepSize"] = lr
     features = features or feature_columns(df, cols)
     if isinstance(model, Estimator):
-        estimator, unit = model, time_unit or 1.0
-    elif model == "logistic_regression":
-        estimator, unit = logistic_regression(**params), time_unit or 1.0
-    elif model == "NN":
-        estimator, unit = neural_network(len(features) + 1, **params), time_unit or float(max(TIMES))
-    else:
+        return _run(model, training_rows(df, cols), features, time_unit or 1.0, cols)
+    if model not in ("logistic_regression", "NN"):
         raise ValueError("only 'logistic_regression' and 'NN' are named; pass an estimator for others")
-    return _run(estimator, training_rows(df, cols), features, unit, cols)
+    linear = model == "logistic_regression"
+    if solver is None:
+        solver = "l-bfgs" if "maxIter" in params else "adam" if lr is not None or not linear else "l-bfgs"
+    if solver == "l-bfgs":
+        if epochs is not None:
+            params["maxIter"] = epochs
+        estimator = logistic_regression(**params) if linear else neural_network(len(features) + 1, **params)
+        return _run(estimator, training_rows(df, cols), features, time_unit or (1.0 if linear else float(max(TIMES))), cols)
+    net = Network.new(
+        len(features) + 1, None if linear else params.pop("hidden_dim", HIDDEN_UNITS), params.pop("seed", 42), solver=solver,
+        lr=1e-3 if lr is None else lr, l2=params.pop("regParam", 1e-4 if linear else 0.0), batches=params.pop("batches", BATCHES),
+    )
+    if params:
+        raise TypeError(f"unknown parameters: {sorted(params)}")
+    return _train(net, df, features, time_unit or float(max(TIMES)), epochs or EPOCHS, cols)
+
+
+def _train(net: Network, df: DataFrame, features: list[str], unit: float, epochs: int, cols: PanelColumns) -> HazardModel:
+    inputs = [*[F.col(f"`{c}`") for c in features], F.col(TIME_INPUT) / F.lit(unit)]
+    batches = Batches(training_rows(df, cols), inputs, F.col(cols.label), [cols.id, cols.time], net.batches)
+    started = time.monotonic()
+    try:
+        loss = train(batches, net, epochs)
+    finally:
+        batches.discard()
+    return HazardModel(features, net, unit, loss, time.monotonic() - started)
 
 
 def _run(estimator: Estimator, rows: DataFrame, features: list[str], unit: float, cols: PanelColumns) -> HazardModel:
@@ -164,22 +197,37 @@ def _run(estimator: Estimator, rows: DataFrame, features: list[str], unit: float
     return HazardModel(features, fitted, unit, history, time.monotonic() - started)
 
 
-def fine_tune(model: HazardModel, df: DataFrame, max_iter: int = 100, cols: PanelColumns = PANEL, **params) -> HazardModel:
-    """Continue from the model's weights on new rows.
+def fine_tune(model: HazardModel, df: DataFrame, epochs: int | None = None, lr: float | None = None, max_iter: int = 100,
+              cols: PanelColumns = PANEL, **params) -> HazardModel:
+    """Continue from the model's weights on new rows, with the same penalty.
 
-    A logistic regression continues as a softmax layer without hidden units, which is the same model.
+    A trained network goes on with its solver's state for ``epochs`` passes (EPOCHS by default), at another ``lr`` if one is given. A
+    logistic regression of pyspark.ml goes on by Newton steps, a network of it by L-BFGS; both take at most ``epochs`` or
+    ``max_iter`` passes. The given model is left as it is.
     """
+    tuned = _continued(model, df, epochs, lr, max_iter, cols, **params)
+    tuned.parent = model.version
+    return tuned
+
+
+def _continued(model: HazardModel, df: DataFrame, epochs: int | None, lr: float | None, max_iter: int, cols: PanelColumns, **params) -> HazardModel:
     linear = model.linear
+    if isinstance(model.fitted, Network):
+        net = Network(**model.fitted.facts())
+        net.epoch_seconds, net.lr = [], net.lr if lr is None else lr
+        if params:
+            raise TypeError(f"unknown parameters: {sorted(params)}")
+        return _train(net, df, model.features, model.time_unit, epochs or EPOCHS, cols)
     if linear is not None:
         coef, intercept = linear
-        sizes = [len(coef), 2]
-        start = np.concatenate([np.column_stack([np.zeros_like(coef), coef]).ravel(), [0.0, intercept]])
-    elif isinstance(model.fitted, MultilayerPerceptronClassificationModel):
-        sizes, start = model.fitted.getLayers(), model.fitted.weights.toArray()
-    else:
+        penalty = params.pop("regParam", model.fitted.getOrDefault("regParam") if model.fitted.hasParam("regParam") else 0.0)
+        net = Network([len(coef), 1], np.append(coef, intercept), solver="newton", l2=penalty, batches=1, **params)
+        return _train(net, df, model.features, model.time_unit, epochs or max_iter, cols)
+    if not isinstance(model.fitted, MultilayerPerceptronClassificationModel):
         raise ValueError("only logistic regressions and networks can be continued")
     estimator = MultilayerPerceptronClassifier(
-        **{"layers": sizes, "maxIter": max_iter, "blockSize": 256, "initialWeights": Vectors.dense(start), **params}
+        **{"layers": model.fitted.getLayers(), "maxIter": epochs or max_iter, "blockSize": 256,
+           "initialWeights": Vectors.dense(model.fitted.weights.toArray()), **params}
     )
     return _run(estimator, training_rows(df, cols), model.features, model.time_unit, cols)
 
@@ -189,8 +237,11 @@ def linear_score(weights: dict[str, float], intercept: float) -> Column:
     return reduce(lambda a, b: a + b, [F.lit(float(w)) * F.col(c) for c, w in weights.items()], F.lit(float(intercept)))
 
 
-def network_hazards(inputs: Column, layers, time_unit: float, times) -> Column:
-    """Hazards of a network on the time grid, one matrix product per layer and batch."""
+def network_hazards(inputs: Column, layers, time_unit: float, times, relu: bool = False) -> Column:
+    """Hazards of a network on the time grid, one matrix product per layer and batch.
+
+    Hidden units are sigmoid units, or ``relu``; the output is a softmax over two units or one sigmoid unit.
+    """
     grid = np.asarray(times, dtype=float) / time_unit
     width = layers[0][0].shape[0] - 1
 
@@ -199,9 +250,10 @@ def network_hazards(inputs: Column, layers, time_unit: float, times) -> Column:
         x = as_matrix(inputs, width)
         w, b = layers[0]
         z = (x @ w[:-1] + b)[:, None, :] + grid[None, :, None] * w[-1]
-        for w, b in layers[1:]:
-            z = (1.0 / (1.0 + np.exp(-z))) @ w + b
-        return as_arrays(1.0 / (1.0 + np.exp(z[..., 0] - z[..., 1])))
+        with np.errstate(over="ignore"):
+            for w, b in layers[1:]:
+                z = (np.maximum(z, 0) if relu else 1.0 / (1.0 + np.exp(-z))) @ w + b
+            return as_arrays(1.0 / (1.0 + np.exp(z[..., 0] - z[..., 1] if z.shape[-1] == 2 else -z[..., 0])))
 
     return hazards(inputs)
 
@@ -217,9 +269,9 @@ def predict_hazard(model: HazardModel, df: DataFrame, times=TIMES, output: str =
         coef, intercept = linear
         score = linear_score(dict(zip(model.features, coef)), intercept)
         return df.withColumn(output, linear_hazards(score, coef[-1] / model.time_unit, times))
-    if isinstance(model.fitted, MultilayerPerceptronClassificationModel):
+    if isinstance(model.fitted, (Network, MultilayerPerceptronClassificationModel)):
         inputs = F.array(*[F.col(c).cast("double") for c in model.features])
-        return df.withColumn(output, network_hazards(inputs, model.layers, model.time_unit, times))
+        return df.withColumn(output, network_hazards(inputs, model.layers, model.time_unit, times, isinstance(model.fitted, Network)))
     return _predict_by_rows(model, df, times, output)
 
 

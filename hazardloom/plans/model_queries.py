@@ -15,7 +15,7 @@ from hazardloom.operators import steps as S
 from hazardloom.operators.prep import PanelPrep
 from hazardloom.plans.base import big, r, sql, tidy
 from hazardloom.plans.panel import read_panel
-from hazardloom.plans.prep_queries import DAILY_CTE, PREP_CTES, train_test
+from hazardloom.plans.prep_queries import DAILY_CTE, FEATURES, PREP_CTES, train_test
 from hazardloom.session import discard, scratch_path, written
 from hazardloom.sources import registry as R
 
@@ -206,40 +206,46 @@ def _prepared(spark, sf):
     return written(ready, "train"), written(fitted.transform(test), "test")
 
 
-def _facts(train: DataFrame, test: DataFrame, model: H.HazardModel) -> DataFrame:
-    """What holds of a fit: rows learned from and scored, a falling loss, scores in their ranges."""
-    s = C.score(model, test).first()
-    flags = {"loss_falls": model.loss[-1] < model.loss[0], "ci_valid": 0 <= s["ci"] <= 1, "ibs_valid": 0 <= s["ibs"] <= 1}
+# Fits that SQL can follow: full gradient steps on the penalised log loss, time in units of the grid's end
+STEPS = {"solver": "sgd", "lr": 0.05, "batches": 1, "regParam": 1e-4, "time_unit": float(_N)}
+
+
+def _metrics(spark, train: DataFrame, test: DataFrame, model: H.HazardModel, losses: list[float]) -> DataFrame:
+    """One row: rows learned from and scored, ci, ibs and the loss of every pass."""
+    s = C.score_predictions(H.predict(model, test), digits=9).first()
+    facts = {"ci": s["ci"], "ibs": s["ibs"], **{f"loss_{i}": v for i, v in enumerate(losses)}}
     counts = [F.count_if(F.col("part") == p).alias(f"n_{p}") for p in ("train", "test")]
     rows = H.training_rows(train).select(F.lit("train").alias("part")).union(H.scoring_rows(test).select(F.lit("test")))
-    return tidy(rows.agg(*counts).select("n_train", "n_test", *[F.lit(bool(v)).alias(k) for k, v in flags.items()]))
+    return tidy(rows.agg(*counts).select("*", *[F.lit(v).cast("double").alias(k) for k, v in facts.items()]))
 
 
-def _fit(name: str, **params):
-    def run(spark, sf):
-        train, test = _prepared(spark, sf)
-        return _facts(train, test, H.fit(train, name, **params))
-    return run
+def _fit_lr(spark, sf):
+    train, test = _prepared(spark, sf)
+    model = H.fit(train, "logistic_regression", epochs=3, **STEPS)
+    return _metrics(spark, train, test, model, model.loss)
 
 
-def _fine_tune(spark, sf):
+def _fit_mlp(spark, sf):
     train, test = _prepared(spark, sf)
-    return _facts(train, test, H.fine_tune(H.fit(train, "logistic_regression", epochs=5), train))
+    model = H.fit(train, "NN", epochs=5, lr=0.01, hidden_dim=16)
+    return _metrics(spark, train, test, model, model.loss)
 
 
-def _curve_facts(curves: DataFrame) -> DataFrame:
-    """Per row: its keys, whether S lies in (0, 1], and whether it never rises."""
-    steps = F.transform(F.sequence(F.lit(1), F.size("surv") - 1), lambda i: F.get("surv", i) <= F.get("surv", i - 1))
-    return tidy(curves.select(
-        "serial_number", "time", F.size("surv").alias("n_points"), F.forall("surv", lambda s: (s > 0) & (s <= 1)).alias("in_range"),
-        F.forall(steps, lambda x: x).alias("falling"),
-    ))
+def _fine_tune(spark, sf):
+    """Two passes, stored, loaded and continued by two more."""
+    train, test = _prepared(spark, sf)
+    path = scratch_path(spark, "model")
+    first = H.fit(train, "logistic_regression", epochs=2, **STEPS)
+    first.save(path)
+    model = H.fine_tune(H.HazardModel.load(spark, path), train, epochs=2)
+    return _metrics(spark, train, test, model, first.loss + model.loss)
 
 
 def _predict_fitted(spark, sf):
     """Inference: curves of all test rows, without their labels."""
     train, test = _prepared(spark, sf)
-    return _curve_facts(H.predict(H.fit(train, "logistic_regression"), test.drop("failure", "max_lifetime"), mode="infer"))
+    model = H.fit(train, "logistic_regression", epochs=3, **STEPS)
+    return tidy(H.wide(H.predict(model, test.drop("failure", "max_lifetime"), mode="infer")))
 
 
 def _predict_other(spark, sf):
@@ -247,19 +253,84 @@ def _predict_other(spark, sf):
     train, test = _prepared(spark, sf)
     path = scratch_path(spark, "tree")
     H.fit(train, DecisionTreeClassifier(maxDepth=4, seed=1)).save(path)
-    return _curve_facts(H.predict(H.HazardModel.load(spark, path), test.drop("failure", "max_lifetime"), mode="infer"))
+    return tidy(H.wide(H.predict(H.HazardModel.load(spark, path), test.drop("failure", "max_lifetime"), mode="infer")))
 
 
 def _model_stats(spark, sf):
-    """History of two versions: how many have each metric, and whether its steps are numbered without gaps."""
+    """The history of a version that continues another, which continues a third; without the times, which differ from run to run."""
     train, test = _prepared(spark, sf)
-    root = scratch_path(spark, "registry")
-    for steps in (5, 10):
-        model = H.fit(train, "logistic_regression", epochs=steps)
-        R.save_version(spark, root, model, "logistic_regression", C.score(model, test))
-    each = R.model_stats(spark, root).groupBy("metric", "version").agg((F.max("step") + 1 == F.count(F.lit(1))).alias("whole"))
-    n_train = F.lit(H.training_rows(train).count()).alias("n_train")
-    return tidy(each.groupBy("metric").agg(F.count(F.lit(1)).alias("n_versions"), F.every("whole").alias("whole")).select("*", n_train))
+    root, model = scratch_path(spark, "registry"), None
+    for _ in range(3):
+        model = H.fine_tune(model, train, epochs=1) if model else H.fit(train, "logistic_regression", epochs=1, **STEPS)
+        version = R.save_version(spark, root, model, "logistic_regression", C.score_predictions(H.predict(model, test), digits=9))
+        model = R.load_version(spark, root, version)
+    return tidy(R.history(spark, root, version).where("metric <> 'fit_time'").select("metric", F.col("step").cast("bigint"), "value"))
+
+
+_INPUTS = [*FEATURES, "tte"]
+
+
+def steps_ctes(epochs: int) -> str:
+    """Weights w0 ... of gradient descent from zero on the prepared train rows, and the losses l0 ... that each pass starts from."""
+    rate, penalty = STEPS["lr"], STEPS["regParam"]
+    z = " + ".join(["w_b", *[f"w_{f} * {f}" for f in _INPUTS]])
+    out = [f"tr AS (SELECT *, (max_lifetime - time) / {float(_N)} AS tte, failure AS y FROM train_out WHERE time <> max_lifetime)",
+           "w0 AS (SELECT 0.0::DOUBLE AS w_b, " + ", ".join(f"0.0::DOUBLE AS w_{f}" for f in _INPUTS) + ")"]
+    for k in range(epochs):
+        slopes = ", ".join(f"avg((p - y) * {f}) AS g_{f}" for f in _INPUTS)
+        square = " + ".join(f"w_{f} * w_{f}" for f in _INPUTS)
+        out += [
+            f"z{k} AS (SELECT tr.*, {z} AS z FROM tr CROSS JOIN w{k})",
+            f"g{k} AS (SELECT avg(p - y) AS g_b, {slopes}, avg(ln(1 + exp(z)) - y * z) AS loss FROM (SELECT *, 1 / (1 + exp(-z)) AS p FROM z{k}))",
+            f"l{k} AS (SELECT loss + {penalty} / 2 * ({square}) AS loss FROM g{k} CROSS JOIN w{k})",
+            f"w{k + 1} AS (SELECT w_b - {rate} * g_b AS w_b, "
+            + ", ".join(f"w_{f} - {rate} * (g_{f} + {penalty} * w_{f}) AS w_{f}" for f in _INPUTS) + f" FROM w{k} CROSS JOIN g{k})",
+        ]
+    return ",\n".join(out)
+
+
+def fitted_curve_ctes(rows: str, k: int, name: str) -> str:
+    """Long form of the survival curves of relation ``rows`` under the weights after ``k`` passes."""
+    z = " + ".join(["w_b", *[f"w_{f} * {f}" for f in FEATURES]])
+    return f"""
+{name}_grid AS (SELECT unnest(range(1, {_N + 1})) AS t),
+{name}_h AS (SELECT x.*, t, 1 / (1 + exp(-({z} + w_tte / {float(_N)} * t))) AS h FROM {rows} x CROSS JOIN {name}_grid CROSS JOIN w{k}),
+{name} AS (SELECT *, exp(-sum(h) OVER (PARTITION BY serial_number, time ORDER BY t)) AS s FROM {name}_h)"""
+
+
+_TEST_CTE = "te_obs AS (SELECT *, max_lifetime - time AS duration, failure AS final FROM test_out WHERE time <> max_lifetime)"
+
+
+def fitted_scores_ctes(k: int) -> str:
+    """Relation m``k``: ci and ibs of the prepared test rows under the weights after ``k`` passes."""
+    return f"""
+{fitted_curve_ctes("te_obs", k, f"c{k}").strip()},
+e{k} AS (SELECT serial_number, any_value(duration) AS duration, any_value(final) AS final, round({AREA}, 9) AS p FROM c{k} GROUP BY serial_number, time),
+{pairs_ctes(f"e{k}", f"p{k}", "p").strip()},
+b{k} AS (
+  SELECT t, avg(pow(CASE WHEN duration > t THEN 1.0 ELSE 0.0 END - s, 2)) AS brier FROM c{k} WHERE duration > t OR final = 1 GROUP BY t),
+m{k} AS (
+  SELECT (concordant + tied / 2.0) / nullif(pairs, 0) AS ci,
+         (SELECT sum((brier + before) / 2 * (t - since)) / (max(t) - (SELECT min(t) FROM b{k}))
+          FROM (SELECT *, lag(brier) OVER (ORDER BY t) AS before, lag(t) OVER (ORDER BY t) AS since FROM b{k})) AS ibs
+  FROM p{k})"""
+
+
+def _metrics_sql(epochs: int) -> str:
+    losses = ", ".join(f"(SELECT {r('loss')} FROM l{i}) AS loss_{i}" for i in range(epochs))
+    return sql(
+        f"SELECT (SELECT count(*) FROM tr) AS n_train, (SELECT count(*) FROM te_obs) AS n_test, {r('ci')} AS ci, {r('ibs')} AS ibs, {losses} FROM m{epochs}",
+        *PREP_CTES, steps_ctes(epochs), _TEST_CTE, fitted_scores_ctes(epochs),
+    )
+
+
+_HISTORY_SQL = sql(
+    " UNION ALL ".join(
+        f"SELECT '{metric}' AS metric, CAST({i} AS BIGINT) AS step, {r(value)} AS value FROM {table}"
+        for i in range(3) for metric, value, table in (("loss", "loss", f"l{i}"), ("CI_test", "ci", f"m{i + 1}"), ("IBS_test", "ibs", f"m{i + 1}"))
+    ),
+    *PREP_CTES, steps_ctes(3), _TEST_CTE, *[fitted_scores_ctes(k) for k in (1, 2, 3)],
+)
 
 
 _SCORED = [DAILY_CTE, TIMED_CTE, TRUTH_CTE]
@@ -271,10 +342,6 @@ brier AS (
   SELECT t, avg(pow(CASE WHEN duration > t THEN 1.0 ELSE 0.0 END - s, 2)) AS brier, count(*) AS n_known
   FROM curve WHERE duration > t OR final = 1 GROUP BY t)"""
 
-_ROWS = {p: f"(SELECT count(*) FROM {p}_out WHERE time <> max_lifetime)" for p in ("train", "test")}
-_FACTS = f"{_ROWS['train']} AS n_train, {_ROWS['test']} AS n_test, TRUE AS loss_falls, TRUE AS ci_valid, TRUE AS ibs_valid"
-_CURVE_FACTS = f"SELECT serial_number, {big('time')} AS time, CAST({_N} AS BIGINT) AS n_points, TRUE AS in_range, TRUE AS falling FROM test_out"
-
 QUERIES = {
     "hazard_grid": (_by_model("hazards"), _by_model_sql("h")),
     "survival_curve": (_by_model("surv"), _by_model_sql("s")),
@@ -340,14 +407,14 @@ QUERIES = {
         sql(f"""(SELECT 'ci' AS metric, model_name, {r('ci')} AS value FROM versions ORDER BY ci DESC LIMIT 1)
             UNION ALL (SELECT 'ibs', model_name, {r('ibs')} FROM versions ORDER BY ibs LIMIT 1)""", *_ALL_VERSIONS),
     ),
-    "fit_lr_metrics": (_fit("logistic_regression"), sql(f"SELECT {_FACTS}", *PREP_CTES)),
-    "fit_mlp_metrics": (_fit("NN", epochs=30), sql(f"SELECT {_FACTS}", *PREP_CTES)),
-    "fine_tune_metrics": (_fine_tune, sql(f"SELECT {_FACTS}", *PREP_CTES)),
-    "predict_infer": (_predict_fitted, sql(_CURVE_FACTS, *PREP_CTES)),
-    "predict_other_estimator": (_predict_other, sql(_CURVE_FACTS, *PREP_CTES)),
-    "model_stats": (
-        _model_stats,
-        sql(f"""SELECT metric, CAST(2 AS BIGINT) AS n_versions, TRUE AS whole, {_ROWS["train"]} AS n_train
-            FROM (VALUES ('CI_test'), ('IBS_test'), ('fit_time'), ('loss')) m(metric)""", *PREP_CTES),
+    "fit_lr_metrics": (_fit_lr, _metrics_sql(3)),
+    "fit_mlp_metrics": (_fit_mlp, None),
+    "fine_tune_metrics": (_fine_tune, _metrics_sql(4)),
+    "predict_infer": (
+        _predict_fitted,
+        sql(f"SELECT serial_number, {big('time')} AS time, {_WIDE} FROM pc GROUP BY serial_number, time",
+            *PREP_CTES, steps_ctes(3), fitted_curve_ctes("test_out", 3, "pc")),
     ),
+    "predict_other_estimator": (_predict_other, None),
+    "model_stats": (_model_stats, _HISTORY_SQL),
 }

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from hazardloom.columns import PANEL, ROWS_PER_BATCH, PanelColumns
 from hazardloom.operators.ranks import positions
+from hazardloom.session import discard
+
+MAX_TASKS = 20_000
 
 
 def batch_order(df: DataFrame, cols: PanelColumns = PANEL) -> list[str]:
@@ -17,18 +20,30 @@ def batch_order(df: DataFrame, cols: PanelColumns = PANEL) -> list[str]:
 def rebatch(df: DataFrame, rows_per_batch: int = ROWS_PER_BATCH, cols: PanelColumns = PANEL) -> DataFrame:
     """Add ``batchnum``: consecutive groups of ``rows_per_batch`` rows in date order."""
     numbered = positions(df, batch_order(df, cols))
-    return numbered.select(*df.columns, F.floor(F.col("_index") / F.lit(rows_per_batch)).cast("bigint").alias("batchnum"))
+    out = numbered.select(*df.columns, F.floor(F.col("_index") / F.lit(rows_per_batch)).cast("bigint").alias("batchnum"))
+    out._scratch = numbered._scratch  # for ``discard``
+    return out
 
 
 def arranged(df: DataFrame, rows_per_batch: int = ROWS_PER_BATCH, cols: PanelColumns = PANEL) -> DataFrame:
-    """Rows with ``batchnum``, one task and one sorted run per batch, ready for ``partitionBy("batchnum")``."""
+    """Rows with ``batchnum``, one task and one sorted run per batch, ready for ``partitionBy("batchnum")``.
+
+    Batches are dealt to tasks by their number itself: no two meet by hash, unless there are more than MAX_TASKS. ``discard`` deletes the
+    ordered copy behind it, once the rows are written.
+    """
     batched = rebatch(df, rows_per_batch, cols)
-    return batched.repartition("batchnum").sortWithinPartitions("batchnum", *batch_order(df, cols))
+    tasks = max(1, min(MAX_TASKS, -(-batched.count() // rows_per_batch)))
+    placed = batched.repartitionById(tasks, F.pmod("batchnum", F.lit(tasks)).cast("int"))
+    out = placed.sortWithinPartitions("batchnum", *batch_order(df, cols))
+    out._scratch = batched._scratch
+    return out
 
 
 def write_batches(df: DataFrame, path: str, rows_per_batch: int = ROWS_PER_BATCH, cols: PanelColumns = PANEL) -> DataFrame:
     """Write one folder per batch below ``path`` (which must be new) and return the stored rows."""
-    arranged(df, rows_per_batch, cols).write.partitionBy("batchnum").parquet(path)
+    rows = arranged(df, rows_per_batch, cols)
+    rows.write.partitionBy("batchnum").parquet(path)
+    discard(rows)
     return read_batches(df.sparkSession, path)
 
 

@@ -13,7 +13,7 @@ from hazardloom.operators.dynamics import dynamic_stats
 from hazardloom.operators.prep import FittedPrep, PanelPrep
 from hazardloom.operators.split import split_rows
 from hazardloom.operators.stats import static_stats
-from hazardloom.session import delete, discard, written
+from hazardloom.session import discard, written
 from hazardloom.sources import batches as B
 from hazardloom.sources import csv_files as V
 from hazardloom.sources import prepared as W
@@ -41,12 +41,17 @@ class Workspace:
         if self.root.rstrip("/") in {p.rstrip("/") for p in paths}:
             raise ValueError("the storage path must not be one of the sources")
         rows = V.with_row_key(V.add_season(V.read_csv(self.spark, paths, self.cols), self.cols), self.cols)
-        self.storage.write(B.arranged(rows, rows_per_batch, self.cols), "batchnum")
+        self._store(rows, rows_per_batch)
         return self.storage.read()
 
+    def _store(self, rows: DataFrame, rows_per_batch: int) -> None:
+        arranged = B.arranged(rows, rows_per_batch, self.cols)
+        self.storage.write(arranged, "batchnum")
+        discard(arranged)
+
     def rebatch(self, rows_per_batch: int) -> DataFrame:
         """Rewrite the storage with another batch size, as a new version of it."""
-        self.storage.write(B.arranged(self.stored().drop("batchnum"), rows_per_batch, self.cols), "batchnum")
+        self._store(self.stored().drop("batchnum"), rows_per_batch)
         return self.storage.read()
 
     def stored(self) -> DataFrame:
@@ -68,8 +73,7 @@ class Workspace:
         fitted, train = (settings or PanelPrep(cols=self.cols)).fit_transform(split_rows(rows, live.where("split = 'train'"), self.cols))
         test = fitted.transform(split_rows(rows, live.where("split = 'test'"), self.cols))
         fitted.save(self.prep_path)
-        delete(self.spark, self.prepared)
-        stored = W.write_split(train, test, self.prepared, cols=self.cols)
+        stored = W.write_split(train, test, self.prepared, cols=self.cols, replace_all=True)
         I.advance_lifetimes(stored, self.lifetimes, self.cols)
         return stored
 
@@ -120,6 +124,10 @@ class Workspace:
         """Scores, losses and fit times of all versions."""
         return R.model_stats(self.spark, self.vault)
 
+    def model_history(self, version: str | None = None) -> DataFrame:
+        """The same of a version (the current model's by default) and those that it continues, as one history."""
+        return R.history(self.spark, self.vault, version or self._current().version)
+
     def _current(self) -> H.HazardModel:
         if self.model is None:
             raise ValueError("fit or load a model first")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hazardloom.operators import hazard as H
 from hazardloom.operators import scoring as C
+from hazardloom.operators.trainer import Network
 from hazardloom.sources import registry as R
 
 TIMES = [1, 2, 5, 9]
@@ -70,7 +71,77 @@ def test_other_estimator_keeps_every_row(spark, prepared, tmp_path):
 
 def test_named_parameters_of_a_fit(prepared):
     model = H.fit(prepared, "NN", epochs=2, lr=0.01, hidden_dim=3)
-    assert model.fitted.getLayers() == [3, 3, 3, 2] and len(model.loss) <= 3
+    assert model.fitted.sizes == [3, 3, 3, 1] and len(model.loss) == 2
+    other = H.fit(prepared, "NN", epochs=2, lr=0.05, hidden_dim=3)
+    assert other.loss[1] != model.loss[1] and H.fit(prepared, "NN", epochs=2, lr=0.01, hidden_dim=3).loss == model.loss
+    with pytest.raises(TypeError):
+        H.fit(prepared, "NN", epochs=2, dept=3)
+
+
+def plain_hazards(net, x):
+    for i, (w, b) in enumerate(net.layers()):
+        x = x @ w + b
+        x = np.maximum(x, 0) if i + 1 < len(net.layers()) else x
+    return 1 / (1 + np.exp(-x[:, 0]))
+
+
+def test_trained_network_hazards(prepared):
+    model = H.fit(prepared, "NN", epochs=3, lr=0.02, hidden_dim=4, batches=2)
+    assert model.loss[-1] < model.loss[0]
+    for r in H.predict_hazard(model, prepared.limit(20), TIMES).collect():
+        want = plain_hazards(model.fitted, np.array([[r.x, r.y, t / 159] for t in TIMES]))
+        assert r.hazards == pytest.approx(want.tolist(), abs=1e-12)
+
+
+@pytest.mark.parametrize("hidden", [None, 3])
+def test_gradients_equal_finite_differences(hidden):
+    r = np.random.default_rng(4)
+    net = Network.new(4, hidden, seed=1)
+    net.theta = net.theta + 0.1 * r.standard_normal(len(net.theta))
+    x, y = r.standard_normal((50, 4)), r.integers(0, 2, 50).astype(float)
+    loss, gradient = net.sums(x, y)
+    for i in range(len(net.theta)):
+        ends = []
+        for d in (1e-6, -1e-6):
+            net.theta[i] += d
+            ends.append(net.sums(x, y)[0])
+            net.theta[i] -= d
+        assert gradient[i] == pytest.approx((ends[0] - ends[1]) / 2e-6, abs=1e-4)
+    if hidden is None:
+        net.theta[0] += 1e-6
+        assert net.curvature(x).reshape(5, 5)[0] == pytest.approx((net.sums(x, y)[1] - gradient) / 1e-6, abs=1e-2)
+
+
+@pytest.mark.parametrize("name, solver", [("NN", "adam"), ("logistic_regression", "sgd"), ("logistic_regression", "adam")])
+def test_two_fits_are_one(spark, prepared, tmp_path, name, solver):
+    settings = {"solver": solver, "lr": 0.02, "batches": 3, **({"hidden_dim": 4} if name == "NN" else {})}
+    whole = H.fit(prepared, name, epochs=4, **settings)
+    half = H.fit(prepared, name, epochs=2, **settings)
+    half.save(str(tmp_path / "half"))
+    rest = H.fine_tune(H.HazardModel.load(spark, str(tmp_path / "half")), prepared, epochs=2)
+    assert rest.fitted.theta.tolist() == whole.fitted.theta.tolist() and half.loss + rest.loss == whole.loss
+    assert rest.fitted.steps == whole.fitted.steps == 12 and half.fitted.steps == 6
+
+
+def test_newton_finds_the_penalised_optimum(prepared, lr):
+    model = H.fit(prepared, solver="newton", epochs=30, time_unit=1.0)
+    assert model.linear[0] == pytest.approx(lr.linear[0], abs=1e-3) and model.loss[-1] == pytest.approx(lr.loss[-1], abs=1e-6)
+    rows = [(r.x, r.y, 9.0 - r.time, float(r.failure)) for r in prepared.collect() if r.time != 9]
+    x = np.array(rows)
+    w, b = model.linear
+    p = 1 / (1 + np.exp(-(x[:, :3] @ w + b)))
+    assert x[:, :3].T @ (p - x[:, 3]) / len(x) + 1e-4 * w == pytest.approx(np.zeros(3), abs=1e-6)
+
+
+def test_a_converged_regression_stays(prepared, lr):
+    more = H.fine_tune(lr, prepared, epochs=5)
+    assert more.linear[0] == pytest.approx(lr.linear[0], abs=1e-3) and more.fitted.l2 == 1e-4
+
+
+def test_missing_values_are_an_error(spark, prepared):
+    broken = prepared.withColumn("x", F.when(F.col("time") != 3, F.col("x")))
+    with pytest.raises(Exception, match="not finite"):
+        H.fit(broken, "NN", epochs=1, hidden_dim=2)
 
 
 def test_predict_modes(prepared, lr):
@@ -116,6 +187,22 @@ def test_versions(spark, prepared, lr, tmp_path):
     assert metrics == {"CI_test", "IBS_test", "fit_time", "loss"}
 
 
+def test_continued_versions_have_one_history(spark, prepared, tmp_path):
+    root, model = str(tmp_path / "vault"), H.fit(prepared, solver="sgd", lr=0.1, epochs=2, batches=1)
+    scores = C.score(model, prepared, TIMES)
+    versions = [R.save_version(spark, root, model, "first", scores)]
+    R.save_version(spark, root, H.fit(prepared, solver="sgd", lr=0.1, epochs=1, batches=1), "unrelated", scores)
+    losses = list(model.loss)
+    for epochs in (1, 3):
+        model = H.fine_tune(R.load_version(spark, root, versions[-1]), prepared, epochs=epochs)
+        losses += model.loss
+        versions.append(R.save_version(spark, root, model, "more", scores))
+    got = sorted(map(tuple, R.history(spark, root, versions[-1]).select("metric", "step", "value").collect()))
+    assert [v for m, _, v in got if m == "loss"] == losses and [s for m, s, _ in got if m == "loss"] == list(range(6))
+    assert [s for m, s, _ in got if m == "CI_test"] == [0, 1, 2] and [s for m, s, _ in got if m == "fit_time"] == list(range(6))
+    assert {r.version for r in R.history(spark, root, versions[1]).collect()} == set(versions[:2])
+
+
 def test_best_rule(spark):
     table = spark.createDataFrame([("1", 0.6, 0.20), ("2", 0.7, 0.25)], "id string, ci double, ibs double").withColumn("timestamp", F.current_timestamp())
     assert R.best(table, "ci").first().id == "2" and R.best(table, "ibs").first().id == "1"

@@ -51,6 +51,48 @@ def test_union_by_name(spark, tmp_path):
     assert got == {1: ("A", 1.0, None), 2: ("A", None, None), 3: ("B", 5.0, 6.0), 4: ("B", 0.0, None)}
 
 
+def test_many_small_files_of_several_layouts(spark, tmp_path):
+    want = set()
+    for i in range(300):
+        layout = [["date", "serial_number", "smart_1"], ["smart_1", "serial_number", "date", "odd"], ["serial_number", "date"]][i % 3]
+        value = {"date": f"2024-01-{1 + i % 28:02d}", "serial_number": f'"a,{i}"', "smart_1": str(i), "odd": "q"}
+        lines = [",".join(layout)] + [",".join(value[c] for c in layout)] * 2 + [""]
+        (tmp_path / f"{i}.csv").write_text("\r\n".join(lines) + ("\n" if i % 2 else ""))
+        want.add((f"a,{i}", 1 + i % 28, float(i) if i % 3 < 2 else None, "q" if i % 3 == 1 else None))
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "header.csv").write_text("date,smart_1\n")
+    df = V.read_csv(spark, [str(tmp_path)])
+    got = df.collect()
+    assert len(got) == 600 and {(r.serial_number, r.date.day, r.smart_1, r.odd) for r in got} == want
+    assert V.header_names("a,,a,b") == ["a0", "_c1", "a2", "b"]
+    with pytest.raises(FileNotFoundError):
+        V.read_csv(spark, [str(tmp_path / "empty.csv")])
+
+
+def test_batches_go_to_tasks_of_their_own(spark):
+    df = spark.range(1000).select(F.lit(dt.date(2024, 1, 1)).alias("date"), F.col("id").cast("string").alias("serial_number"), F.col("id").alias("row_key"))
+    placed = B.arranged(df, 100).withColumn("task", F.spark_partition_id())
+    assert rows(placed.groupBy("batchnum").agg(F.min("task").alias("a"), F.max("task").alias("b"), F.count("*").alias("n")), "batchnum", "a", "b", "n") == [
+        (i, i, i, 100) for i in range(10)]
+
+
+def test_a_failed_write_leaves_the_old_batch(spark, tmp_path):
+    base = spark.createDataFrame([("A", 0, 1, 0.5, 2), ("A", 2, 1, 0.7, 2)], "serial_number string, time int, failure int, x double, max_lifetime int")
+    path = str(tmp_path / "prepared")
+    W.write_split(base, base, path, "007")
+    before = sorted(map(tuple, W.read_split(spark, path).collect()))
+    with pytest.raises(Exception):
+        W.write_split(base.withColumn("x", F.raise_error(F.lit("lost")).cast("double")), base, path, "007")
+    assert sorted(map(tuple, W.read_split(spark, path).collect())) == before and {r[-1] for r in before} == {"007"}
+    own = W.read_split(spark, path, "train")  # rows of the store itself
+    W.write_split(own.withColumn("x", F.col("x") * 2), own.limit(0), path, "007")
+    assert rows(W.read_split(spark, path), "x", "split") == [(1.0, "train"), (1.4, "train")]
+    assert W.vacuum(spark, path) == 1 and W.read_split(spark, path).count() == 2
+    W.write_split(base.withColumn("y", F.lit(1)), base.limit(0).withColumn("y", F.lit(1)), path, "new")
+    assert W.read_split(spark, path).columns[-3:] == ["y", "split", "batch"] and W.read_split(spark, path).count() == 4
+    assert W.write_split(base, base.limit(0), path, "only", replace_all=True).count() == 2
+
+
 def test_rebatch_is_a_global_order(spark):
     df = spark.range(1003).select(
         F.expr("date_add(DATE'2024-01-01', CAST(hash(id) % 3 AS INT))").alias("date"), F.hash("id").cast("string").alias("serial_number"),
