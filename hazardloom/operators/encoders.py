@@ -45,11 +45,11 @@ def known_category(df: DataFrame, categories: DataFrame, cols: PanelColumns = PA
     ])
 
 
-def category_counts(df: DataFrame, column: str) -> dict[str, int]:
-    """Rows per category, sorted by category. Each becomes a column, so their number is checked."""
-    found = df.groupBy(column).count().limit(MAX_ONE_HOT + 1).collect()
-    if len(found) > MAX_ONE_HOT:
-        raise ValueError(f"{column} has more than {MAX_ONE_HOT} categories")
+def category_counts(df: DataFrame, column: str, most: int = MAX_ONE_HOT) -> dict[str, int]:
+    """Rows per category, sorted by category. Each becomes a column, so more than ``most`` are an error."""
+    found = df.groupBy(column).count().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} categories")
     return dict(sorted((r[0], r[1]) for r in found if r[0] is not None))
 
 

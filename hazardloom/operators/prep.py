@@ -7,7 +7,7 @@ import math
 import os
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hazardloom.columns import NAN_FRACTION, PANEL, TRAIN_SAMPLES, UNUSED_FEATURES, PanelColumns
@@ -19,12 +19,24 @@ from hazardloom.session import discard, written
 def daily_rows(df: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:
     """One row per device and day, without devices that failed twice, with ``time``.
 
-    Devices are counted as failing twice on all their rows. Copies go first: then no device is larger than the
-    observation period, and the anti join, the windows and the later steps share one shuffle by device.
+    Devices are counted as failing twice on all their rows. One aggregate per device and day keeps the first row (smallest row key, or
+    smallest values) and adds up the failures, copies being combined before the shuffle; the raw rows are read once. Then no
+    device is larger than the observation period, and the sum over its days, the clock and the later steps share one shuffle by
+    device. Rows without a device stay.
     """
-    rows = S.drop_duplicates(df, [cols.id, cols.date], cols)
-    if cols.label in df.columns:
-        rows = rows.join(S.multi_failure_ids(df, cols), cols.id, "left_anti")
+    keys = [cols.id, cols.date]
+    rest = [c for c in df.columns if c not in keys]
+    rest = sorted(rest, key=lambda c: c != cols.row_key)
+    fails = [F.sum(cols.label).alias("_fails")] if cols.label in rest else []
+    if not rest:
+        return S.relative_time(df.distinct(), cols, one_row_per_day=True)
+    first = F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("_first")
+    days = df.groupBy(*keys).agg(first, *fails)
+    if fails:
+        device = Window.partitionBy(cols.id).orderBy(F.col(cols.date).desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        often = F.sum("_fails").over(device)
+        days = days.withColumn("_fails", often).where(F.col(cols.id).isNull() | (F.coalesce("_fails", F.lit(0)) <= 1))
+    rows = days.select(*[F.col(c) if c in keys else F.col(f"_first.`{c}`").alias(c) for c in df.columns])
     return S.relative_time(rows, cols, one_row_per_day=True)
 
 
@@ -39,6 +51,7 @@ class PanelPrep:
     method: str = "bfill"
     seed: int = 42
     cols: PanelColumns = PANEL
+    most_seasons: int = E.MAX_ONE_HOT  # each season becomes a column; more are an error
 
     def fit(self, df: DataFrame) -> "FittedPrep":
         """Learn dropped columns, encodings and scaling from train rows."""
@@ -69,7 +82,7 @@ class PanelPrep:
         ).first()
         dropped = set(S.over_limit(facts, values, self.nan_fraction, self.unused))
         measures = [c for c in candidates if c not in dropped]
-        seasons = E.category_counts(rows, cols.season)
+        seasons = E.category_counts(rows, cols.season, self.most_seasons)
         table, global_mean = E.target_encoding(rows, cols, (facts["_mean"], facts["_var"]))
         table = written(table, "categories")
 
@@ -124,7 +137,7 @@ class FittedPrep:
         s = self.settings
         facts = {
             "n_samples": s.n_samples, "nan_fraction": s.nan_fraction, "unused": s.unused, "fill": s.fill, "method": s.method,
-            "seed": s.seed, "cols": vars(s.cols), "measures": self.measures, "seasons": self.seasons, "features": self.features,
+            "seed": s.seed, "cols": vars(s.cols), "most_seasons": s.most_seasons, "measures": self.measures, "seasons": self.seasons, "features": self.features,
             "global_mean": self.global_mean, "mean": self.mean, "std": self.std,
         }
         spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode("overwrite").text(os.path.join(path, "facts"))
@@ -134,7 +147,8 @@ class FittedPrep:
     def load(spark: SparkSession, path: str) -> "FittedPrep":
         f = json.loads(spark.read.text(os.path.join(path, "facts")).first()[0])
         settings = PanelPrep(
-            f["n_samples"], f["nan_fraction"], f["unused"], f["fill"], f["method"], f["seed"], PanelColumns(**f["cols"])
+            f["n_samples"], f["nan_fraction"], f["unused"], f["fill"], f["method"], f["seed"], PanelColumns(**f["cols"]),
+            f.get("most_seasons", E.MAX_ONE_HOT),
         )
         table = spark.read.parquet(os.path.join(path, "categories"))
         return FittedPrep(settings, f["measures"], f["seasons"], f["features"], table, f["global_mean"], f["mean"], f["std"])

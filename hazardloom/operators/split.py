@@ -15,7 +15,7 @@ from hazardloom.functions import hash_order
 from hazardloom.operators.keyed import lookup
 from hazardloom.session import written
 
-HASH_DIGITS = 3
+RANKED = 50_000  # devices of a label that are ranked together, about
 
 
 def device_facts(df: DataFrame, horizon: Date | None = None, cols: PanelColumns = PANEL) -> DataFrame:
@@ -55,23 +55,31 @@ def remove_truncated(df: DataFrame, horizon: Date | None = None, cols: PanelColu
 def stratify(facts: DataFrame, test_size: float = TEST_SIZE, seed: int = 42, cols: PanelColumns = PANEL) -> DataFrame:
     """Add ``split``: per label, the first round(n * test_size) devices in hash order are the test part.
 
-    The rank is exact without gathering a label in one task: devices are counted per (label, hash prefix), the running
-    sums of that small table (16^digits rows per label at most) give every prefix its offset, and only the devices of
-    one prefix are ranked together.
+    The last hash of the test part is found by radix selection: devices are counted per label and hash prefix, of as many digits as
+    leave about RANKED devices to each; running sums of those counts name the prefix in which the cut falls, and only its
+    devices are ranked. One hash per label then decides for every device.
     """
-    hashed = facts.withColumn("_hash", hash_order(cols.id, seed=seed)).withColumn(
-        "_prefix", F.substring("_hash", 1, HASH_DIGITS)
-    )
+    hashed = written(facts.withColumn("_hash", hash_order(cols.id, seed=seed)), "hashed")
+    n, digits = hashed.count(), 0
+    while n > RANKED * 16**digits:
+        digits += 1
+    prefixed = hashed.withColumn("_prefix", F.substring("_hash", 1, digits))
     by_label = Window.partitionBy("label")
-    sizes = hashed.groupBy("label", "_prefix").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.select(
-        "label", "_prefix",
+    sizes = prefixed.groupBy("label", "_prefix").agg(F.count(F.lit(1)).alias("_n")).select(
+        "label", "_prefix", "_n",
         F.sum("_n").over(by_label.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_upto"),
-        "_n", F.round(F.sum("_n").over(by_label) * F.lit(test_size)).alias("_cut"),
+        F.round(F.sum("_n").over(by_label) * F.lit(test_size)).alias("_cut"),
     )
-    within = F.row_number().over(Window.partitionBy("label", "_prefix").orderBy("_hash", cols.id))
-    ranked = hashed.join(F.broadcast(offsets), ["label", "_prefix"]).withColumn("_rank", F.col("_upto") - F.col("_n") + within)
-    return ranked.select(*facts.columns, F.when(F.col("_rank") <= F.col("_cut"), "test").otherwise("train").alias("split"))
+    # where the cut falls; of the devices before it all, of those in it ``_need`` are test devices
+    beyond = sizes.where("_upto > _cut").groupBy("label").agg(F.min(F.struct("_prefix", (F.col("_cut") - F.col("_upto") + F.col("_n")).alias("_need"))).alias("m"))
+    edge = written(beyond.select("label", "m.*"), "edge")
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("_hash"))
+    inside = prefixed.join(F.broadcast(edge), ["label", "_prefix"]).withColumn("_rank", rank).where("_rank = _need")
+    last = edge.join(inside.select("label", F.col("_hash").alias("_last")), "label", "left")
+    last = last.select("label", F.coalesce("_last", "_prefix").alias("_last"), F.lit(True).alias("_cuts"))
+    joined = hashed.join(F.broadcast(last), "label", "left")  # a label without a cut is all test
+    test = F.col("_cuts").isNull() | (F.col("_hash") <= F.col("_last"))
+    return joined.select(*facts.columns, F.when(test, "test").otherwise("train").alias("split"))
 
 
 def stratified_split(df: DataFrame, test_size: float = TEST_SIZE, seed: int = 42, cols: PanelColumns = PANEL) -> DataFrame:

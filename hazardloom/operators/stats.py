@@ -6,8 +6,6 @@ share of the rows is reduced before the shuffle.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,71 +95,68 @@ def _device_facts(cols: PanelColumns) -> dict[str, Column]:
     }
 
 
+BY_DEVICE = {"mean_lifetime", "max_lifetime", "truncated_rate", "survival_rate", "failure_rate", "double_failures", "mean_time_between_observ"}
+BY_DAY = {"mean_observ_per_day"}
+
+
 def static_stats(df: DataFrame, names=STATIC_STATS, cols: PanelColumns = PANEL) -> DataFrame:
     """The named statistics as one row, in the order asked for.
 
-    ``data_size`` gives ``n_rows`` and ``n_columns``; ``na_rate`` gives ``na_rate_<column>`` for every column.
+    ``data_size`` gives ``n_rows`` and ``n_columns``; ``na_rate`` gives ``na_rate_<column>`` for every column. The panel is read once:
+    its rows go into one group for their device and one for their day, both combined before the shuffle. What is asked of
+    the whole panel is summed up from the devices, and all ends in one row.
     """
     unknown = [n for n in names if n not in STATIC_STATS]
     if unknown:
         raise KeyError(f"unknown statistics: {unknown}")
     names = list(names)
-    parts: list[DataFrame] = []
-
-    by_device = {"mean_lifetime", "max_lifetime", "truncated_rate", "survival_rate", "failure_rate", "double_failures",
-                 "mean_time_between_observ"}
-    if by_device & set(names):
-        facts = _device_facts(cols)
-        per_device = _devices(df, cols).agg(*[v.alias(k) for k, v in facts.items()])
-        span = F.datediff("_last", "_first").cast("bigint")
-        died = F.col("_failed") == 1
-        # totals per last day (few rows), so that the day all devices are compared with needs no second pass
-        per_last_day = per_device.groupBy(F.shiftright("_last_open", 1).alias("_day")).agg(
-            F.count(F.lit(1)).alias("_devices"),
-            F.sum(F.when(died, span)).alias("_life"), F.max(F.when(died, span)).alias("_life_max"),
-            F.count_if(died).alias("_died"), F.count_if(F.col("_any") == 0).alias("_alive"),
-            F.count_if(F.col("_failures") > 1).alias("_double"),
-            F.count_if(F.col("_last_open") % 2 == 1).alias("_open"),
-            F.sum(span).alias("_span"), F.sum(F.greatest(F.col("_n") - 1, F.lit(0))).alias("_gaps"),
-        )
-        totals = per_last_day.agg(
-            F.sum("_devices").alias("_devices"), F.sum("_life").alias("_life"), F.max("_life_max").alias("_life_max"),
-            F.sum("_died").alias("_died"), F.sum("_alive").alias("_alive"), F.sum("_double").alias("_double"),
-            F.max(F.when(F.col("_day").isNotNull(), F.struct("_day", "_open")))["_open"].alias("_open"),
-            F.sum("_span").alias("_span"), F.sum("_gaps").alias("_gaps"),
-        )
-        alive = F.col("_alive") / F.nullif(F.col("_devices"), F.lit(0)) * 100
-        finals = {
-            "mean_lifetime": F.col("_life") / F.nullif(F.col("_died"), F.lit(0)),
-            "max_lifetime": F.col("_life_max"),
-            "truncated_rate": F.coalesce(F.col("_open"), F.lit(0)) / F.nullif(F.col("_devices"), F.lit(0)) * 100,
-            "survival_rate": alive,
-            "failure_rate": 100 - alive,
-            "double_failures": F.coalesce(F.col("_double"), F.lit(0)),
-            "mean_time_between_observ": F.col("_span") / F.nullif(F.col("_gaps"), F.lit(0)),
-        }
-        parts.append(totals.select(*[finals[n].alias(n) for n in names if n in by_device]))
-    whole = []
-    if "data_size" in names:
-        whole.append(F.count(F.lit(1)).alias("n_rows"))
-    if "min_date" in names:
-        whole.append(F.min(cols.date).alias("min_date"))
-    if "max_date" in names:
-        whole.append(F.max(cols.date).alias("max_date"))
-    if "na_rate" in names:
-        whole += [(F.avg(missing(df, c).cast("int")) * 100).alias(f"na_rate_{c}") for c in df.columns]
-    if whole:
-        part = df.agg(*whole)
-        parts.append(part.withColumn("n_columns", F.lit(len(df.columns)).cast("bigint")) if "data_size" in names else part)
-    if "mean_observ_per_day" in names:
-        parts.append(mean_observ_per_day(df, cols))
-
-    # every part is one row; stack them and keep the one value of each column
-    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    order: list[str] = []
-    for n in names:
-        order += {"data_size": ["n_rows", "n_columns"], "na_rate": [f"na_rate_{c}" for c in df.columns]}.get(n, [n])
-    return stacked.agg(*[F.max(c).alias(c) for c in order])
+    wanted = set(names)
+    missing_cells = {f"_na_{i}": F.count_if(missing(df, c)) for i, c in enumerate(df.columns)} if "na_rate" in wanted else {}
+    facts = _device_facts(cols) | {"_rows": F.count(F.lit(1))} | missing_cells
+    sets = ([["_id"]] if wanted - BY_DAY else []) + ([["_on"]] if wanted & BY_DAY else [])
+    keyed = df.withColumn("_id", F.col(cols.id)).withColumn("_on", F.col(cols.date))
+    grouped = keyed.groupingSets(sets, "_id", "_on").agg(F.grouping_id().alias("_set"), *[v.alias(k) for k, v in facts.items()])
+
+    by_id = F.col("_set") == 1  # of the two bits, the day's is set
+    device, day = by_id & F.col("_id").isNotNull(), (F.col("_set") == 2) & F.col("_on").isNotNull()
+    span = F.datediff("_last", "_first").cast("bigint")
+    died = device & (F.col("_failed") == 1)
+    sums = {
+        "_devices": F.count_if(device), "_died": F.count_if(died), "_life": F.sum(F.when(died, span)),
+        "_alive": F.count_if(device & (F.col("_any") == 0)), "_double": F.count_if(device & (F.col("_failures") > 1)),
+        "_span": F.sum(F.when(device, span)), "_gaps": F.sum(F.when(device, F.greatest(F.col("_n") - 1, F.lit(0)))),
+        "_total": F.sum(F.when(by_id, F.col("_rows"))), "_days": F.count_if(day), "_day_rows": F.sum(F.when(day, F.col("_rows"))),
+        **{k: F.sum(F.when(by_id, F.col(k))) for k in missing_cells},
+    }
+    edges = {
+        "_life_max": F.max(F.when(died, span)), "_min": F.min(F.when(by_id, F.col("_first"))), "_max": F.max(F.when(by_id, F.col("_last"))),
+    }
+    # totals per last day of a device (few rows), so that the day all devices are compared with needs no second pass
+    per_last_day = grouped.groupBy(F.when(device, F.shiftright("_last_open", 1)).alias("_at")).agg(
+        F.count_if(device & (F.col("_last_open") % 2 == 1)).alias("_open"), *[v.alias(k) for k, v in (sums | edges).items()]
+    )
+    least = {"_min"}
+    totals = per_last_day.agg(
+        F.max(F.when(F.col("_at").isNotNull(), F.struct("_at", "_open")))["_open"].alias("_open"),
+        *[F.coalesce(F.sum(k), F.lit(0)).alias(k) if k in ("_devices", "_died", "_alive", "_double", "_total", "_days") else F.sum(k).alias(k) for k in sums],
+        *[(F.min(k) if k in least else F.max(k)).alias(k) for k in edges],
+    )
+    alive = F.col("_alive") / F.nullif(F.col("_devices"), F.lit(0)) * 100
+    finals = {
+        "data_size": [F.col("_total").alias("n_rows"), F.lit(len(df.columns)).cast("bigint").alias("n_columns")],
+        "min_date": [F.col("_min")],
+        "max_date": [F.col("_max")],
+        "mean_lifetime": [F.col("_life") / F.nullif(F.col("_died"), F.lit(0))],
+        "max_lifetime": [F.col("_life_max")],
+        "na_rate": [(F.col(f"_na_{i}") / F.nullif(F.col("_total"), F.lit(0)) * 100).alias(f"na_rate_{c}") for i, c in enumerate(df.columns)],
+        "truncated_rate": [F.coalesce(F.col("_open"), F.lit(0)) / F.nullif(F.col("_devices"), F.lit(0)) * 100],
+        "survival_rate": [alive],
+        "failure_rate": [100 - alive],
+        "double_failures": [F.col("_double")],
+        "mean_time_between_observ": [F.col("_span") / F.nullif(F.col("_gaps"), F.lit(0))],
+        "mean_observ_per_day": [F.col("_day_rows") / F.nullif(F.col("_days"), F.lit(0))],
+    }
+    return totals.select(*[c if n in ("data_size", "na_rate") else c.alias(n) for n in names for c in finals[n]])
 
 
 def obs_gap(df: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:

@@ -43,6 +43,23 @@ def _union_by_name(spark, sf):
     return tidy(rows.select("serial_number", "date", "row_key", "model", "failure", "smart_1_raw", "smart_9_raw"))
 
 
+def _csv_many_files(spark, sf):
+    """A file for every month and third of the devices; columns change their order from month to month, and each third has others."""
+    panel = read_panel(spark, sf).withColumn("_third", F.pmod("row_key", F.lit(3))).withColumn("_month", F.date_format("date", "yyyyMM"))
+    root, base = scratch_path(spark, "csv"), ["date", "serial_number", "model", "row_key", "failure"]
+    folders = []
+    for third, extra in enumerate((["smart_1_raw"], ["smart_9_raw", "smart_1_raw"], [])):
+        for odd in (0, 1):
+            part = panel.where((F.col("_third") == third) & (F.col("_month").cast("int") % 2 == odd))
+            columns = [*base, *extra] if odd else [*reversed(extra), *reversed(base)]
+            part = part.repartition("_month").sortWithinPartitions("_month").select("_month", *columns)
+            path = os.path.join(root, f"{third}-{odd}")
+            part.write.partitionBy("_month").option("header", True).csv(path)
+            folders.append(path)
+    rows = V.read_csv(spark, [f"{f}/*" for f in folders])
+    return tidy(rows.select("serial_number", "date", "row_key", "model", "failure", "smart_1_raw", "smart_9_raw"))
+
+
 def _ingest(spark, sf):
     stored = V.collect(spark, _two_layouts(spark, sf), scratch_path(spark, "storage"), ROWS)
     return tidy(stored.select("serial_number", "date", "row_key", "season", "smart_1_raw"))
@@ -98,6 +115,12 @@ QUERIES = {
         sql(f"""SELECT serial_number, date, row_key, model, {big('failure')} AS failure, {r('smart_1_raw')} AS smart_1_raw,
                 {r("CASE WHEN date >= DATE '1998-01-01' THEN smart_9_raw END")} AS smart_9_raw FROM panel"""),
     ),
+    "csv_many_files": (
+        _csv_many_files,
+        sql(f"""SELECT serial_number, date, row_key, model, {big('failure')} AS failure,
+                {r("CASE WHEN row_key % 3 < 2 THEN smart_1_raw END")} AS smart_1_raw,
+                {r("CASE WHEN row_key % 3 = 1 THEN smart_9_raw END")} AS smart_9_raw FROM panel"""),
+    ),
     "ingest_season": (
         _ingest, sql(f"SELECT serial_number, date, row_key, monthname(date) AS season, {r('smart_1_raw')} AS smart_1_raw FROM panel")
     ),

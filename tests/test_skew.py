@@ -68,5 +68,5 @@ def test_copies_shrink_before_the_shuffle(hot):
 def test_prep_windows_share_one_sort_and_shuffle(hot):
     chain = S.lifetime_label(S.label_shift(S.impute(daily_rows(hot))))
     plan = chain._jdf.queryExecution().executedPlan().toString()
-    after = plan[: plan.index("_copy")]  # everything above the removal of copies
+    after = plan[: plan.index("SortAggregate")]  # everything above the removal of copies
     assert after.count("Sort [serial_number") == 1 and after.count("hashpartitioning(serial_number") == 1

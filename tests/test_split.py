@@ -1,5 +1,7 @@
 import datetime as dt
+import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from hazardloom.operators import split as P
@@ -64,3 +66,15 @@ def test_update(spark):
     assert moved.count() == 0
     again = P.update_split(later, after)
     assert rows(again, "serial_number", "split", "truncated") == rows(after, "serial_number", "split", "truncated")
+
+
+@pytest.mark.parametrize("ranked", [50_000, 20, 1])
+def test_radix_selection_is_the_full_sort(spark, monkeypatch, ranked):
+    monkeypatch.setattr(P, "RANKED", ranked)
+    facts = spark.range(500).select(F.col("id").cast("string").alias("serial_number"), F.when(F.col("id") % 9 == 0, 1).when(F.col("id") == 7, 2).otherwise(0).alias("label"))
+    for share in (0.0, 0.2, 0.37, 1.0):
+        got = {r.serial_number: (r.label, r.split) for r in P.stratify(facts, share).collect()}
+        for label in (0, 1, 2):
+            ids = sorted((i for i, (l, _) in got.items() if l == label), key=lambda i: hashlib.md5(f"{i}|42".encode()).hexdigest())
+            cut = int(len(ids) * share + 0.5)
+            assert [got[i][1] for i in ids] == ["test"] * cut + ["train"] * (len(ids) - cut)

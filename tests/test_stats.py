@@ -103,3 +103,23 @@ def test_elapsed_gap_counts_24_hour_periods(spark):
     ts = ["2024-01-01 23:00:00", "2024-01-03 01:00:00", "2024-01-03 02:00:00", "2024-01-09 01:59:59"]
     df = spark.createDataFrame([("a", t) for t in ts], "id string, t string").withColumn("t", F.to_timestamp("t"))
     assert S.mean_elapsed_gap(df, "id", "t").first()[0] == pytest.approx((1 + 0 + 5) / 3)
+
+
+def test_the_panel_is_read_once(spark, fleet_df, tmp_path):
+    fleet_df.write.parquet(str(tmp_path / "fleet"))
+    stored = spark.read.parquet(str(tmp_path / "fleet"))
+    plan = S.static_stats(stored)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    whole = S.static_stats(stored).first()
+    for name in STATIC_STATS:
+        for column, value in S.static_stats(stored, [name]).first().asDict().items():
+            assert value == whole[column], column
+
+
+def test_statistics_of_missing_devices_and_days(spark):
+    data = [("A", dt.date(2024, 1, 1), 0, 1.0), ("A", None, 0, None), (None, dt.date(2024, 1, 3), 1, None), (None, None, None, 2.0), ("B", dt.date(2024, 1, 1), 1, 3.0)]
+    r = S.static_stats(spark.createDataFrame(data, "serial_number string, date date, failure int, smart_1 double")).first()
+    assert (r.n_rows, r.min_date, r.max_date, r.mean_observ_per_day) == (5, dt.date(2024, 1, 1), dt.date(2024, 1, 3), 1.5)
+    assert (r.na_rate_smart_1, r.na_rate_serial_number, r.na_rate_date) == (40.0, 40.0, 40.0) and r.survival_rate == 50.0
+    empty = S.static_stats(spark.createDataFrame([], "serial_number string, date date, failure int")).first()
+    assert empty.n_rows == 0 and empty.min_date is None and empty.double_failures == 0 and empty.truncated_rate is None
