@@ -195,7 +195,11 @@ def library(name):
     return Tokenizer.from_file(packing.vocabulary_path(name))
 
 
-def test_packing(docs, odd_rows, nothing):
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_packing(docs, odd_rows, nothing, broadcast, monkeypatch):
+    monkeypatch.setattr(packing, "BROADCAST_RANGES", broadcast)
+    monkeypatch.setattr(packing, "ROWS_PER_GROUP", 5)
+    monkeypatch.setattr(packing, "CELLS", 30)
     path, tokenizer = packing.vocabulary_path("word_bpe_49k.json"), library("word_bpe_49k.json")
     rows = packing.digests(packing.pack(docs, path, length=256)).collect()
     ids = [tokenizer.encode(r[1] or "", add_special_tokens=False).ids + [2] for r in odd_rows]
@@ -240,6 +244,17 @@ def test_patterns_place_every_piece_once(histogram):
     assert covered == Counter({(s, r, a): 1 for s, n in histogram.items() for r in range(n) for a in range(s)})
 
 
+def test_forgotten_words_are_learned_again(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED", 40)
+    own, tokenizer = packing.WordIds(packing.vocabulary_path("word_bpe_49k.json")), library("word_bpe_49k.json")
+    r = random.Random(1)
+    words = ["".join(r.choice("abcdeé9.$") for _ in range(r.randint(1, 9))) for _ in range(300)] + ["x" * 200, "Über,", "İx", "a<|endoftext|>"]
+    for _ in range(12):
+        texts = [" ".join(r.choice(words) for _ in range(30)) for _ in range(5)] + [None, ""]
+        want = [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, dtype="<u2").tobytes() for t in texts]
+        assert own(texts) == want and len(own.table.used) <= 40
+
+
 TEXT = st.text(st.sampled_from(list("aAbBtsS .,'’\n\t 1²Ⅷé́İıΣσßﬁάÅ\x1c\x85 ​　一😀<|>")), max_size=60)
 
 
