@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import math
 
+from pyspark.ml.feature import ElementwiseProduct, OneHotEncoder
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazardloom.columns import PANEL, PanelColumns
 from hazardloom.operators.keyed import lookup
+from hazardloom.operators.ranks import positions
+from hazardloom.session import discard, written
 
 UNKNOWN = "UNKNOWN"
-MAX_ONE_HOT = 500
+MAX_ONE_HOT = 500  # columns; a vector has no such limit
 
 
 def target_encoding(df: DataFrame, cols: PanelColumns = PANEL, whole: tuple[float, float] | None = None) -> tuple[DataFrame, float]:
@@ -58,6 +62,35 @@ def one_hot(df: DataFrame, column: str, categories: list[str]) -> DataFrame:
     return df.withColumns({f"{column}_{c}": F.col(column).eqNullSafe(F.lit(c)).cast("double") for c in categories})
 
 
+def category_table(df: DataFrame, column: str) -> DataFrame:
+    """(category, ``place``, ``n``) of every category in order, any number of them; written, with 0-based places."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    placed = positions(counts, [column], "place")
+    table = written(placed.select(column, "place", "n"), "places")
+    discard(placed)
+    return table
+
+
+def one_hot_vector(df: DataFrame, column: str, table: DataFrame, output: str, deviations: bool = True) -> DataFrame:
+    """Add a sparse vector with one entry per category of ``table``; unseen and missing values are all 0.
+
+    An entry is 1, or, with ``deviations``, 1 / the category's standard deviation over the rows that the table was made from. It is not
+    centred, which would fill the vector; a linear model's constant takes that up. The entries' sizes come to the driver, which
+    a model over them needs as well.
+    """
+    sizes = [r.n for r in table.orderBy("place").select("n").collect()]
+    rows = sum(sizes)
+    joined = lookup(df, table.select(column, "place"), column, "left")
+    placed = joined.select(*df.columns, F.coalesce("place", F.lit(len(sizes))).cast("double").alias("_place"))
+    encoder = OneHotEncoder(inputCols=["_place"], outputCols=[output], dropLast=True, handleInvalid="keep")
+    hot = encoder.fit(table.select(F.col("place").cast("double").alias("_place"))).transform(placed).drop("_place")
+    if not deviations:
+        return hot
+    inverse = [1 / (math.sqrt(n / rows * (1 - n / rows)) or 1.0) for n in sizes]
+    scaled = ElementwiseProduct(scalingVec=Vectors.dense(inverse), inputCol=output, outputCol="_scaled").transform(hot)
+    return scaled.drop(output).withColumnRenamed("_scaled", output)
+
+
 def moment_columns(columns: list[str]) -> list[Column]:
     return [agg for c in columns for agg in (F.avg(c).alias(f"mean_{c}"), F.stddev_pop(c).alias(f"std_{c}"))]
 

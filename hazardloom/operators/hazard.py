@@ -19,7 +19,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -261,10 +261,13 @@ def network_hazards(inputs: Column, layers, time_unit: float, times, relu: bool
 def predict_hazard(model: HazardModel, df: DataFrame, times=TIMES, output: str = "hazards") -> DataFrame:
     """Add the array of h(t), t on the grid.
 
-    Linear models and networks fill the array in place. Other classifiers see one row per device, day and grid point
+    Linear models and networks over plain columns fill the array in place. Other classifiers, and those with a vector among their
+    features, see one row per device, day and grid point
     and are gathered again inside their partition.
     """
     linear = model.linear
+    if any(isinstance(df.schema[c].dataType, VectorUDT) for c in model.features):
+        return _predict_by_rows(model, df, times, output)
     if linear is not None:
         coef, intercept = linear
         score = linear_score(dict(zip(model.features, coef)), intercept)

@@ -42,7 +42,8 @@ def daily_rows(df: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:
 
 @dataclass
 class PanelPrep:
-    """Settings of the preparation."""
+    """Settings of the preparation. ``season_vector`` encodes the season as one sparse vector, for any number of categories, instead of
+    one column for each of at most ``most_seasons``."""
 
     n_samples: int = TRAIN_SAMPLES
     nan_fraction: float = NAN_FRACTION
@@ -51,7 +52,8 @@ class PanelPrep:
     method: str = "bfill"
     seed: int = 42
     cols: PanelColumns = PANEL
-    most_seasons: int = E.MAX_ONE_HOT  # each season becomes a column; more are an error
+    most_seasons: int = E.MAX_ONE_HOT
+    season_vector: bool = False
 
     def fit(self, df: DataFrame) -> "FittedPrep":
         """Learn dropped columns, encodings and scaling from train rows."""
@@ -82,7 +84,8 @@ class PanelPrep:
         ).first()
         dropped = set(S.over_limit(facts, values, self.nan_fraction, self.unused))
         measures = [c for c in candidates if c not in dropped]
-        seasons = E.category_counts(rows, cols.season, self.most_seasons)
+        vector = E.category_table(rows, cols.season) if self.season_vector else None
+        seasons = {} if self.season_vector else E.category_counts(rows, cols.season, self.most_seasons)
         table, global_mean = E.target_encoding(rows, cols, (facts["_mean"], facts["_var"]))
         table = written(table, "categories")
 
@@ -92,7 +95,8 @@ class PanelPrep:
         for name, n in seasons.items():
             share = n / facts["_rows"]
             mean[f"{cols.season}_{name}"], std[f"{cols.season}_{name}"] = share, math.sqrt(share * (1 - share))
-        return FittedPrep(self, measures, list(seasons), list(mean), table, global_mean, mean, std), rows
+        features = [*mean, *([f"{cols.season}_vector"] if self.season_vector else [])]
+        return FittedPrep(self, measures, list(seasons), features, table, global_mean, mean, std, vector), rows
 
 
 @dataclass
@@ -105,6 +109,7 @@ class FittedPrep:
     global_mean: float
     mean: dict[str, float]
     std: dict[str, float]
+    places: DataFrame | None = None
 
     def transform(self, df: DataFrame, train: bool = False) -> DataFrame:
         """Prepared rows: device, time, label, scaled features, max_lifetime. Without a label the label steps are skipped.
@@ -122,10 +127,12 @@ class FittedPrep:
         cols = self.settings.cols
         label = [cols.label] if cols.label in rows.columns else []
         rows = rows.select(cols.id, cols.date, cols.time, *label, cols.category, cols.season, *self.measures)
-        rows = E.one_hot(E.target_encode(rows, self.categories, self.global_mean, cols), cols.season, self.seasons)
-        rows = E.scale(rows, self.mean, self.std)
+        rows = E.target_encode(rows, self.categories, self.global_mean, cols)
+        rows = E.scale(E.one_hot(rows, cols.season, self.seasons), self.mean, self.std)
         if train:
             rows = S.panel_sample(rows, self.settings.n_samples, self.settings.seed, cols)
+        if self.places is not None:
+            rows = E.one_hot_vector(rows, cols.season, self.places, f"{cols.season}_vector")
         out = [cols.id, cols.time, *label, *self.features]
         if not label:
             return rows.select(*out)
@@ -137,18 +144,22 @@ class FittedPrep:
         s = self.settings
         facts = {
             "n_samples": s.n_samples, "nan_fraction": s.nan_fraction, "unused": s.unused, "fill": s.fill, "method": s.method,
-            "seed": s.seed, "cols": vars(s.cols), "most_seasons": s.most_seasons, "measures": self.measures, "seasons": self.seasons, "features": self.features,
+            "seed": s.seed, "cols": vars(s.cols), "most_seasons": s.most_seasons,
+            "season_vector": s.season_vector, "measures": self.measures, "seasons": self.seasons, "features": self.features,
             "global_mean": self.global_mean, "mean": self.mean, "std": self.std,
         }
         spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode("overwrite").text(os.path.join(path, "facts"))
         self.categories.write.mode("overwrite").parquet(os.path.join(path, "categories"))
+        if self.places is not None:
+            self.places.write.mode("overwrite").parquet(os.path.join(path, "places"))
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "FittedPrep":
         f = json.loads(spark.read.text(os.path.join(path, "facts")).first()[0])
         settings = PanelPrep(
             f["n_samples"], f["nan_fraction"], f["unused"], f["fill"], f["method"], f["seed"], PanelColumns(**f["cols"]),
-            f.get("most_seasons", E.MAX_ONE_HOT),
+            f.get("most_seasons", E.MAX_ONE_HOT), f.get("season_vector", False),
         )
         table = spark.read.parquet(os.path.join(path, "categories"))
-        return FittedPrep(settings, f["measures"], f["seasons"], f["features"], table, f["global_mean"], f["mean"], f["std"])
+        places = spark.read.parquet(os.path.join(path, "places")) if settings.season_vector else None
+        return FittedPrep(settings, f["measures"], f["seasons"], f["features"], table, f["global_mean"], f["mean"], f["std"], places)

@@ -131,3 +131,32 @@ def test_transform_without_label_and_with_missing_column(raw):
     out = fitted.transform(raw.drop("failure", "smart_5_raw"))
     assert "failure" not in out.columns and out.count() == 1200
     assert out.select("smart_5_raw").distinct().count() == 1
+
+
+def test_ten_thousand_categories_as_a_sparse_vector(spark, tmp_path):
+    n = 10_000
+    rows_ = spark.range(3 * n).select(
+        (F.col("id") % 3000).cast("string").alias("serial_number"), F.expr("date_add(DATE'2024-01-01', CAST(id DIV 3000 AS INT))").alias("date"),
+        F.col("id").alias("row_key"), F.lit("m").alias("model"), F.format_string("s%05d", F.pmod(F.hash("id"), F.lit(n))).alias("season"),
+        (F.col("id") == 3 * n - 1).cast("int").alias("failure"), F.sin("id").alias("smart_1_raw"),
+    )
+    fitted, train = PanelPrep(season_vector=True).fit_transform(rows_)
+    fitted.save(str(tmp_path / "prep"))
+    again = FittedPrep.load(spark, str(tmp_path / "prep"))
+    unseen = rows_.withColumn("season", F.when(F.col("row_key") % 2 == 0, F.col("season")).when(F.col("row_key") % 3 == 0, "new"))
+    got = again.transform(unseen).select("serial_number", "time", "season_vector").collect()
+    counts = {r.season: r["count"] for r in rows_.groupBy("season").count().collect()}
+    names, season = sorted(counts), {r.row_key: r.season for r in rows_.collect()}
+    assert len(names) > 9_000 and {r.season_vector.size for r in got} == {len(names)}
+    for r in got[:200]:
+        key = int(r.serial_number) + 3000 * r.time
+        if key % 2:
+            assert r.season_vector.numNonzeros() == 0
+        else:
+            share = counts[season[key]] / (3 * n)
+            assert dict(zip(r.season_vector.indices.tolist(), r.season_vector.values)) == pytest.approx(
+                {names.index(season[key]): 1 / (share * (1 - share)) ** 0.5})
+    model = H.fit(train, maxIter=2)
+    assert model.features[-1] == "season_vector" and len(model.linear[0]) == len(names) + 3
+    curves = H.predict(model, again.transform(unseen).limit(3), [1, 2], mode="infer").collect()
+    assert len(curves) == 3 and all(0 < s <= 1 for r in curves for s in r.surv)
