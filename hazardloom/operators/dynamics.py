@@ -44,21 +44,26 @@ def na_rate_by_period(df: DataFrame, freq: str = "monthly", cols: PanelColumns =
 def survival_by_period(df: DataFrame, freq: str = "monthly", cols: PanelColumns = PANEL) -> DataFrame:
     """Share of the devices seen so far that have not failed so far.
 
-    Devices are reduced to first period and first failure period, those to counts per period; the running sums go over
-    that calendar-sized table only.
+    The rows are read once, into one group for their device and one for their period. Devices give the period of their first row and of
+    their first failure, periods the calendar; the running sums go over that calendar-sized table only.
     """
-    devices = df.where(F.col(cols.id).isNotNull()).groupBy(cols.id).agg(
-        F.min(period(freq, cols)).alias("_seen"), F.min(F.when(F.col(cols.label) == 1, period(freq, cols))).alias("_failed")
+    keyed = df.select(F.col(cols.id).alias("_id"), period(freq, cols).alias("_period"), F.col(cols.label).alias("_label"))
+    at = F.col("_period")
+    grouped = keyed.withColumn("_at", at).groupingSets([["_id"], ["_at"]], "_id", "_at").agg(
+        F.grouping_id().alias("_set"), F.min(at).alias("_seen"), F.min(F.when(F.col("_label") == 1, at)).alias("_failed")
     )
-    events = devices.select(F.explode(F.array(
-        F.struct(F.col("_seen").alias("period"), F.lit(1).alias("_s"), F.lit(0).alias("_f")),
-        F.struct(F.col("_failed").alias("period"), F.lit(0).alias("_s"), F.lit(1).alias("_f")),
-    )).alias("_e")).select("_e.*").where(F.col("period").isNotNull())
-    quiet = df.select(period(freq, cols).alias("period"), F.lit(0).alias("_s"), F.lit(0).alias("_f"))
-    calendar = events.unionByName(quiet).groupBy("period").agg(F.sum("_s").alias("_s"), F.sum("_f").alias("_f"))
+
+    def event(when: str, seen: int, failed: int) -> Column:
+        return F.struct(F.col(when).alias("period"), F.lit(seen).alias("_s"), F.lit(failed).alias("_f"))
+
+    events = F.when(F.col("_set") == 2, F.array(event("_at", 0, 0))).when(
+        F.col("_id").isNotNull(), F.array(event("_seen", 1, 0), event("_failed", 0, 1))
+    )
+    listed = grouped.select(F.explode(events).alias("_e")).select("_e.*").where("period IS NOT NULL OR _s + _f = 0")
+    calendar = listed.groupBy("period").agg(F.sum("_s").alias("_s"), F.sum("_f").alias("_f"))
     upto = Window.orderBy("period").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = calendar.select("period", F.sum("_s").over(upto).alias("_seen"), F.sum("_f").over(upto).alias("_failed"))
-    rate = (F.col("_seen") - F.col("_failed")) / F.col("_seen") * 100
+    rate = (F.col("_seen") - F.col("_failed")) / F.nullif(F.col("_seen"), F.lit(0)) * 100
     return running.select("period", rate.alias("survival_rate"), (100 - rate).alias("failure_rate"))
 
 
