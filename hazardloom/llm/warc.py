@@ -20,6 +20,7 @@ from hazardloom.session import written
 
 DICTIONARY_MAGIC = 0x184D2A5D  # the skippable frame that holds the dictionary
 SKIPPABLE = range(0x184D2A50, 0x184D2A60)
+MAX_RECORD = (1 << 31) - 1  # bytes of a record that is read: what a column can hold
 FRAME_MAGIC = 0xFD2FB528
 ARCHIVE_BYTES = 8_000_000  # plain bytes after which a new archive begins
 SAMPLE_BYTES, DICTIONARY_BYTES = 1_000_000, 16_384  # records a dictionary learns from, its size
@@ -75,8 +76,11 @@ def build_archive(records: list[bytes]) -> bytes:
 def _frame_end(data: memoryview, at: int) -> int:
     """Where the Zstandard frame at ``at`` ends, from its headers alone."""
     head = data[at : at + 18]
-    at += zstd.frame_header_size(head)
-    checksum = zstd.get_frame_parameters(head).has_checksum
+    try:
+        checksum = zstd.get_frame_parameters(head).has_checksum
+        at += zstd.frame_header_size(head)
+    except zstd.ZstdError as e:
+        raise WarcError(f"frame header at {at}: {e}") from e
     while True:
         if at + 3 > len(data):
             raise WarcError("archive ends inside a frame")
@@ -91,10 +95,30 @@ def _frame_end(data: memoryview, at: int) -> int:
     return at
 
 
-def read_records(content: bytes) -> Iterator[bytes]:
-    """The records of an archive, one for each frame. Skippable frames other than a leading dictionary are passed over."""
-    data, at, options = memoryview(content), 0, {}
-    unpack = zstd.ZstdDecompressor().decompress
+def _unpacked(frame: memoryview, unpack: zstd.ZstdDecompressor, most: int) -> bytes:
+    """Content of a frame, which need not name its size, if it has at most ``most`` bytes."""
+    try:
+        size = zstd.frame_content_size(frame)
+        if size > most:
+            raise WarcError(f"a frame of {size} bytes, more than {most}")
+        if size >= 0:
+            return unpack.decompress(frame)
+        with unpack.stream_reader(frame) as reader:
+            content = reader.read(most + 1)
+    except zstd.ZstdError as e:
+        raise WarcError(f"frame: {e}") from e
+    if len(content) > most:
+        raise WarcError(f"a frame of more than {most} bytes")
+    return content
+
+
+def read_records(content: bytes, most: int = MAX_RECORD) -> Iterator[bytes]:
+    """The records of an archive, one for each frame. Skippable frames other than a leading dictionary are passed over.
+
+    Frames may leave out their content's size, as streaming writers do. Whatever is damaged, and a record of more than ``most`` bytes, is a
+    ``WarcError``.
+    """
+    data, at, unpack = memoryview(content), 0, zstd.ZstdDecompressor()
     while at < len(data):
         if at + 8 > len(data):
             raise WarcError("archive ends inside a frame")
@@ -105,16 +129,12 @@ def read_records(content: bytes) -> Iterator[bytes]:
             if magic == DICTIONARY_MAGIC and at == 0:
                 raw = bytes(data[8 : 8 + size])
                 if raw[:4] == struct.pack("<I", FRAME_MAGIC):  # the dictionary may itself be compressed
-                    raw = unpack(raw)
-                options["dict_data"] = zstd.ZstdCompressionDict(raw)
-                unpack = zstd.ZstdDecompressor(**options).decompress
+                    raw = _unpacked(memoryview(raw), unpack, most)
+                unpack = zstd.ZstdDecompressor(dict_data=zstd.ZstdCompressionDict(raw))
             at += 8 + size
         elif magic == FRAME_MAGIC:
             end = _frame_end(data, at)
-            try:
-                yield unpack(data[at:end])
-            except zstd.ZstdError as e:
-                raise WarcError(f"frame at {at}: {e}") from e
+            yield _unpacked(data[at:end], unpack, most)
             at = end
         else:
             raise WarcError(f"no frame at {at}")
@@ -125,7 +145,10 @@ def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
     head, found, rest = record.partition(b"\r\n\r\n")
     if not found:
         raise WarcError("no end of headers")
-    version, *lines = head.decode().split("\r\n")
+    try:
+        version, *lines = head.decode().split("\r\n")
+    except UnicodeDecodeError as e:
+        raise WarcError(f"headers are no UTF-8: {e}") from e
     if not version.startswith("WARC/1."):
         raise WarcError(f"version {version[:20]!r}")
     headers = {}

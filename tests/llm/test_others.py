@@ -68,6 +68,28 @@ def test_dictionary_frames():
             list(warc.read_records(broken))
 
 
+def test_frames_of_streaming_writers_and_damage():
+    records = [warc.record_bytes(i, f"http://h/{i}", b"<html>" + b"x" * (i * 4000), "0" * 40, None) for i in range(40)]
+    streamed = []
+    for r in records:
+        writer = zstandard.ZstdCompressor(write_content_size=False, write_checksum=True).compressobj()
+        streamed.append(writer.compress(r) + writer.flush())
+    assert zstandard.frame_content_size(streamed[0]) == -1
+    assert list(warc.read_records(b"".join(streamed))) == records
+    with pytest.raises(warc.WarcError, match="more than"):
+        list(warc.read_records(b"".join(streamed), most=1000))
+    with pytest.raises(warc.WarcError, match="more than"):
+        list(warc.read_records(zstandard.ZstdCompressor().compress(records[-1]), most=1000))
+    whole = b"".join(streamed)
+    for at in (4, 5, 9, 20, len(streamed[0]) + 4):  # one byte of a header or of content changed
+        broken = whole[:at] + bytes([whole[at] ^ 0xFF]) + whole[at + 1 :]
+        with pytest.raises(warc.WarcError):
+            for r in warc.read_records(broken):
+                warc.checked_page(r)
+    with pytest.raises(warc.WarcError, match="UTF-8"):
+        warc.parse_record(records[0].replace(b"http://h/0", b"http://\xff/"))
+
+
 @pytest.mark.parametrize("change", [
     (b"WARC/1.1", b"HTTP/1.1"), (b"Content-Length: 5", b"Content-Length: 6"), (b"Content-Length: 5", b"Content-Length: x"),
     (b"WARC-Type: response\r\n", b""), (b"WARC-Date", b"WARC Date no colon\r\nX"), (b"hello", b"hullo"), (b"<urn:page:1>", b"<urn:uuid:1>"),
