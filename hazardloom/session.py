@@ -33,9 +33,13 @@ def local_session(cpus: int = 8, name: str = "hazardloom") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder of this application that all executors see; its files go when the Python process ends.
 
-    It lies in ``spark.checkpoint.dir``, or where that is unset in ``spark.sql.warehouse.dir``, which executors share too.
+    It lies in ``spark.checkpoint.dir``, or where that is unset in ``spark.sql.warehouse.dir``; a local path there is an error on a cluster.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = spark.conf.get("spark.sql.warehouse.dir")
+        if not spark.sparkContext.master.startswith("local") and root.startswith(("/", "file:")):
+            raise ValueError(f"executors may not share {root}: name a shared folder in spark.checkpoint.dir")
     folder = os.path.join(root, f"hazardloom-{spark.sparkContext.applicationId}")
     if folder not in _FOLDERS:
         _FOLDERS.add(folder)
