@@ -16,13 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazardloom.llm.vectors import stacked, usable
+from hazardloom.llm.vectors import HIGHEST, LOWEST, products, stacked, usable
 from hazardloom.session import written
 
 BLOCK, ANCHORS = 4096, 4096  # rows and anchors that meet in one task
 SLICE = 256  # anchors scored at once
-EXACT = 2.0**53  # doubles hold all integers up to here
-LOWEST, HIGHEST = -(2**63), 2**63 - 1
 KEY = ">QQBQ"
 
 
@@ -41,17 +39,6 @@ def window(positive: int, least: int, most: int) -> tuple[int, int]:
     return -(-least * positive // 100), most * positive // 100
 
 
-def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Integer inner products of whole-number rows, exact; those beyond 64 bits are bound to them."""
-    rough = q @ x.T
-    if np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[1] < EXACT:
-        return rough.astype(np.int64)
-    wrap = [np.fmod(v, 2.0**64) for v in (q, x)]  # whole numbers modulo 2^64, whose products wrap to the right 64 bits
-    a, b = [np.where(v < 0, v + 2.0**64, v).astype(np.uint64) if (np.abs(v) >= 2.0**63).any() else v.astype(np.int64).view(np.uint64) for v in wrap]
-    exact = (a @ b.T).view(np.int64)
-    return np.where(rough >= 2.0**63, HIGHEST, np.where(rough < -(2.0**63), LOWEST, exact))
-
-
 def first_of(scores: np.ndarray, fits: np.ndarray, k: int) -> np.ndarray:
     """Places of the k largest scores among those that fit, ties to the earlier place."""
     at = np.flatnonzero(fits)

@@ -12,11 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazardloom.llm.vectors import best, queries_of, ranked, stacked, usable
+from hazardloom.llm.vectors import EXACT, best, products, queries_of, ranked, stacked, usable
 
 STRIPE, GROUP = 4096, 512  # vectors and queries of a work unit
 BLOCK = 8  # dimensions added at once
-EXACT = 2.0**53  # doubles hold all integers up to here
 
 
 def search_stripe(x: np.ndarray, ids: np.ndarray, q: np.ndarray, query_ids: np.ndarray, k: int, block: int = BLOCK):
@@ -53,14 +52,15 @@ def search_stripe(x: np.ndarray, ids: np.ndarray, q: np.ndarray, query_ids: np.n
     return [np.concatenate(c) if c else np.zeros(0) for c in zip(*out, strict=True)] if out else [np.zeros(0)] * 3, share
 
 
-def _big_numbers(x: np.ndarray, ids: np.ndarray, q: np.ndarray, query_ids: np.ndarray, k: int):
-    """As ``search_stripe`` for products that doubles don't hold: whole Python numbers, scores bound to 64 bits."""
-    xs, rows = [[int(v) for v in r] for r in x], []
-    for qid, r in zip(query_ids.tolist(), q, strict=True):
-        r = [int(v) for v in r]
-        found = [(min(max(sum(map(int.__mul__, r, c)), -(2**63)), 2**63 - 1), i) for c, i in zip(xs, ids.tolist(), strict=True) if i != qid]
-        rows += [(qid, i, s) for s, i in sorted(found, key=lambda t: (-t[0], t[1]))[:k]]
-    return [np.array([r[j] for r in rows], dtype=np.int64) for j in range(3)]
+def search_whole(x: np.ndarray, ids: np.ndarray, q: np.ndarray, query_ids: np.ndarray, k: int):
+    """As ``search_stripe`` for products that doubles don't hold: all are made, modulo 2^64, and bound to 64 bits beyond."""
+    out = []
+    for at in range(0, len(q), 64):
+        for query, scores in zip(query_ids[at : at + 64], products(q[at : at + 64], x), strict=True):
+            other = np.flatnonzero(ids != query)
+            top = other[np.lexsort((ids[other], ~scores[other]))[:k]]  # ~s falls as s rises, at every 64-bit number
+            out.append((np.full(len(top), query), ids[top], scores[top]))
+    return [np.concatenate(c) for c in zip(*out, strict=True)]
 
 
 def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, id_col: str = "vec_id",
@@ -90,7 +90,7 @@ def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float =
         elif np.abs(x).max() * np.abs(q).max() * x.shape[1] < EXACT:
             got = search_stripe(x, ids, q, query_ids, k)[0]
         else:
-            got = _big_numbers(x, ids, q, query_ids, k)
+            got = search_whole(x, ids, q, query_ids, k)
         return pa.table([pa.array(c.astype(np.int64)) for c in got], names=["query_id", "vec_id", "score"])
 
     found = candidates.groupBy("g", "s").cogroup(asked.groupBy("g", "s")).applyInArrow(unit, "query_id bigint, vec_id bigint, score bigint")
