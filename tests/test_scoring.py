@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hazardloom.functions import expected_time, linear_hazards, survival_curve
 from hazardloom.functions.dominance import exact_dot
+from hazardloom.operators import ranks as R
 from hazardloom.operators import scoring as C
 
 
@@ -95,3 +96,36 @@ def test_brier(spark):
     got = [r.brier for r in curve.orderBy("t").collect()]
     assert got == pytest.approx(want)
     assert C.integrated_brier(curve).first()[0] == pytest.approx(np.trapezoid(want, times) / 6)
+
+
+def test_ranks_and_sums_on_two_levels(spark):
+    rng = np.random.default_rng(5)
+    values = [None if v < 0.05 else round(float(v), 2) for v in rng.random(700)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(5)
+    ranked, n = R.dense_ranks(df, "v")
+    order = sorted({v for v in values if v is not None})
+    assert n == len(order) and sorted(map(tuple, ranked.collect())) == [(v, i) for i, v in enumerate(order)]
+    rows_ = [(g, p, int(rng.integers(0, 9))) for g in ("a", "b") for p in rng.permutation(97)[:60].tolist()]
+    table = spark.createDataFrame(rows_, "g string, p long, w long")
+    for groups in (["g"], []):
+        source = table if groups else table.where("g = 'a'")
+        got = {(r.g, r.p): r.above for r in R.sums_above(source, groups, "p", "w", 97).collect()}
+        assert got == {(g, p): sum(w for h, q, w in rows_ if h == g and q > p) for g, p, _ in rows_ if groups or g == "a"}
+    plan = R.sums_above(table, ["g"], "p", "w", 97)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+
+
+def test_both_scores_read_the_curves_once(spark):
+    times = [1, 2, 4]
+    data = [(1.5, True, [0.9, 0.5, 0.2]), (3.0, False, [0.8, 0.7, 0.6]), (5.0, False, [1.0, 0.9, 0.8]), (2.0, True, None), (None, True, [0.5, 0.4, 0.3])]
+    curves = spark.createDataFrame(data, "duration double, failure boolean, surv array<double>").repartition(3)
+    got = {r.t: (r.brier, r.n_known) for r in C.brier_curve(curves, times).collect()}
+    want = {}
+    for i, t in enumerate(times):
+        known = [(d, s) for d, e, s in data if s is not None and ((d is not None and d > t) or e)]
+        want[t] = (sum((float(d is not None and d > t) - s[i]) ** 2 for d, s in known) / len(known), len(known))
+    assert got == {t: (pytest.approx(b), n) for t, (b, n) in want.items()}
+    plan = C.scored_facts(curves, times)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Generate" not in plan
+    r = C.score_predictions(curves, times).first()
+    assert r.ci == 1.0 and r.ibs == pytest.approx(sum((want[a][0] + want[b][0]) / 2 * (b - a) for a, b in zip(times, times[1:])) / 3)
