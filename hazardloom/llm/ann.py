@@ -115,10 +115,12 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     don't) but those with the query's own id. About sqrt(n) lists are fitted on a sample of at most ``sample`` vectors, and every
     vector is put in its list. A query probes its nearest lists, as many as the sample needs for ``recall`` and until they hold
     8k vectors. Lists are scanned in parts of bounded size for groups of queries of bounded size. If there are no more
-    than 8k candidates, all of them are scanned. An empty table gives no rows.
+    than 8k candidates, all of them are scanned. There are at most ``sample`` / PER_CENTRE lists, so beyond the square of that number of
+    vectors ``sample`` should grow with the root of the table. Repeated rows are candidates as often as they come, a repeated query
+    asks with its smallest vector; null ids take no part; other columns are not read. An empty table gives no rows.
     """
     rows, _, dim = usable(vectors, id_col, vec_col)
-    rows = rows.where(F.exists("vec", lambda v: v != 0))
+    rows = written(rows.where(F.exists("vec", lambda v: v != 0)), "usable")  # five passes follow
     square = F.aggregate("vec", F.lit(0.0), lambda a, v: a + v * v)
     n, norm = rows.agg(F.count(F.lit(1)), F.max(F.sqrt(square))).first()
     if not n:

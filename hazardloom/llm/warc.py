@@ -294,6 +294,7 @@ def archived_pages(pages: DataFrame, **columns) -> DataFrame:
 
     A null payload is empty. Rows without id are never referred to while a row with an id has the same payload; equal
     payloads without any id are responses. Repeated rows that hold the largest id are responses. An empty table makes no archive.
+    Pages of any length that a column can hold are one record each; other columns are not read.
     """
     archives = written(write_archives(with_keepers(pages, **columns)), "archives")
     return read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
