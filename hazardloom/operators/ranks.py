@@ -11,7 +11,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazardloom.session import discard, written
+from hazardloom.session import written
 
 _PLACE_BITS = 33  # of monotonically_increasing_id, below the partition
 
@@ -40,9 +40,7 @@ def positions(df: DataFrame, order: list[str], output: str = "_index") -> DataFr
 
 def dense_ranks(df: DataFrame, column: str, output: str = "rank") -> tuple[DataFrame, int]:
     """Every distinct value of a column that is not null with its 0-based rank, and how many there are."""
-    placed = positions(df.select(column).where(F.col(column).isNotNull()).distinct(), [column], output)
-    ranked = written(placed, "ranks")
-    discard(placed)
+    ranked = positions(df.select(column).where(F.col(column).isNotNull()).distinct(), [column], output)
     return ranked, ranked.count()
 
 

@@ -61,7 +61,7 @@ def concordance(
 
     # counts per bucket and outcome code; only events are left members
     counts = [F.sum(F.when(F.col("c") % 2 == 0, F.col("n")).otherwise(0)).alias("ni"), F.sum("n").alias("nj")]
-    cells = written(coded.groupBy("b", "c").agg(*counts), "cells")
+    cells = coded.groupBy("b", "c").agg(*counts)
     right = F.expr("shiftright(b, k) & 1 = 1")
     sides = (
         cells.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(max(buckets.bit_length() - 1, 0)))))
@@ -69,14 +69,14 @@ def concordance(
         .agg(F.sum(F.when(~right, F.col("ni")).otherwise(0)).alias("ni"), F.sum(F.when(right, F.col("nj")).otherwise(0)).alias("nj"))
     )
     across = sums_above(sides, ["k", "pre"], "c", "nj", 2 * n_durations, "_after").agg(_product("ni", "_after").alias("concordant"))
-    whole = cells.groupBy("c").agg(F.sum("ni").alias("ni"), F.sum("nj").alias("nj"))  # one row per outcome code
+    whole = coded.groupBy("c").agg(*counts)  # one row per outcome code
     pairs = sums_above(whole, [], "c", "nj", 2 * n_durations, "_later").agg(_product("ni", "_later").alias("pairs"))
 
     parts = inside.unionByName(across, allowMissingColumns=True).unionByName(pairs, allowMissingColumns=True)
     total = parts.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast(_EXACT).alias(c) for c in ("pairs", "concordant", "tied")])
     ci = (F.col("concordant").cast("double") + F.col("tied").cast("double") / 2) / F.nullif(F.col("pairs").cast("double"), F.lit(0.0))
     result = written(total.withColumn("ci", ci), "concordance")
-    for table in (points, codes, coded, cells):
+    for table in (points, codes, coded):
         discard(table)
     return result
 
@@ -84,12 +84,13 @@ def concordance(
 _FACTS = "duration double, event boolean, predicted double, errors array<double>, known array<bigint>"
 
 
-def scored_facts(predictions: DataFrame, times=TIMES, cols: PanelColumns = PANEL) -> DataFrame:
+def scored_facts(predictions: DataFrame, times=TIMES, cols: PanelColumns = PANEL, rows: bool = True) -> DataFrame:
     """What both scores need, in one pass over the curves: per row its duration, event and expected time, and per task one more row
     with the sums of squared errors and the numbers of rows with known status at every grid point (``errors``, ``known``).
 
     The sums of tasks add up, so a curve is read once and never unrolled into rows. S(t) is compared with 1 for rows still running after
-    t and with 0 for failed rows; rows censored by t are left out. Rows without a curve are left out altogether.
+    t and with 0 for failed rows; rows censored by t are left out. Rows without a curve are left out altogether. Without
+    ``rows`` only the tasks' sums come.
     """
     grid = np.asarray(times, dtype=float)
 
@@ -104,6 +105,8 @@ def scored_facts(predictions: DataFrame, times=TIMES, cols: PanelColumns = PANEL
             seen = alive | b.column(1).fill_null(False).to_numpy(zero_copy_only=False)[:, None]
             errors += np.where(seen, (alive - surv) ** 2, 0.0).sum(axis=0)
             known += seen.sum(axis=0)
+            if not rows:
+                continue
             area = pa.array(np.trapezoid(surv, x=grid, axis=1))
             none = [pa.nulls(b.num_rows, pa.list_(t)) for t in (pa.float64(), pa.int64())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), area, *none], names=names)
@@ -111,24 +114,21 @@ def scored_facts(predictions: DataFrame, times=TIMES, cols: PanelColumns = PANEL
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.float64()), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.float64()), *sums], names=names)
 
     names = ["duration", "event", "predicted", "errors", "known"]
-    rows = predictions.select(F.col("duration").cast("double"), F.col(cols.label).cast("boolean"), F.col("surv").cast("array<double>"))
-    return rows.mapInArrow(each, _FACTS)
+    needed = predictions.select(F.col("duration").cast("double"), F.col(cols.label).cast("boolean"), F.col("surv").cast("array<double>"))
+    return needed.mapInArrow(each, _FACTS)
 
 
 def brier_of(facts: DataFrame, times=TIMES) -> DataFrame:
     """(t, brier, n_known) from the tasks' sums in ``scored_facts``; grid points at which no row is known are left out."""
-    at = range(len(times))
-    sums = facts.where(F.col("errors").isNotNull()).agg(
-        F.array(*[F.sum(F.get("errors", F.lit(i))) for i in at]).alias("errors"), F.array(*[F.sum(F.get("known", F.lit(i))) for i in at]).alias("known")
-    )
     grid = F.array(*[F.lit(int(t)).alias("t") for t in times]).alias("t")
-    points = sums.select(F.inline(F.arrays_zip(grid, "errors", "known")))  # one row becomes the grid
-    return points.where("known > 0").select("t", (F.col("errors") / F.col("known")).alias("brier"), F.col("known").alias("n_known"))
+    sums = facts.where(F.col("errors").isNotNull()).select(F.inline(F.arrays_zip(grid, "errors", "known")))  # one row per task becomes the grid
+    points = sums.groupBy("t").agg(F.sum("errors").alias("errors"), F.sum("known").alias("known")).where("known > 0")
+    return points.select("t", (F.col("errors") / F.col("known")).alias("brier"), F.col("known").alias("n_known"))
 
 
 def brier_curve(predictions: DataFrame, times=TIMES, cols: PanelColumns = PANEL) -> DataFrame:
     """(t, brier, n_known): mean squared error of S(t) over the rows whose status at t is known."""
-    return brier_of(scored_facts(predictions, times, cols), times)
+    return brier_of(scored_facts(predictions, times, cols, rows=False), times)
 
 
 def integrated_brier(curve: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ All decisions are made on one row per device; panel rows are only touched when a
 from __future__ import annotations
 
 from datetime import date as Date
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,16 +72,17 @@ def stratify(facts: DataFrame, test_size: float = TEST_SIZE, seed: int = 42, col
         F.sum("_n").over(by_label.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_upto"),
         F.round(F.sum("_n").over(by_label) * F.lit(test_size)).alias("_cut"),
     )
-    # where the cut falls; of the devices before it all, of those in it ``_need`` are test devices
-    beyond = sizes.where("_upto > _cut").groupBy("label").agg(F.min(F.struct("_prefix", (F.col("_cut") - F.col("_upto") + F.col("_n")).alias("_need"))).alias("m"))
-    edge = written(beyond.select("label", "m.*"), "edge")
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("_hash"))
-    inside = prefixed.join(F.broadcast(edge), ["label", "_prefix"]).withColumn("_rank", rank).where("_rank = _need")
-    last = edge.join(inside.select("label", F.col("_hash").alias("_last")), "label", "left")
-    last = last.select("label", F.coalesce("_last", "_prefix").alias("_last"), F.lit(True).alias("_cuts"))
-    joined = hashed.join(F.broadcast(last), "label", "left")  # a label without a cut is all test
-    test = F.col("_cuts").isNull() | (F.col("_hash") <= F.col("_last"))
-    return joined.select(*facts.columns, F.when(test, "test").otherwise("train").alias("split"))
+    # where the cut falls; of the devices before it all, of those in it ``need`` are test devices. One row per label comes to the driver.
+    found = sizes.where("_upto > _cut").groupBy("label").agg(F.min(F.struct("_prefix", (F.col("_cut") - F.col("_upto") + F.col("_n")).alias("need"))).alias("m"))
+    edges = {r.label: (r.m["_prefix"], int(r.m["need"])) for r in found.collect()}
+    last = {label: prefix for label, (prefix, _) in edges.items()}  # where no device of the prefix is a test device
+    wanted = [(F.col("label") == label) & (F.col("_prefix") == prefix) for label, (prefix, need) in edges.items() if need]
+    if wanted:
+        ranked = prefixed.where(reduce(or_, wanted)).withColumn("_rank", F.row_number().over(by_label.orderBy("_hash")))
+        need = reduce(or_, [(F.col("label") == label) & (F.col("_rank") == n) for label, (_, n) in edges.items()])
+        last |= {r.label: r["_hash"] for r in ranked.where(need).select("label", "_hash").collect()}
+    train = reduce(or_, [(F.col("label") == label) & (F.col("_hash") > h) for label, h in last.items()], F.lit(False))
+    return hashed.select(*facts.columns, F.when(train, "train").otherwise("test").alias("split"))  # a label without a cut is all test
 
 
 def stratified_split(df: DataFrame, test_size: float = TEST_SIZE, seed: int = 42, cols: PanelColumns = PANEL) -> DataFrame:
