@@ -128,6 +128,29 @@ def test_exact_top_k(spark, scale, sizes):
     assert topk.exact_top_k(frame.limit(0)).count() == 0
 
 
+def test_bands_of_norms_leave_pairs_out_and_lose_nothing(spark):
+    """Norms that differ much, ties, repeated rows and one id on a third of all rows; few pilot vectors and bands of few rows."""
+    r = np.random.default_rng(12)
+    x = np.round(r.standard_normal((900, 8)) * np.exp(r.uniform(-4, 1, 900))[:, None], 2)
+    x[200:300] = x[100]
+    ids = np.where(np.arange(900) < 600, np.arange(900), 75)
+    frame = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>").repartition(5)
+    whole, want = np.floor(256 * x).astype(int), []
+    for q in range(0, 600, 50):
+        found = sorted((-int(whole[q] @ c), int(i)) for i, c in zip(ids, whole) if i != q)[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found)]
+    for sizes in ({}, {"stripe": 40, "group": 3, "pilot": 30, "bands": 20}, {"pilot": 3, "bands": 1}):
+        got = topk.exact_top_k(frame, **sizes).orderBy("query_id", "rank").collect()
+        assert [(g.query_id, g["rank"], g.vec_id, g.score) for g in got] == want
+
+
+def test_groups_by_reach():
+    first, number, met = topk.groups_by_reach([2, 0, 5, 1, 0, 7], 4)  # queries that reach 0 to 5 bands
+    assert (first[5], number[5]) == (0, 2) and (first[2], number[2]) == (first[3], number[3]) == (2, 2) and first[0] == 4
+    assert met == [4, 4, 4, 2, 2]
+    assert topk.groups_by_reach([0, 0, 3], 4)[2] == [1, 1] and topk.groups_by_reach([3, 0], 4)[2] == [0]
+
+
 def test_bounds_leave_candidates_out():
     x = np.floor(256 * np.random.default_rng(7).standard_normal((3000, 64)) * np.linspace(2, 0.05, 64))
     got, share = topk.search_stripe(x, np.arange(3000), x[:20], np.arange(20), 5)
