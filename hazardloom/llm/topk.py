@@ -20,7 +20,7 @@ from hazardloom.session import written
 
 STRIPE, GROUP = 4096, 512  # vectors and queries of a work unit
 PILOT = 2048  # vectors of the largest norms, which give each query its first bar
-BANDS = 64  # bands of norms
+BANDS = 64  # bands of norms, at most; a band holds a stripe or more
 SLACK = 1e-9  # what doubles may be off in norms and their products, as a share
 BLOCK = 8  # dimensions added at once
 
@@ -30,37 +30,41 @@ def search_stripe(x: np.ndarray, ids: np.ndarray, q: np.ndarray, query_ids: np.n
 
     Scores below a query's entry in ``bars`` are of no use to it and may be left out.
     """
-    m, dim = q.shape
-    bars = np.full(m, -np.inf) if bars is None else bars
-    seeds = min(len(ids), 16 * k)
+    (m, dim), n = q.shape, len(ids)
+    seeds = min(n, 16 * k)
     ends = [*range(block, dim, block), dim]
-    rest_x = [np.sqrt((x[:, e:] ** 2).sum(axis=1)) for e in ends]
+    starts = [0, *ends[:-1]]
+    rest_x = [np.sqrt((x[:, e:] ** 2).sum(axis=1)) * (1 + SLACK) for e in ends]
     rest_q = [np.sqrt((q[:, e:] ** 2).sum(axis=1)) for e in ends]
     columns = np.ascontiguousarray(x.T)
-    first = q @ columns[:, :seeds]
-    start = q[:, : ends[0]] @ columns[: ends[0]]
-    out, made = [], 0
+    own = query_ids[:, None] == ids[None, :]
+    bars = np.full(m, -np.inf) if bars is None else bars
+    if seeds >= k:
+        known = np.where(own[:, :seeds], -np.inf, q @ columns[:, :seeds])
+        bars = np.maximum(bars, np.partition(known, seeds - k, axis=1)[:, seeds - k])
+    partial, made = np.zeros((m, n)), 0
+    for b, (s, e) in enumerate(zip(starts, ends, strict=True)):  # all pairs at once, until most are out
+        partial += q[:, s:e] @ columns[s:e]
+        made += m * n * (e - s)
+        alive = partial + 1e-6 >= bars[:, None] - rest_q[b][:, None] * rest_x[b][None, :]
+        if 4 * np.count_nonzero(alive) < m * n:
+            break
+    alive &= ~own
+    out = []
     for i in range(m):
-        own = ids == query_ids[i]
-        known = np.where(own[:seeds], -np.inf, first[i])
-        bar = max(bars[i], np.partition(known, -k)[-k]) if seeds >= k else bars[i]
-        alive, partial = np.flatnonzero(~own), start[i]
-        partial = partial[alive]
-        for b, e in enumerate(ends):
-            if b:
-                partial = partial + q[i, ends[b - 1] : e] @ columns[ends[b - 1] : e][:, alive]
-            made += len(alive) * (e - (ends[b - 1] if b else 0))
-            reach = rest_q[b][i] * rest_x[b][alive]
-            stay = partial + reach * (1 + 1e-9) + 1e-6 >= bar
-            if not stay.all():
-                alive, partial = alive[stay], partial[stay]
-            if k <= len(alive) and b + 1 < len(ends):  # what is sure already may raise the bar
-                sure = np.partition(partial - rest_q[b][i] * rest_x[b][alive] * (1 + 1e-9) - 1e-6, -k)[-k]
-                bar = max(bar, sure)
-        top = best(partial, ids[alive], k)
-        out.append((np.full(len(top), query_ids[i]), ids[alive][top], partial[top]))
-    share = made / max(1, m * len(ids) * dim)
-    return [np.concatenate(c) if c else np.zeros(0) for c in zip(*out, strict=True)] if out else [np.zeros(0)] * 3, share
+        at, bar = np.flatnonzero(alive[i]), bars[i]
+        sums = partial[i, at]
+        for c in range(b + 1, len(ends)):  # the few left, compacted for each query
+            if k <= len(at):  # what is sure already may raise the bar
+                bar = max(bar, np.partition(sums - rest_q[c - 1][i] * rest_x[c - 1][at] - 1e-6, -k)[-k])
+            sums = sums + q[i, starts[c] : ends[c]] @ columns[starts[c] : ends[c], at]
+            made += len(at) * (ends[c] - starts[c])
+            stay = sums + rest_q[c][i] * rest_x[c][at] + 1e-6 >= bar
+            at, sums = at[stay], sums[stay]
+        top = best(sums, ids[at], k)
+        out.append((np.full(len(top), query_ids[i]), ids[at][top], sums[top]))
+    share = made / max(1, m * n * dim)
+    return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0)] * 3, share
 
 
 def search_whole(x: np.ndarray, ids: np.ndarray, q: np.ndarray, query_ids: np.ndarray, k: int):
@@ -131,6 +135,7 @@ def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float =
 
     held = rows.mapInArrow(whole, "id bigint, vec array<double>, norm double")
     held = written(held.withColumn("row", F.monotonically_increasing_id()), "whole")
+    bands = min(bands, -(-n // stripe))
     edges = held.agg(F.percentile_approx("norm", [1 - i / bands for i in range(1, bands)])).first()[0] if bands > 1 else []
     edges = sorted(set(edges), reverse=True)  # band b holds norms from edges[b] up that no band before it holds
     lit = lambda values, kind: F.lit(list(values)).cast(f"array<{kind}>")
