@@ -10,9 +10,9 @@ from hazardloom.functions.scalars import (
     sigmoid,
     whole_days,
 )
-from hazardloom.functions.curves import expected_time, linear_hazards, survival_curve
+from hazardloom.functions.curves import expected_time, linear_hazards, rounded_curve, survival_curve
 
 __all__ = [
     "elapsed_days", "expected_time", "hash_order", "linear_hazards", "missing", "month_name", "nan_to_null", "number_or_zero",
-    "sigmoid", "survival_curve", "whole_days",
+    "rounded_curve", "sigmoid", "survival_curve", "whole_days",
 ]

@@ -8,6 +8,7 @@ every step (159^2/2 copies per row) and measured eight times slower.
 from __future__ import annotations
 
 import sys
+from decimal import ROUND_HALF_UP, Context, Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _ARRAY = T.ArrayType(T.DoubleType())
+SLICE = 1000  # rows of a batch computed at once, which bounds what a worker holds besides its batch
 
 # the batch functions travel to the executors by value, so the package need not be installed there
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -32,15 +34,21 @@ def as_arrays(matrix: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(matrix).ravel()))
 
 
+def slices(rows: int) -> list[slice]:
+    return [slice(at, min(rows, at + SLICE)) for at in range(0, rows, SLICE)]
+
+
 def linear_hazards(score: Column, time_weight: float, times) -> Column:
     """h(t) = sigmoid(score + time_weight * t) for every t of the grid."""
     drift = float(time_weight) * np.asarray(times, dtype=float)
 
     @F.arrow_udf(_ARRAY)
     def hazards(score: pa.Array) -> pa.Array:
-        z = score.to_numpy(zero_copy_only=False)[:, None] + drift[None, :]
+        z, out = score.to_numpy(zero_copy_only=False), np.empty((len(score), len(drift)))
         with np.errstate(over="ignore"):
-            return as_arrays(1.0 / (1.0 + np.exp(-z)))
+            for at in slices(len(z)):
+                out[at] = 1.0 / (1.0 + np.exp(-(z[at, None] + drift[None, :])))
+        return as_arrays(out)
 
     return hazards(score)
 
@@ -50,7 +58,11 @@ def survival_curve(hazards: Column, steps: int) -> Column:
 
     @F.arrow_udf(_ARRAY)
     def survive(hazards: pa.Array) -> pa.Array:
-        return as_arrays(np.exp(-np.cumsum(as_matrix(hazards, steps), axis=1)))
+        h = as_matrix(hazards, steps)
+        out = np.empty(h.shape)
+        for at in slices(len(h)):
+            out[at] = np.exp(-np.cumsum(h[at], axis=1))
+        return as_arrays(out)
 
     return survive(hazards)
 
@@ -64,3 +76,34 @@ def expected_time(curve: Column, times) -> Column:
         return pa.array(np.trapezoid(as_matrix(curve, len(grid)), x=grid, axis=1))
 
     return area(curve)
+
+
+def half_up(values: np.ndarray, digits: int) -> np.ndarray:
+    """Each value rounded as Spark's ``round`` does: half away from zero, by the shortest decimal that reads back as the value."""
+    unit = 10.0**digits
+    scaled = np.abs(values) * unit
+    low = np.floor(scaled)
+    part = scaled - low
+    out = np.copysign((low + (part >= 0.5)) / unit, values)
+    # the product is not exact: values near a half, and large ones, are decided on their decimals
+    for i in np.argwhere((np.abs(part - 0.5) < 1e-6) | ~(scaled < 1e9)):
+        v = values[tuple(i)]
+        if np.isfinite(v):
+            out[tuple(i)] = float(Decimal(repr(float(v))).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP, Context(prec=400)))
+        else:
+            out[tuple(i)] = v
+    return out
+
+
+def rounded_curve(curve: Column, steps: int, digits: int) -> Column:
+    """The curve with every point rounded as by ``round``, without a decimal per point."""
+
+    @F.arrow_udf(_ARRAY)
+    def rounded(curve: pa.Array) -> pa.Array:
+        s = as_matrix(curve, steps)
+        out = np.empty(s.shape)
+        for at in slices(len(s)):
+            out[at] = half_up(s[at], digits) + 0.0
+        return as_arrays(out)
+
+    return rounded(curve)

@@ -53,9 +53,30 @@ def ordered_pairs(code: np.ndarray, value: np.ndarray, weight: np.ndarray) -> tu
     return above_sum, beside_sum
 
 
+_EXACT = pa.decimal128(38, 0)
+
+
+def _codes(points: pa.Table) -> np.ndarray:
+    """Outcomes (d, e) as whole numbers in their order, events even."""
+    d, e = (points.column(x).to_numpy() for x in ("d", "e"))
+    return np.unique(d, return_inverse=True)[1] * 2 + e
+
+
+def _one_row(**counts: int) -> pa.Table:
+    return pa.table({name: pa.array([Decimal(x)], _EXACT) for name, x in counts.items()})
+
+
 def bucket_counts(points: pa.Table) -> pa.Table:
-    """One row (concordant, tied) for the points (c, p, n) of a bucket."""
-    c, p, n = (points.column(x).to_numpy() for x in ("c", "p", "n"))
-    counts = ordered_pairs(c, p, n)
-    exact = pa.decimal128(38, 0)
-    return pa.table({name: pa.array([Decimal(x)], exact) for name, x in zip(("concordant", "tied"), counts)})
+    """One row (concordant, tied) for the points (d, e, p, n) of a range of the prediction."""
+    above, beside = ordered_pairs(_codes(points), points.column("p").to_numpy(), points.column("n").to_numpy())
+    return _one_row(concordant=above, tied=beside)
+
+
+def span_counts(cells: pa.Table) -> pa.Table:
+    """One row (pairs, concordant) for the cells (d, e, b, n) of a range of the outcome: all pairs, and those whose ranges ``b`` ascend."""
+    code, n = _codes(cells), cells.column("n").to_numpy()
+    above, _ = ordered_pairs(code, cells.column("b").to_numpy(), n)
+    at = np.argsort(code, kind="stable")
+    code, n = code[at], n[at]
+    later = np.concatenate([np.cumsum(n[::-1])[::-1], [0]])[np.searchsorted(code, code, side="right")]
+    return _one_row(pairs=exact_dot(np.where(code % 2 == 0, n, 0), later), concordant=above)

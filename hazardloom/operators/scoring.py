@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardloom.columns import PANEL, TIMES, PanelColumns
-from hazardloom.functions.curves import as_matrix
-from hazardloom.functions.dominance import bucket_counts
+from hazardloom.functions.curves import as_matrix, slices
+from hazardloom.functions.dominance import bucket_counts, span_counts
 from hazardloom.operators.hazard import HazardModel, predict
-from hazardloom.operators.ranks import dense_ranks, sums_above
+from hazardloom.operators.ranks import sums_above
 from hazardloom.session import discard, written
 
 VALUES_PER_BUCKET = 50_000
+BUCKETS, SPANS = 256, 64  # ranges of the prediction and of the outcome; more, once they would hold over VALUES_PER_BUCKET points
 _EXACT = "decimal(38,0)"
 
 
@@ -23,6 +26,12 @@ def _product(a: str, b: str):
     return F.coalesce(F.sum((F.col(a).cast("decimal(19,0)") * F.col(b).cast("decimal(19,0)")).cast(_EXACT)), F.lit(0)).cast(_EXACT)
 
 
+def _ranges(n: int, least: int, most: int) -> int:
+    """Into how many ranges to cut ``n`` points: about ``most`` at most, of ``least`` points at least, unless they would hold over VALUES_PER_BUCKET."""
+    size = max(1, least, min(VALUES_PER_BUCKET, -(-n // most)))
+    return max(1, -(-n // size))
+
+
 def concordance(
     df: DataFrame, duration: str = "duration", predicted: str = "predicted", event: str = "failure",
     values_per_bucket: int = VALUES_PER_BUCKET,
@@ -32,10 +41,12 @@ def concordance(
     A pair counts if the earlier duration is an event; at equal durations an event precedes a censoring. Durations may be any
     numbers. Rows with a missing value are left out; a NaN prediction is an error. No pair is ever
     built. Rows are first counted per (duration, event, prediction), so copies and ties collapse before anything else, and
-    cut into ranges of the prediction. Pairs inside a range are counted on its arrays, about
-    ``values_per_bucket`` points at a time. Pairs across ranges are compared bit by bit over the range numbers: at the
-    highest bit where they differ, the side with the bit set has all the larger predictions, so running sums over the
-    outcome codes decide. Ranks of durations and those sums are taken on two levels (``ranks``), so no task sees all outcomes.
+    cut into ranges of the prediction and into ranges of the outcome (duration, event). A range of the prediction holds
+    ``values_per_bucket`` points, or more where that would make over ``BUCKETS`` ranges, but VALUES_PER_BUCKET then at most. Each pair is
+    counted once: on the arrays of its range of the prediction if it has one in common; else on the arrays of its range of the outcome,
+    by the range numbers; else from the small table of points per pair of ranges, bit by bit over the prediction's range numbers: at the
+    highest bit where they differ, the side with the bit set has all the larger predictions, so running sums over the ranges of the
+    outcome decide. A point is thus shuffled a fixed number of times, however many ranges there are.
     """
     points = written(
         df.select(
@@ -47,36 +58,34 @@ def concordance(
     n_points, bad = points.agg(F.count(F.lit(1)), F.count_if(F.isnan("p") | F.isnan("d"))).first()
     if bad:
         raise ValueError("durations and predictions must not be NaN")
-    codes, n_durations = dense_ranks(points, "d", "r")
-    buckets = max(1, -(-n_points // values_per_bucket))
-    # even codes are events; equal durations share all but the last bit
-    coded = points.join(codes, "d").select((F.col("r") * 2 + F.col("e")).alias("c"), "p", "n")
-    if buckets > 1:
-        coded = coded.repartitionByRange(buckets, "p").withColumn("b", F.spark_partition_id())
-    else:
-        coded = coded.withColumn("b", F.lit(0))
-    coded = written(coded, "buckets")
-
-    inside = coded.groupBy("b").applyInArrow(bucket_counts, f"concordant {_EXACT}, tied {_EXACT}").withColumn("pairs", F.lit(0).cast(_EXACT))
-
-    # counts per bucket and outcome code; only events are left members
-    counts = [F.sum(F.when(F.col("c") % 2 == 0, F.col("n")).otherwise(0)).alias("ni"), F.sum("n").alias("nj")]
-    cells = coded.groupBy("b", "c").agg(*counts)
+    buckets = _ranges(n_points, values_per_bucket, BUCKETS)
+    spans = _ranges(n_points, values_per_bucket, SPANS)
+    # equal predictions share a range, and so do equal outcomes
+    coded = points.repartitionByRange(buckets, "p").withColumn("b", F.spark_partition_id())
+    coded = written(coded.repartitionByRange(spans, "d", "e").withColumn("s", F.spark_partition_id()), "buckets")
+
+    inside = coded.groupBy("b").applyInArrow(bucket_counts, f"concordant {_EXACT}, tied {_EXACT}")
+    met = coded.groupBy("s", "d", "e", "b").agg(F.sum("n").alias("n"))
+    beside = met.groupBy("s").applyInArrow(span_counts, f"pairs {_EXACT}, concordant {_EXACT}")
+
+    # counts per two ranges; only events are left members
+    counts = [F.sum(F.when(F.col("e") == 0, F.col("n")).otherwise(0)).alias("ni"), F.sum("n").alias("nj")]
+    cells = written(coded.groupBy("b", "s").agg(*counts), "cells")
     right = F.expr("shiftright(b, k) & 1 = 1")
     sides = (
         cells.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(max(buckets.bit_length() - 1, 0)))))
-        .groupBy("k", F.expr("shiftright(b, k + 1)").alias("pre"), "c")
+        .groupBy("k", F.expr("shiftright(b, k + 1)").alias("pre"), "s")
         .agg(F.sum(F.when(~right, F.col("ni")).otherwise(0)).alias("ni"), F.sum(F.when(right, F.col("nj")).otherwise(0)).alias("nj"))
     )
-    across = sums_above(sides, ["k", "pre"], "c", "nj", 2 * n_durations, "_after").agg(_product("ni", "_after").alias("concordant"))
-    whole = coded.groupBy("c").agg(*counts)  # one row per outcome code
-    pairs = sums_above(whole, [], "c", "nj", 2 * n_durations, "_later").agg(_product("ni", "_later").alias("pairs"))
+    across = sums_above(sides, ["k", "pre"], "s", "nj", spans, "_after").agg(_product("ni", "_after").alias("concordant"))
+    whole = cells.groupBy("s").agg(F.sum("ni").alias("ni"), F.sum("nj").alias("nj"))  # one row per range of the outcome
+    pairs = sums_above(whole, [], "s", "nj", spans, "_later").agg(_product("ni", "_later").alias("pairs"))
 
-    parts = inside.unionByName(across, allowMissingColumns=True).unionByName(pairs, allowMissingColumns=True)
+    parts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [beside, inside, across, pairs])
     total = parts.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast(_EXACT).alias(c) for c in ("pairs", "concordant", "tied")])
     ci = (F.col("concordant").cast("double") + F.col("tied").cast("double") / 2) / F.nullif(F.col("pairs").cast("double"), F.lit(0.0))
     result = written(total.withColumn("ci", ci), "concordance")
-    for table in (points, codes, coded):
+    for table in (points, coded, cells):
         discard(table)
     return result
 
@@ -101,13 +110,18 @@ def scored_facts(predictions: DataFrame, times=TIMES, cols: PanelColumns = PANEL
             if not b.num_rows:
                 continue
             surv = as_matrix(b.column(2), len(grid))
-            alive = b.column(0).fill_null(float("nan")).to_numpy(zero_copy_only=False)[:, None] > grid
-            seen = alive | b.column(1).fill_null(False).to_numpy(zero_copy_only=False)[:, None]
-            errors += np.where(seen, (alive - surv) ** 2, 0.0).sum(axis=0)
-            known += seen.sum(axis=0)
+            ends = b.column(0).fill_null(float("nan")).to_numpy(zero_copy_only=False)[:, None]
+            failed = b.column(1).fill_null(False).to_numpy(zero_copy_only=False)[:, None]
+            area = np.empty(len(surv))
+            for at in slices(len(surv)):
+                alive = ends[at] > grid
+                seen = alive | failed[at]
+                errors += np.where(seen, (alive - surv[at]) ** 2, 0.0).sum(axis=0)
+                known += seen.sum(axis=0)
+                area[at] = np.trapezoid(surv[at], x=grid, axis=1)
             if not rows:
                 continue
-            area = pa.array(np.trapezoid(surv, x=grid, axis=1))
+            area = pa.array(area)
             none = [pa.nulls(b.num_rows, pa.list_(t)) for t in (pa.float64(), pa.int64())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), area, *none], names=names)
         sums = [pa.array([v.tolist()], pa.list_(t)) for v, t in ((errors, pa.float64()), (known, pa.int64()))]

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hazardloom.functions import expected_time, linear_hazards, survival_curve
+from hazardloom.functions import expected_time, linear_hazards, rounded_curve, survival_curve
 from hazardloom.functions.dominance import exact_dot
 from hazardloom.operators import ranks as R
 from hazardloom.operators import scoring as C
@@ -129,3 +129,41 @@ def test_both_scores_read_the_curves_once(spark):
     assert plan.count("MapInArrow") == 1 and "Generate" not in plan
     r = C.score_predictions(curves, times).first()
     assert r.ci == 1.0 and r.ibs == pytest.approx(sum((want[a][0] + want[b][0]) / 2 * (b - a) for a, b in zip(times, times[1:])) / 3)
+
+
+def test_ranges_do_not_grow_with_the_points(spark, monkeypatch):
+    """As many outcomes as rows, few points per range: the number of ranges, which are tasks and files, stays bounded, and no pair is lost."""
+    rng = np.random.default_rng(8)
+    n = 300
+    t, e, p = np.round(rng.random(n) * 50, 3), rng.random(n) < 0.6, rng.integers(0, 60, n)
+    asked, kept = [], C.written
+    monkeypatch.setattr(C, "BUCKETS", 7)
+    monkeypatch.setattr(C, "SPANS", 5)
+    monkeypatch.setattr(C, "written", lambda df, label: asked.append(df.rdd.getNumPartitions()) or kept(df, label))
+    data = spark.createDataFrame([(float(a), bool(b), float(c)) for a, b, c in zip(t, e, p)], "duration double, failure boolean, predicted double")
+    r = C.concordance(data, values_per_bucket=2).first()
+    assert (int(r.pairs), int(r.concordant), int(r.tied)) == brute(t, e, p)
+    assert max(asked) <= 8  # 8 shuffle partitions
+    assert C._ranges(54_000_000, 500, 256) == 1080 and C._ranges(15_000, 500, 256) == 30
+
+
+def test_curves_are_rounded_on_their_array(spark):
+    values = [[0.1234565, 0.9999995, 1e-7], [0.0000005, 0.5, 1.0], [float("nan"), 0.0000004999, 2.5e9 + 0.25]]
+    df = spark.createDataFrame([(v,) for v in values], "s array<double>")
+    got = df.select("s", rounded_curve(F.col("s"), 3, 6).alias("a"), F.transform("s", lambda x: F.round(x, 6) + 0.0).alias("b")).collect()
+    assert all(repr(r.a) == repr(r.b) for r in got)
+
+
+def test_a_worker_computes_slices(spark, monkeypatch):
+    """What a worker holds besides its batch doesn't grow with the batch."""
+    from hazardloom.functions import curves
+
+    assert max(at.stop - at.start for at in curves.slices(10_000)) == curves.SLICE
+    df = spark.range(2500, numPartitions=1).select((F.col("id") / 1000).alias("z"), F.lit(2.0).alias("duration"), (F.col("id") % 2 == 0).alias("failure"))
+    rows_ = df.withColumn("surv", survival_curve(linear_hazards(F.col("z"), 0.1, [1, 2, 4]), 3))
+    z = np.arange(2500) / 1000
+    s = np.exp(-np.cumsum(1 / (1 + np.exp(-(z[:, None] + 0.1 * np.array([1, 2, 4])))), axis=1))
+    assert np.allclose([r.surv for r in rows_.collect()], s)
+    known = np.arange(2500) % 2 == 0
+    want = [((1 - s[:, 0]) ** 2).mean(), (s[known, 1] ** 2).mean(), (s[known, 2] ** 2).mean()]
+    assert [r.brier for r in C.brier_curve(rows_, [1, 2, 4]).orderBy("t").collect()] == pytest.approx(want)
