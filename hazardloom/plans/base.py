@@ -11,12 +11,12 @@ from hazardloom.plans.panel import PANEL_CTE
 _SMALL_INTS = (T.ByteType, T.ShortType, T.IntegerType)
 
 
-def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round doubles and widen integers, as the SQL does, so that both sides compare exactly."""
+def tidy(df: DataFrame, digits: int | None = 6) -> DataFrame:
+    """Round doubles (unless ``digits`` is None) and widen integers, as the SQL does, so that both sides compare exactly."""
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, T.DoubleType):
+        if isinstance(f.dataType, T.DoubleType) and digits is not None:
             c = F.round(c, digits) + 0.0
         elif isinstance(f.dataType, _SMALL_INTS) or isinstance(f.dataType, T.DecimalType):
             c = c.cast("bigint")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardloom.columns import TIMES
-from hazardloom.functions import expected_time, linear_hazards, sigmoid, survival_curve
+from hazardloom.functions import expected_time, linear_hazards, rounded_curve, sigmoid, survival_curve
 from hazardloom.operators import hazard as H
 from hazardloom.operators import scoring as C
 from hazardloom.operators import steps as S
@@ -52,6 +52,11 @@ def with_curve(rows: DataFrame, version: str = "v1") -> DataFrame:
     return with_hazards(rows, version).withColumn("surv", survival_curve(F.col("hazards"), _N))
 
 
+def _tidy_curves(rows: DataFrame) -> DataFrame:
+    """``tidy`` for curves: rounded on their array, before it is 159 columns."""
+    return rows.withColumn("surv", rounded_curve(F.col("surv"), _N, 6))
+
+
 def truth(rows: DataFrame) -> DataFrame:
     return rows.where("time <> max_lifetime").withColumn("duration", F.col("max_lifetime") - F.col("time")).withColumn(
         "failure", F.col("final") == 1
@@ -102,8 +107,8 @@ def _by_model_sql(value: str) -> str:
 
 
 def _predict_survival(spark, sf):
-    rows = truth(with_curve(timed(spark, sf)))
-    return tidy(rows.select("serial_number", "time", "duration", "failure", *[F.col("surv")[t - 1].alias(f"s{t}") for t in TIMES]))
+    rows = truth(_tidy_curves(with_curve(timed(spark, sf))))
+    return tidy(rows.select("serial_number", "time", "duration", "failure", *[F.col("surv")[t - 1].alias(f"s{t}") for t in TIMES]), None)
 
 
 def _expected_time(spark, sf):
@@ -112,7 +117,7 @@ def _expected_time(spark, sf):
 
 
 def _predict_wide(spark, sf):
-    return tidy(H.wide(with_curve(timed(spark, sf))))
+    return tidy(H.wide(_tidy_curves(with_curve(timed(spark, sf)))), None)
 
 
 def _ground_truth(spark, sf):
@@ -245,7 +250,7 @@ def _predict_fitted(spark, sf):
     """Inference: curves of all test rows, without their labels."""
     train, test = _prepared(spark, sf)
     model = H.fit(train, "logistic_regression", epochs=3, **STEPS)
-    return tidy(H.wide(H.predict(model, test.drop("failure", "max_lifetime"), mode="infer")))
+    return tidy(H.wide(_tidy_curves(H.predict(model, test.drop("failure", "max_lifetime"), mode="infer"))), None)
 
 
 def _predict_other(spark, sf):
@@ -253,7 +258,8 @@ def _predict_other(spark, sf):
     train, test = _prepared(spark, sf)
     path = scratch_path(spark, "tree")
     H.fit(train, DecisionTreeClassifier(maxDepth=4, seed=1)).save(path)
-    return tidy(H.wide(H.predict(H.HazardModel.load(spark, path), test.drop("failure", "max_lifetime"), mode="infer")))
+    curves = H.predict(H.HazardModel.load(spark, path), test.drop("failure", "max_lifetime"), mode="infer")
+    return tidy(H.wide(_tidy_curves(curves)), None)
 
 
 def _model_stats(spark, sf):

@@ -76,6 +76,15 @@ def test_batches_go_to_tasks_of_their_own(spark):
         (i, i, i, 100) for i in range(10)]
 
 
+def test_small_batches_share_tasks(spark, tmp_path, monkeypatch):
+    df = spark.range(300).select(F.lit(dt.date(2024, 1, 1)).alias("date"), F.col("id").cast("string").alias("serial_number"), F.col("id").alias("row_key"))
+    monkeypatch.setattr(B, "TASKS", 7, raising=False)
+    assert B.arranged(df, 10).rdd.getNumPartitions() == 7
+    stored = B.write_batches(df, str(tmp_path / "storage"), 10)
+    assert rows(B.manifest(stored), "batchnum", "n_rows") == [(i, 10) for i in range(30)]
+    assert len(list((tmp_path / "storage").glob("batchnum=*"))) == len(list((tmp_path / "storage").glob("batchnum=*/*.parquet"))) == 30
+
+
 def test_a_failed_write_leaves_the_old_batch(spark, tmp_path):
     base = spark.createDataFrame([("A", 0, 1, 0.5, 2), ("A", 2, 1, 0.7, 2)], "serial_number string, time int, failure int, x double, max_lifetime int")
     path = str(tmp_path / "prepared")
