@@ -10,6 +10,7 @@ from hazardloom.operators.ranks import positions
 from hazardloom.session import discard
 
 MAX_TASKS = 20_000
+TASKS, ROWS_PER_TASK = 256, 200_000  # small batches share tasks: as many tasks as the rows ask for, and so many in any case
 
 
 def batch_order(df: DataFrame, cols: PanelColumns = PANEL) -> list[str]:
@@ -26,13 +27,15 @@ def rebatch(df: DataFrame, rows_per_batch: int = ROWS_PER_BATCH, cols: PanelColu
 
 
 def arranged(df: DataFrame, rows_per_batch: int = ROWS_PER_BATCH, cols: PanelColumns = PANEL) -> DataFrame:
-    """Rows with ``batchnum``, one task and one sorted run per batch, ready for ``partitionBy("batchnum")``.
+    """Rows with ``batchnum``, one sorted run per batch inside one task, ready for ``partitionBy("batchnum")``.
 
-    Batches are dealt to tasks by their number itself: no two meet by hash, unless there are more than MAX_TASKS. ``discard`` deletes the
-    ordered copy behind it, once the rows are written.
+    Batches are dealt to tasks by their number itself, so no two meet by hash: each has a task of its own, unless there are more than TASKS
+    batches of less than ROWS_PER_TASK rows, or more than MAX_TASKS; then equally many share one. ``discard`` deletes the ordered copy
+    behind it, once the rows are written.
     """
     batched = rebatch(df, rows_per_batch, cols)
-    tasks = max(1, min(MAX_TASKS, -(-batched.count() // rows_per_batch)))
+    n = batched.count()
+    tasks = max(1, min(MAX_TASKS, -(-n // rows_per_batch), max(TASKS, -(-n // ROWS_PER_TASK))))
     placed = batched.repartitionById(tasks, F.pmod("batchnum", F.lit(tasks)).cast("int"))
     out = placed.sortWithinPartitions("batchnum", *batch_order(df, cols))
     out._scratch = batched._scratch
@@ -40,9 +43,13 @@ def arranged(df: DataFrame, rows_per_batch: int = ROWS_PER_BATCH, cols: PanelCol
 
 
 def write_batches(df: DataFrame, path: str, rows_per_batch: int = ROWS_PER_BATCH, cols: PanelColumns = PANEL) -> DataFrame:
-    """Write one folder per batch below ``path`` (which must be new) and return the stored rows."""
+    """Write one folder per batch below ``path`` (which must be new) and return the stored rows.
+
+    Tasks move their own files into place: with many batches the driver alone would take longer for that than all else. Nobody reads a new
+    folder before the write has ended.
+    """
     rows = arranged(df, rows_per_batch, cols)
-    rows.write.partitionBy("batchnum").parquet(path)
+    rows.write.option("mapreduce.fileoutputcommitter.algorithm.version", 2).partitionBy("batchnum").parquet(path)
     discard(rows)
     return read_batches(df.sparkSession, path)
 
