@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardloom.columns import PANEL, TIMES, PanelColumns
-from hazardloom.functions.curves import as_matrix, slices
+from hazardloom.functions.curves import SLICE, as_matrix, slices
 from hazardloom.functions.dominance import bucket_counts, span_counts
 from hazardloom.operators.hazard import HazardModel, predict
 from hazardloom.operators.ranks import sums_above
-from hazardloom.session import discard, written
+from hazardloom.session import discard, small_batches, written
 
 VALUES_PER_BUCKET = 50_000
 BUCKETS, SPANS = 256, 64  # ranges of the prediction and of the outcome; more, once they would hold over VALUES_PER_BUCKET points
@@ -103,27 +103,30 @@ def scored_facts(predictions: DataFrame, times=TIMES, cols: PanelColumns = PANEL
     """
     grid = np.asarray(times, dtype=float)
 
+    def add(b, errors, known):
+        """The batch's facts; its curves go when it ends, before the next batch is read."""
+        if b.column(2).null_count:
+            b = b.filter(b.column(2).is_valid())
+        surv = as_matrix(b.column(2), len(grid))
+        ends = b.column(0).fill_null(float("nan")).to_numpy(zero_copy_only=False)[:, None]
+        failed = b.column(1).fill_null(False).to_numpy(zero_copy_only=False)[:, None]
+        area = np.empty(len(surv))
+        for at in slices(len(surv)):
+            alive = ends[at] > grid
+            seen = alive | failed[at]
+            errors += np.where(seen, (alive - surv[at]) ** 2, 0.0).sum(axis=0)
+            known += seen.sum(axis=0)
+            area[at] = np.trapezoid(surv[at], x=grid, axis=1)
+        none = [pa.nulls(b.num_rows, pa.list_(t)) for t in (pa.float64(), pa.int64())]
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(area), *none], names=names)
+
     def each(batches):
         errors, known = np.zeros(len(grid)), np.zeros(len(grid), dtype=np.int64)
         for b in batches:
-            b = b.filter(b.column(2).is_valid())
-            if not b.num_rows:
-                continue
-            surv = as_matrix(b.column(2), len(grid))
-            ends = b.column(0).fill_null(float("nan")).to_numpy(zero_copy_only=False)[:, None]
-            failed = b.column(1).fill_null(False).to_numpy(zero_copy_only=False)[:, None]
-            area = np.empty(len(surv))
-            for at in slices(len(surv)):
-                alive = ends[at] > grid
-                seen = alive | failed[at]
-                errors += np.where(seen, (alive - surv[at]) ** 2, 0.0).sum(axis=0)
-                known += seen.sum(axis=0)
-                area[at] = np.trapezoid(surv[at], x=grid, axis=1)
-            if not rows:
-                continue
-            area = pa.array(area)
-            none = [pa.nulls(b.num_rows, pa.list_(t)) for t in (pa.float64(), pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), area, *none], names=names)
+            b = add(b, errors, known)
+            if rows and b.num_rows:
+                yield b
+            del b
         sums = [pa.array([v.tolist()], pa.list_(t)) for v, t in ((errors, pa.float64()), (known, pa.int64()))]
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.float64()), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.float64()), *sums], names=names)
 
@@ -132,6 +135,13 @@ def scored_facts(predictions: DataFrame, times=TIMES, cols: PanelColumns = PANEL
     return needed.mapInArrow(each, _FACTS)
 
 
+def written_facts(predictions: DataFrame, times=TIMES, cols: PanelColumns = PANEL, rows: bool = True) -> DataFrame:
+    """``scored_facts``, written. A worker holds the curves of SLICE rows at once: a batch of the usual 10,000 is 13 MB, of which the workers
+    of a task keep several."""
+    with small_batches(predictions.sparkSession, SLICE):
+        return written(scored_facts(predictions, times, cols, rows), "facts")
+
+
 def brier_of(facts: DataFrame, times=TIMES) -> DataFrame:
     """(t, brier, n_known) from the tasks' sums in ``scored_facts``; grid points at which no row is known are left out."""
     grid = F.array(*[F.lit(int(t)).alias("t") for t in times]).alias("t")
@@ -142,7 +152,7 @@ def brier_of(facts: DataFrame, times=TIMES) -> DataFrame:
 
 def brier_curve(predictions: DataFrame, times=TIMES, cols: PanelColumns = PANEL) -> DataFrame:
     """(t, brier, n_known): mean squared error of S(t) over the rows whose status at t is known."""
-    return brier_of(scored_facts(predictions, times, cols, rows=False), times)
+    return brier_of(written_facts(predictions, times, cols, rows=False), times)
 
 
 def integrated_brier(curve: DataFrame) -> DataFrame:
@@ -156,7 +166,7 @@ def integrated_brier(curve: DataFrame) -> DataFrame:
 
 def score_predictions(predictions: DataFrame, times=TIMES, cols: PanelColumns = PANEL, digits: int | None = None) -> DataFrame:
     """One row (ci, ibs). Both come from one pass over the curves; ``digits`` rounds expected times before they are ranked."""
-    facts = written(scored_facts(predictions, times, cols), "facts")
+    facts = written_facts(predictions, times, cols)
     predicted = F.col("predicted") if digits is None else F.round("predicted", digits)
     ci = concordance(facts.where("errors IS NULL").withColumn("predicted", predicted), event="event")
     ibs = integrated_brier(brier_of(facts, times)).select(F.col("ibs_known").alias("ibs"))

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import atexit
 import os
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
@@ -72,6 +75,35 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return table
 
 
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_LOCK, _INSIDE = threading.Lock(), {}  # by session: how many threads are inside, and what it had before the first
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that run inside pass at most ``rows`` rows in an Arrow batch, for columns that are many values wide.
+
+    The session's own setting holds where it is smaller, and comes back when the last thread leaves.
+    """
+    session = spark._jsparkSession.sessionUUID()
+    with _LOCK:
+        threads, own = _INSIDE.get(session) or (0, spark.conf.get(_ROWS, None))
+        _INSIDE[session] = threads + 1, own
+        if own is None or not 0 < int(own) <= rows:
+            spark.conf.set(_ROWS, rows)
+    try:
+        yield
+    finally:
+        with _LOCK:
+            threads, own = _INSIDE.pop(session)
+            if threads > 1:
+                _INSIDE[session] = threads - 1, own
+            elif own is None:
+                spark.conf.unset(_ROWS)
+            else:
+                spark.conf.set(_ROWS, own)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder in any file system Spark knows; one that isn't there is no error."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -1,13 +1,16 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from hazardloom.functions import expected_time, linear_hazards, rounded_curve, survival_curve
+from hazardloom.functions.curves import SLICE
 from hazardloom.functions.dominance import exact_dot
 from hazardloom.operators import ranks as R
 from hazardloom.operators import scoring as C
+from hazardloom.session import small_batches
 
 
 def brute(t, e, p):
@@ -167,3 +170,41 @@ def test_a_worker_computes_slices(spark, monkeypatch):
     known = np.arange(2500) % 2 == 0
     want = [((1 - s[:, 0]) ** 2).mean(), (s[known, 1] ** 2).mean(), (s[known, 2] ** 2).mean()]
     assert [r.brier for r in C.brier_curve(rows_, [1, 2, 4]).orderBy("t").collect()] == pytest.approx(want)
+
+
+def test_curves_are_scored_in_small_batches(spark):
+    @F.arrow_udf("array<double>")
+    def rows_held(x: pa.Array) -> pa.Array:
+        return pa.array([[float(len(x))] * 2] * len(x), pa.list_(pa.float64()))
+
+    # failed before the grid, so that each error is the square of the rows in the worker's batch
+    curves = spark.range(2 * SLICE + 500, numPartitions=1).select(F.lit(0.0).alias("duration"), F.lit(True).alias("failure"), rows_held("id").alias("surv"))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    assert spark.conf.get(name, None) is None
+    want = (2 * SLICE**3 + 500**3) / (2 * SLICE + 500)
+    assert [(r.brier, r.n_known) for r in C.brier_curve(curves, [1, 2]).collect()] == [(want, 2 * SLICE + 500)] * 2
+    assert C.score_predictions(curves, [1, 2]).first().ibs == want
+    assert spark.conf.get(name, None) is None
+
+
+def test_small_batches_leave_the_session_as_it_was(spark):
+    name, other = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.newSession()
+    for own, inside in ((None, "7"), ("5", "5"), ("0", "7"), ("9", "7")):
+        if own is not None:
+            other.conf.set(name, own)
+        with pytest.raises(KeyError), small_batches(other, 7):
+            with small_batches(other, 7), small_batches(spark, 8):
+                assert (other.conf.get(name), spark.conf.get(name)) == (inside, "8")
+            assert other.conf.get(name) == inside
+            raise KeyError
+        assert other.conf.get(name, None) == own
+    assert spark.conf.get(name, None) is None
+
+
+def test_rows_without_a_curve_are_no_facts(spark):
+    data = [(3.0, True, [0.9, 0.8]), (2.0, True, None), (1.0, False, [0.7, 0.6]), (None, None, None)]
+    rows = spark.createDataFrame(data, "duration double, failure boolean, surv array<double>").repartition(1)
+    got = C.scored_facts(rows, [1, 2]).where("errors IS NULL").collect()
+    assert sorted((r.duration, round(r.predicted, 6)) for r in got) == [(1.0, 0.65), (3.0, 0.85)]
+    none = rows.where("surv IS NULL")
+    assert [r.known for r in C.scored_facts(none, [1, 2]).collect()] == [[0, 0]]
