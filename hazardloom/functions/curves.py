@@ -8,12 +8,13 @@ every step (159^2/2 copies per row) and measured eight times slower.
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
 from decimal import ROUND_HALF_UP, Context, Decimal
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,21 +39,35 @@ def slices(rows: int) -> list[slice]:
     return [slice(at, min(rows, at + SLICE)) for at in range(0, rows, SLICE)]
 
 
+def linear_fill(time_weight: float, times) -> Callable[[pa.Array], np.ndarray]:
+    """The function from scores to h(t) = sigmoid(score + time_weight * t) for every t of the grid."""
+    drift = float(time_weight) * np.asarray(times, dtype=float)
+
+    def hazards(score: pa.Array) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return 1.0 / (1.0 + np.exp(-(score.to_numpy(zero_copy_only=False)[:, None] + drift[None, :])))
+
+    return hazards
+
+
 def linear_hazards(score: Column, time_weight: float, times) -> Column:
     """h(t) = sigmoid(score + time_weight * t) for every t of the grid."""
-    drift = float(time_weight) * np.asarray(times, dtype=float)
+    fill, width = linear_fill(time_weight, times), len(times)
 
     @F.arrow_udf(_ARRAY)
     def hazards(score: pa.Array) -> pa.Array:
-        z, out = score.to_numpy(zero_copy_only=False), np.empty((len(score), len(drift)))
-        with np.errstate(over="ignore"):
-            for at in slices(len(z)):
-                out[at] = 1.0 / (1.0 + np.exp(-(z[at, None] + drift[None, :])))
+        out = np.empty((len(score), width))
+        for at in slices(len(out)):
+            out[at] = fill(score[at])
         return as_arrays(out)
 
     return hazards(score)
 
 
+def survival(hazards: np.ndarray) -> np.ndarray:
+    return np.exp(-np.cumsum(hazards, axis=1))
+
+
 def survival_curve(hazards: Column, steps: int) -> Column:
     """S(t_k) = exp(-(h(t_1) + ... + h(t_k)))."""
 
@@ -61,12 +76,31 @@ def survival_curve(hazards: Column, steps: int) -> Column:
         h = as_matrix(hazards, steps)
         out = np.empty(h.shape)
         for at in slices(len(h)):
-            out[at] = np.exp(-np.cumsum(h[at], axis=1))
+            out[at] = survival(h[at])
         return as_arrays(out)
 
     return survive(hazards)
 
 
+def fillable(curves: DataFrame, rows: DataFrame, hazards: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """``curves``, with a note that its ``surv`` follows by ``hazards`` from the column ``surv`` of ``rows``, which are the same rows.
+
+    Who reads the curves once can then compute them where they are read, in one worker of a task instead of two. Anything made from ``curves``
+    has no such note and reads the column.
+    """
+    curves._filled_from = rows, hazards
+    return curves
+
+
+def curve_source(curves: DataFrame) -> tuple[DataFrame, Callable[[pa.Array], np.ndarray]] | None:
+    """What ``fillable`` noted: rows, and the function from their column ``surv`` to curves."""
+    noted = vars(curves).get("_filled_from")
+    if noted is None:
+        return None
+    rows, hazards = noted
+    return rows, lambda column: survival(hazards(column))
+
+
 def expected_time(curve: Column, times) -> Column:
     """Area under the curve over the grid, by trapezoids."""
     grid = np.asarray(times, dtype=float)

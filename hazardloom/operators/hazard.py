@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 
 from hazardloom.columns import EPOCHS, HIDDEN_UNITS, PANEL, TIMES, PanelColumns
 from hazardloom.functions import linear_hazards, survival_curve
-from hazardloom.functions.curves import as_arrays, as_matrix
+from hazardloom.functions.curves import as_arrays, as_matrix, fillable, linear_fill
 from hazardloom.operators.trainer import Batches, Network, train
 
 TIME_INPUT = "time_to_event"
@@ -237,27 +238,51 @@ def linear_score(weights: dict[str, float], intercept: float) -> Column:
     return reduce(lambda a, b: a + b, [F.lit(float(w)) * F.col(c) for c, w in weights.items()], F.lit(float(intercept)))
 
 
-def network_hazards(inputs: Column, layers, time_unit: float, times, relu: bool = False) -> Column:
-    """Hazards of a network on the time grid, one matrix product per layer and batch.
+def network_fill(layers, time_unit: float, times, relu: bool = False) -> Callable[[pa.Array], np.ndarray]:
+    """The function from inputs to the hazards of a network on the time grid, one matrix product per layer and batch.
 
     Hidden units are sigmoid units, or ``relu``; the output is a softmax over two units or one sigmoid unit.
     """
     grid = np.asarray(times, dtype=float) / time_unit
     width = layers[0][0].shape[0] - 1
 
-    @F.arrow_udf(_ARRAY)
-    def hazards(inputs: pa.Array) -> pa.Array:
+    def hazards(inputs: pa.Array) -> np.ndarray:
         x = as_matrix(inputs, width)
         w, b = layers[0]
         z = (x @ w[:-1] + b)[:, None, :] + grid[None, :, None] * w[-1]
         with np.errstate(over="ignore"):
             for w, b in layers[1:]:
                 z = (np.maximum(z, 0) if relu else 1.0 / (1.0 + np.exp(-z))) @ w + b
-            return as_arrays(1.0 / (1.0 + np.exp(z[..., 0] - z[..., 1] if z.shape[-1] == 2 else -z[..., 0])))
+            return 1.0 / (1.0 + np.exp(z[..., 0] - z[..., 1] if z.shape[-1] == 2 else -z[..., 0]))
+
+    return hazards
+
+
+def network_hazards(inputs: Column, layers, time_unit: float, times, relu: bool = False) -> Column:
+    """Hazards of a network on the time grid, see ``network_fill``."""
+    fill = network_fill(layers, time_unit, times, relu)
+
+    @F.arrow_udf(_ARRAY)
+    def hazards(inputs: pa.Array) -> pa.Array:
+        return as_arrays(fill(inputs))
 
     return hazards(inputs)
 
 
+def _in_place(model: HazardModel, df: DataFrame, times) -> tuple[Column, Callable[[pa.Array], np.ndarray]] | None:
+    """The column that hazards follow from and the function that computes them, for models that need no row per grid point."""
+    linear = model.linear
+    if any(isinstance(df.schema[c].dataType, VectorUDT) for c in model.features):
+        return None
+    if linear is not None:
+        coef, intercept = linear
+        return linear_score(dict(zip(model.features, coef)), intercept), linear_fill(coef[-1] / model.time_unit, times)
+    if isinstance(model.fitted, (Network, MultilayerPerceptronClassificationModel)):
+        inputs = F.array(*[F.col(c).cast("double") for c in model.features])
+        return inputs, network_fill(model.layers, model.time_unit, times, isinstance(model.fitted, Network))
+    return None
+
+
 def predict_hazard(model: HazardModel, df: DataFrame, times=TIMES, output: str = "hazards") -> DataFrame:
     """Add the array of h(t), t on the grid.
 
@@ -311,12 +336,14 @@ def _predict_by_rows(model: HazardModel, df: DataFrame, times, output: str) -> D
 def predict(model: HazardModel, df: DataFrame, times=TIMES, mode: str = "score", cols: PanelColumns = PANEL) -> DataFrame:
     """(device, time, surv) and, in mode ``score``, the truth (duration, failure) in the same row.
 
-    Mode ``infer`` keeps all rows and needs no label.
+    Mode ``infer`` keeps all rows and needs no label. Curves that are scored as they come from here are computed where they are scored.
     """
     rows = scoring_rows(df, cols) if mode == "score" else inference_rows(df, cols)
     truth = ["duration", cols.label] if mode == "score" else []
     hazards = predict_hazard(model, rows, times)
-    return hazards.select(cols.id, cols.time, *truth, survival_curve(F.col("hazards"), len(times)).alias("surv"))
+    curves = hazards.select(cols.id, cols.time, *truth, survival_curve(F.col("hazards"), len(times)).alias("surv"))
+    source = _in_place(model, rows, times)
+    return fillable(curves, rows.select(cols.id, cols.time, *truth, source[0].alias("surv")), source[1]) if source else curves
 
 
 def wide(predictions: DataFrame, times=TIMES, cols: PanelColumns = PANEL) -> DataFrame:

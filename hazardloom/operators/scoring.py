@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardloom.columns import PANEL, TIMES, PanelColumns
-from hazardloom.functions.curves import SLICE, as_matrix, slices
+from hazardloom.functions.curves import SLICE, as_matrix, curve_source, slices
 from hazardloom.functions.dominance import bucket_counts, span_counts
 from hazardloom.operators.hazard import HazardModel, predict
 from hazardloom.operators.ranks import sums_above
@@ -99,24 +99,28 @@ def scored_facts(predictions: DataFrame, times=TIMES, cols: PanelColumns = PANEL
 
     The sums of tasks add up, so a curve is read once and never unrolled into rows. S(t) is compared with 1 for rows still running after
     t and with 0 for failed rows; rows censored by t are left out. Rows without a curve are left out altogether. Without
-    ``rows`` only the tasks' sums come.
+    ``rows`` only the tasks' sums come. Predictions that are ``fillable`` come as the column that their curves follow from: the worker
+    computes a slice of curves, scores it and lets it go, and no second worker of the task holds curves.
     """
     grid = np.asarray(times, dtype=float)
+    source = curve_source(predictions)
+    inputs, curves = source or (predictions, lambda column: as_matrix(column, len(grid)))
+    given = source is None  # curves may then be missing
 
     def add(b, errors, known):
         """The batch's facts; its curves go when it ends, before the next batch is read."""
-        if b.column(2).null_count:
+        if given and b.column(2).null_count:
             b = b.filter(b.column(2).is_valid())
-        surv = as_matrix(b.column(2), len(grid))
         ends = b.column(0).fill_null(float("nan")).to_numpy(zero_copy_only=False)[:, None]
         failed = b.column(1).fill_null(False).to_numpy(zero_copy_only=False)[:, None]
-        area = np.empty(len(surv))
-        for at in slices(len(surv)):
+        area = np.empty(b.num_rows)
+        for at in slices(b.num_rows):
+            surv = curves(b.column(2)[at]).reshape(at.stop - at.start, len(grid))
             alive = ends[at] > grid
             seen = alive | failed[at]
-            errors += np.where(seen, (alive - surv[at]) ** 2, 0.0).sum(axis=0)
+            errors += np.where(seen, (alive - surv) ** 2, 0.0).sum(axis=0)
             known += seen.sum(axis=0)
-            area[at] = np.trapezoid(surv[at], x=grid, axis=1)
+            area[at] = np.trapezoid(surv, x=grid, axis=1)
         none = [pa.nulls(b.num_rows, pa.list_(t)) for t in (pa.float64(), pa.int64())]
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(area), *none], names=names)
 
@@ -131,7 +135,8 @@ def scored_facts(predictions: DataFrame, times=TIMES, cols: PanelColumns = PANEL
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.float64()), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.float64()), *sums], names=names)
 
     names = ["duration", "event", "predicted", "errors", "known"]
-    needed = predictions.select(F.col("duration").cast("double"), F.col(cols.label).cast("boolean"), F.col("surv").cast("array<double>"))
+    surv = F.col("surv").cast("array<double>") if given else F.col("surv")
+    needed = inputs.select(F.col("duration").cast("double"), F.col(cols.label).cast("boolean"), surv)
     return needed.mapInArrow(each, _FACTS)
 
 

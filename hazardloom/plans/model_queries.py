@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hazardloom.columns import TIMES
 from hazardloom.functions import expected_time, linear_hazards, rounded_curve, sigmoid, survival_curve
+from hazardloom.functions.curves import fillable, linear_fill
 from hazardloom.operators import hazard as H
 from hazardloom.operators import scoring as C
 from hazardloom.operators import steps as S
@@ -42,14 +43,19 @@ timed AS (
   FROM daily)"""
 
 
-def with_hazards(rows: DataFrame, version: str = "v1") -> DataFrame:
-    a, b, t, c = VERSIONS[version]
+def _scored(rows: DataFrame, version: str, output: str) -> DataFrame:
+    a, b, _, c = VERSIONS[version]
     filled = rows.withColumn("smart_1_raw", F.coalesce("smart_1_raw", F.lit(0.0)))
-    return filled.withColumn("hazards", linear_hazards(H.linear_score({"smart_1_raw": a, "smart_9_raw": b}, c), t, TIMES))
+    return filled.withColumn(output, H.linear_score({"smart_1_raw": a, "smart_9_raw": b}, c))
+
+
+def with_hazards(rows: DataFrame, version: str = "v1") -> DataFrame:
+    return _scored(rows, version, "hazards").withColumn("hazards", linear_hazards(F.col("hazards"), VERSIONS[version][2], TIMES))
 
 
 def with_curve(rows: DataFrame, version: str = "v1") -> DataFrame:
-    return with_hazards(rows, version).withColumn("surv", survival_curve(F.col("hazards"), _N))
+    curves = with_hazards(rows, version).withColumn("surv", survival_curve(F.col("hazards"), _N))
+    return fillable(curves, _scored(rows, version, "surv"), linear_fill(VERSIONS[version][2], TIMES))
 
 
 def _tidy_curves(rows: DataFrame) -> DataFrame:
@@ -158,7 +164,7 @@ def _concordance_fractional(spark, sf):
 
 
 def _brier(spark, sf):
-    return C.brier_curve(truth(with_curve(timed(spark, sf))))
+    return C.brier_curve(with_curve(truth(timed(spark, sf))))
 
 
 def version_ctes(v: str) -> str:

@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from hazardloom.functions import expected_time, linear_hazards, rounded_curve, survival_curve
@@ -10,6 +11,8 @@ from hazardloom.functions.curves import SLICE
 from hazardloom.functions.dominance import exact_dot
 from hazardloom.operators import ranks as R
 from hazardloom.operators import scoring as C
+from hazardloom.operators.hazard import HazardModel, predict
+from hazardloom.operators.trainer import Network
 from hazardloom.session import small_batches
 
 
@@ -208,3 +211,25 @@ def test_rows_without_a_curve_are_no_facts(spark):
     assert sorted((r.duration, round(r.predicted, 6)) for r in got) == [(1.0, 0.65), (3.0, 0.85)]
     none = rows.where("surv IS NULL")
     assert [r.known for r in C.scored_facts(none, [1, 2]).collect()] == [[0, 0]]
+
+
+def test_predicted_curves_are_computed_where_they_are_scored(spark):
+    """One Python worker per task: no plan node hands curves from one worker to another, and the scores are those of the column."""
+    rows = [(str(i // 7), i % 7, 6, int(i % 3 == 0), None if i % 11 == 5 else i / 90) for i in range(2300)]
+    df = spark.createDataFrame(rows, "serial_number string, time int, max_lifetime int, failure int, x double").repartition(3)
+    times = [1, 2, 4]
+    models = [HazardModel(["x"], Network([2, 1], [0.4, 0.1, -1.0])), HazardModel(["x"], Network.new(2, 3), 4.0)]
+    for model in models:
+        curves = predict(model, df, times)
+        column = curves.select("*")
+        plans = [C.scored_facts(c, times)._jdf.queryExecution().executedPlan().toString() for c in (curves, column)]
+        assert [(p.count("MapInArrow"), "ArrowEvalPython" in p) for p in plans] == [(1, False), (1, True)]
+        a, b = (sorted(map(repr, C.scored_facts(c, times).where("errors IS NULL").collect())) for c in (curves, column))
+        assert a == b and len(a) == sum(r[1] != 6 for r in rows)
+        a, b = ({r.t: r.n_known for r in C.brier_curve(c, times).collect()} for c in (curves, column))
+        assert a == b and len(a) == 3
+        known = df.where("x IS NOT NULL")
+        a, b = (C.score_predictions(c, times).first() for c in (predict(model, known, times), predict(model, known, times).select("*")))
+        assert (a.ci, a.ibs) == (b.ci, pytest.approx(b.ibs)) and 0 < a.ibs < 1
+    with pytest.raises(PythonException):
+        C.scored_facts(predict(models[0], df, [1]), times).collect()
