@@ -25,14 +25,26 @@ SLICE = 1000  # rows of a batch computed at once, which bounds what a worker hol
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+def as_numpy(values: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The values; missing ones are NaN. ``to_numpy`` loads pandas, 47 MB in every worker, so numbers without missing ones go by DLPack."""
+    if isinstance(values, pa.ChunkedArray):
+        values = values.combine_chunks()
+    plain = not values.null_count and (pa.types.is_integer(values.type) or pa.types.is_floating(values.type))
+    return np.from_dlpack(values) if plain else values.to_numpy(zero_copy_only=False)
+
+
+def as_arrow(values: np.ndarray) -> pa.Array:
+    """Numbers as they lie in memory; ``pa.array`` would load pandas."""
+    return pa.Array.from_buffers(pa.from_numpy_dtype(values.dtype), len(values), [None, pa.py_buffer(np.ascontiguousarray(values))])
+
+
 def as_matrix(arrays: pa.Array, width: int) -> np.ndarray:
-    return arrays.flatten().to_numpy(zero_copy_only=False).reshape(len(arrays), width)
+    return as_numpy(arrays.flatten()).reshape(len(arrays), width)
 
 
 def as_arrays(matrix: np.ndarray) -> pa.Array:
     rows, width = matrix.shape
-    offsets = pa.array(np.arange(rows + 1, dtype=np.int32) * width)
-    return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(matrix).ravel()))
+    return pa.ListArray.from_arrays(as_arrow(np.arange(rows + 1, dtype=np.int32) * np.int32(width)), as_arrow(matrix.ravel()))
 
 
 def slices(rows: int) -> list[slice]:
@@ -45,7 +57,7 @@ def linear_fill(time_weight: float, times) -> Callable[[pa.Array], np.ndarray]:
 
     def hazards(score: pa.Array) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return 1.0 / (1.0 + np.exp(-(score.to_numpy(zero_copy_only=False)[:, None] + drift[None, :])))
+            return 1.0 / (1.0 + np.exp(-(as_numpy(score)[:, None] + drift[None, :])))
 
     return hazards
 
@@ -107,7 +119,7 @@ def expected_time(curve: Column, times) -> Column:
 
     @F.arrow_udf(T.DoubleType())
     def area(curve: pa.Array) -> pa.Array:
-        return pa.array(np.trapezoid(as_matrix(curve, len(grid)), x=grid, axis=1))
+        return as_arrow(np.trapezoid(as_matrix(curve, len(grid)), x=grid, axis=1))
 
     return area(curve)
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import sys
-from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 
+from hazardloom.functions.curves import as_numpy
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LIMB, CHUNK = 21, 1 << 20  # products of 21-bit parts stay below 2^42, so sums over a chunk stay below 2^62
@@ -58,24 +59,25 @@ _EXACT = pa.decimal128(38, 0)
 
 def _codes(points: pa.Table) -> np.ndarray:
     """Outcomes (d, e) as whole numbers in their order, events even."""
-    d, e = (points.column(x).to_numpy() for x in ("d", "e"))
+    d, e = (as_numpy(points.column(x)) for x in ("d", "e"))
     return np.unique(d, return_inverse=True)[1] * 2 + e
 
 
 def _one_row(**counts: int) -> pa.Table:
-    return pa.table({name: pa.array([Decimal(x)], _EXACT) for name, x in counts.items()})
+    exact = {name: pa.py_buffer(x.to_bytes(16, "little")) for name, x in counts.items()}
+    return pa.table({name: pa.Array.from_buffers(_EXACT, 1, [None, x]) for name, x in exact.items()})
 
 
 def bucket_counts(points: pa.Table) -> pa.Table:
     """One row (concordant, tied) for the points (d, e, p, n) of a range of the prediction."""
-    above, beside = ordered_pairs(_codes(points), points.column("p").to_numpy(), points.column("n").to_numpy())
+    above, beside = ordered_pairs(_codes(points), as_numpy(points.column("p")), as_numpy(points.column("n")))
     return _one_row(concordant=above, tied=beside)
 
 
 def span_counts(cells: pa.Table) -> pa.Table:
     """One row (pairs, concordant) for the cells (d, e, b, n) of a range of the outcome: all pairs, and those whose ranges ``b`` ascend."""
-    code, n = _codes(cells), cells.column("n").to_numpy()
-    above, _ = ordered_pairs(code, cells.column("b").to_numpy(), n)
+    code, n = _codes(cells), as_numpy(cells.column("n"))
+    above, _ = ordered_pairs(code, as_numpy(cells.column("b")), n)
     at = np.argsort(code, kind="stable")
     code, n = code[at], n[at]
     later = np.concatenate([np.cumsum(n[::-1])[::-1], [0]])[np.searchsorted(code, code, side="right")]

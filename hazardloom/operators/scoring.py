@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardloom.columns import PANEL, TIMES, PanelColumns
-from hazardloom.functions.curves import SLICE, as_matrix, curve_source, slices
+from hazardloom.functions.curves import SLICE, as_arrays, as_arrow, as_matrix, as_numpy, curve_source, slices
 from hazardloom.functions.dominance import bucket_counts, span_counts
 from hazardloom.operators.hazard import HazardModel, predict
 from hazardloom.operators.ranks import sums_above
@@ -111,8 +111,8 @@ def scored_facts(predictions: DataFrame, times=TIMES, cols: PanelColumns = PANEL
         """The batch's facts; its curves go when it ends, before the next batch is read."""
         if given and b.column(2).null_count:
             b = b.filter(b.column(2).is_valid())
-        ends = b.column(0).fill_null(float("nan")).to_numpy(zero_copy_only=False)[:, None]
-        failed = b.column(1).fill_null(False).to_numpy(zero_copy_only=False)[:, None]
+        ends = as_numpy(b.column(0))[:, None]
+        failed = as_numpy(b.column(1).cast(pa.int8()))[:, None] > 0  # missing: NaN, not failed
         area = np.empty(b.num_rows)
         for at in slices(b.num_rows):
             surv = curves(b.column(2)[at]).reshape(at.stop - at.start, len(grid))
@@ -122,7 +122,7 @@ def scored_facts(predictions: DataFrame, times=TIMES, cols: PanelColumns = PANEL
             known += seen.sum(axis=0)
             area[at] = np.trapezoid(surv, x=grid, axis=1)
         none = [pa.nulls(b.num_rows, pa.list_(t)) for t in (pa.float64(), pa.int64())]
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(area), *none], names=names)
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), as_arrow(area), *none], names=names)
 
     def each(batches):
         errors, known = np.zeros(len(grid)), np.zeros(len(grid), dtype=np.int64)
@@ -131,7 +131,7 @@ def scored_facts(predictions: DataFrame, times=TIMES, cols: PanelColumns = PANEL
             if rows and b.num_rows:
                 yield b
             del b
-        sums = [pa.array([v.tolist()], pa.list_(t)) for v, t in ((errors, pa.float64()), (known, pa.int64()))]
+        sums = [as_arrays(v[None, :]) for v in (errors, known)]
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.float64()), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.float64()), *sums], names=names)
 
     names = ["duration", "event", "predicted", "errors", "known"]

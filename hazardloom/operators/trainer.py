@@ -17,6 +17,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hazardloom.functions.curves import as_arrow, as_numpy
 from hazardloom.session import delete, scratch_path
 
 ROWS, UNIT = 10_000, 2.0**32  # rows multiplied at once; sums are whole multiples of 1 / UNIT
@@ -123,7 +124,7 @@ def total(rows: DataFrame, net: Network, curvature: bool = False) -> tuple[int,
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 b = batch.slice(at, ROWS)
-                x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns])
+                x = np.column_stack([as_numpy(c) for c in b.columns])
                 loss, gradient = net.sums(x[:, :-1], x[:, -1])
                 new = _whole([float(len(x)), loss, gradient, *([net.curvature(x[:, :-1])] if curvature else [])])
                 if len(held) and (np.abs(held) + np.abs(new)).max() >= 2**62:
@@ -145,7 +146,7 @@ def total(rows: DataFrame, net: Network, curvature: bool = False) -> tuple[int,
 
 
 def _numbered(values: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], names=["i", "v"])
+    return pa.RecordBatch.from_arrays([as_arrow(np.arange(len(values), dtype=np.int32)), as_arrow(values)], names=["i", "v"])
 
 
 class Batches:

@@ -1,4 +1,7 @@
 import math
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -233,3 +236,26 @@ def test_predicted_curves_are_computed_where_they_are_scored(spark):
         assert (a.ci, a.ibs) == (b.ci, pytest.approx(b.ibs)) and 0 < a.ibs < 1
     with pytest.raises(PythonException):
         C.scored_facts(predict(models[0], df, [1]), times).collect()
+
+
+def test_numbers_reach_numpy_without_pandas():
+    """Loading pandas would add 47 MB to every worker."""
+    code = """
+import sys
+import numpy as np, pyarrow as pa
+from hazardloom.functions.curves import as_arrays, as_arrow, as_matrix, as_numpy, linear_fill, survival
+from hazardloom.functions.dominance import bucket_counts, span_counts
+x = as_arrow(np.arange(5.0))
+assert as_numpy(x[1:4]).tolist() == [1, 2, 3] and as_numpy(x[:0]).tolist() == [] and as_numpy(pa.chunked_array([x, x[3:]])).tolist() == [0, 1, 2, 3, 4, 3, 4]
+m = as_arrays(survival(linear_fill(1, [1, 2])(x)))
+assert as_matrix(m[1:], 2).shape == (4, 2) and m.to_pylist()[1] == as_matrix(m[1:2], 2)[0].tolist()
+assert as_arrays(np.array([[1, 2]])).to_pylist() == [[1, 2]] and as_arrays(np.zeros((0, 3))).to_pylist() == []
+e, n = as_arrow(np.array([0, 1, 0, 0, 1], dtype=np.int32)), as_arrow(np.array([2, 1, 1, 2**40, 2**60]))
+got = bucket_counts(pa.table({"d": x, "e": e, "p": x, "n": n})).to_pylist() + span_counts(pa.table({"d": x, "e": e, "b": e, "n": n})).to_pylist()
+assert "pandas" not in sys.modules
+pairs = 2 * (1 + 1 + 2**40 + 2**60) + 2**40 + 2**60 + 2**100
+assert [{k: int(v) for k, v in r.items()} for r in got] == [{"concordant": pairs, "tied": 0}, {"pairs": pairs, "concordant": 2 * (1 + 2**60) + 2**60 + 2**100}]
+missing = as_numpy(pa.array([1.5, None]))
+assert missing[0] == 1.5 and np.isnan(missing[1])
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parents[1])
